@@ -107,7 +107,7 @@ for _name in encoding.CODE_MAPS:
 @register
 def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["A1", "A2", "A3", "B1", "B2", "B3", "C1", "C2", "C3", "E14"]
-    return encoding.label_encode(view(spark, sf_dir, "features").select("ID", *names), names)
+    return encoding.label_encode(view(spark, sf_dir, "features", spread=True).select("ID", *names), names)
 
 
 @register
@@ -155,7 +155,7 @@ def cross_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distinct(spark: SparkSession, sf_dir: str, key: str, others: list[str]) -> DataFrame:
-    df = features.add_time_parts(view(spark, sf_dir, "features")).select("ID", key, *others)
+    df = features.add_time_parts(view(spark, sf_dir, "features", spread=True)).select("ID", key, *others)
     return features.add_distinct_counts(df, key, others)
 
 
@@ -182,7 +182,7 @@ def count_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def count_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features.add_cross_counts(view(spark, sf_dir, "features"), CROSSES)
+    df = features.add_cross_counts(view(spark, sf_dir, "features", spread=True), CROSSES)
     return df.select("ID", *[c for c in df.columns if c.startswith("count_")])
 
 
@@ -202,7 +202,7 @@ def label_join_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = view(spark, sf_dir, "features")
+    source = view(spark, sf_dir, "features", spread=True)
     bare = source.drop("y", "is_test")
     train = bare.filter(source["is_test"] == 0)
     test = bare.filter(source["is_test"] == 1)
@@ -296,22 +296,22 @@ def vif_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def ks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.ks(view(spark, sf_dir, "scored"), "y_true", "y_prob"))
+    return rounded(ranking.ks(view(spark, sf_dir, "scored", spread=True), "y_true", "y_prob"))
 
 
 @register
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.auc(view(spark, sf_dir, "scored"), "y_true", "y_prob"))
+    return rounded(ranking.auc(view(spark, sf_dir, "scored", spread=True), "y_true", "y_prob"))
 
 
 @register
 def avg_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.average_precision(view(spark, sf_dir, "scored"), "y_true", "y_prob"))
+    return rounded(ranking.average_precision(view(spark, sf_dir, "scored", spread=True), "y_true", "y_prob"))
 
 
 @register
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.ranking_metrics(view(spark, sf_dir, "scored"), "y_true", SCORES))
+    return rounded(ranking.ranking_metrics(view(spark, sf_dir, "scored", spread=True), "y_true", SCORES))
 
 
 @register
@@ -438,7 +438,7 @@ def soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def weighted_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Cubed scores in two models, so that their f1 at 0.5 and hence the weights differ.
-    scored = view(spark, sf_dir, "scored").withColumns({"p1": F.pow("p1", F.lit(3)), "p2": F.pow("p2", F.lit(3))})
+    scored = view(spark, sf_dir, "scored", spread=True).withColumns({"p1": F.pow("p1", F.lit(3)), "p2": F.pow("p2", F.lit(3))})
     weights = blending.fit_blend_weights(scored, "y_true", SCORES, by="f1")
     return rounded(blending.weighted_blend(scored.select("id", *SCORES), weights).select("id", "blend"))
 
@@ -447,7 +447,7 @@ def weighted_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = features.add_time_parts(view(spark, sf_dir, "features")).select("ID", "y", "is_test", *MODEL_FEATURES)
+    df = features.add_time_parts(view(spark, sf_dir, "features", spread=True)).select("ID", "y", "is_test", *MODEL_FEATURES)
     return df.filter("is_test = 0").withColumnRenamed("y", "label"), df.filter("is_test = 1")
 
 

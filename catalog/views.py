@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scorekit.operators.encoding import CODE_MAPS
+from scorekit.sources.tables import read_table
 
 _STRING = {"spark": "string", "sql": "varchar"}
 _DATE = {"spark": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "sql": "strftime(ts, '%Y-%m-%d %H:%M:%S')"}
@@ -82,13 +83,13 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=spread)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     text, tables = VIEWS[name]
-    frames = {t: table(spark, sf_dir, t) for t in tables}
+    frames = {t: table(spark, sf_dir, t, spread) for t in tables}
     filled = text.replace("{s}", _STRING["spark"]).replace("{date}", _DATE["spark"])
     return spark.sql(filled, **frames)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorekit.functions.text import as_text
 from scorekit.operators.features import join_key
-from scorekit.plans.key_stats import attach, fit_key_stats
+from scorekit.plans.key_stats import Lookup, attach, code, fit_key_stats
 
 # Codes of the nine built-in categories; every other value, and a missing one, has code 0.
 CODE_MAPS: dict[str, dict[str, int]] = {
@@ -102,12 +102,10 @@ def label_encode(
     """
     source = df if fit_on is None else fit_on
     stats = fit_key_stats(source, {n: as_text(source, n) for n in names}, coded=names, **options)
-    for n in names:
-        df = attach(df, stats, n, join_key(df, n), {f"_code_{n}": F.col("code")})
-    order = [c for c in df.columns if not c.startswith("_code_")]
+    coded = attach(df, stats, [Lookup(n, join_key(df, n), {f"_code_{n}": code}) for n in names])
     if suffix:
-        return df.select(*order, *[F.col(f"_code_{n}").alias(f"{n}{suffix}") for n in names])
-    return df.select(*[F.col(f"_code_{c}").alias(c) if c in names else F.col(c) for c in order])
+        return coded.select(*df.columns, *[F.col(f"_code_{n}").alias(f"{n}{suffix}") for n in names])
+    return coded.select(*[F.col(f"_code_{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def translate_or_slash(

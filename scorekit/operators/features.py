@@ -8,7 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scorekit.functions.text import as_text, cross_text
 from scorekit.functions.timeparts import day_of, day_segment, hour_of
-from scorekit.plans.key_stats import NO_VALUE, KeyStats, attach, cross_name, fit_approx_key_stats, fit_key_stats
+from scorekit.plans.key_stats import (
+    NO_VALUE,
+    KeyStats,
+    Lookup,
+    Output,
+    attach,
+    cross_name,
+    fit_approx_key_stats,
+    fit_key_stats,
+    row_count,
+    row_count_with_missing,
+)
 
 TEST_LABEL = -1
 
@@ -55,11 +66,11 @@ def add_distinct_counts(df: DataFrame, key: str, others: Sequence[str], approx:
 
 
 def attach_distinct(df: DataFrame, stats: KeyStats, wanted: Sequence[tuple[str, str]]) -> DataFrame:
-    order = df.columns + [distinct_name(*p) for p in wanted]
-    for key in dict.fromkeys(k for k, _ in wanted):
-        outputs = {distinct_name(k, o): stats.distinct(k, o) for k, o in wanted if k == key}
-        df = attach(df, stats, key, join_key(df, key), outputs)
-    return df.select(*order)
+    lookups = [
+        Lookup(key, join_key(df, key), {distinct_name(k, o): stats.distinct(k, o) for k, o in wanted if k == key})
+        for key in dict.fromkeys(k for k, _ in wanted)
+    ]
+    return attach(df, stats, lookups).select(*df.columns, *[distinct_name(*p) for p in wanted])
 
 
 def _composite_text(df: DataFrame, names: Sequence[str]) -> Column:
@@ -82,9 +93,7 @@ def add_group_count(df: DataFrame, names: Sequence[str], **options) -> DataFrame
     df = df.drop(target)
     text = _composite_text(df, names)
     stats = fit_key_stats(df, {target: text}, counted=[target], **options)
-    return attach(df, stats, target, F.coalesce(text, F.lit(NO_VALUE)), {target: stats.count()}).select(
-        *df.columns, target
-    )
+    return attach(df, stats, [Lookup(target, F.coalesce(text, F.lit(NO_VALUE)), {target: row_count})])
 
 
 def add_cross_counts(
@@ -93,35 +102,31 @@ def add_cross_counts(
     """Row count of each cross that has more than ``more_than`` different values (decided by one small action)."""
     names = list(dict.fromkeys(n for p in pairs for n in p))
     stats = fit_key_stats(df, {n: as_text(df, n) for n in names}, crosses=pairs, **options)
-    return attach_cross_counts(df, stats, pairs, more_than)
+    return attach(df, stats, cross_lookups(df, stats, pairs, more_than))
 
 
-def attach_cross_counts(
+def cross_lookups(
     df: DataFrame, stats: KeyStats, pairs: Sequence[tuple[str, str]], more_than: int = 5
-) -> DataFrame:
-    rich = [p for p in pairs if cross_name(*p) in stats.sizes and stats.sizes[cross_name(*p)].values > more_than]
-    order = df.columns + [count_name([cross_name(*p)]) for p in rich]
-    for a, b in rich:
-        key = cross_name(a, b)
-        df = attach(df, stats, key, cross_text(df, a, b), {count_name([key]): stats.count_with_missing()})
-    return df.select(*order)
+) -> list[Lookup]:
+    rich = [p for p in pairs if (s := stats.sizes.get(cross_name(*p))) and s.values > more_than]
+    return [
+        Lookup(cross_name(a, b), cross_text(df, a, b), {count_name([cross_name(a, b)]): row_count_with_missing})
+        for a, b in rich
+    ]
 
 
 def share_name(name: str) -> str:
     return f"ratio_click_of_{name}"
 
 
-def share_of(stats: KeyStats) -> Column:
+def share_of(stats: KeyStats, counted: Output = row_count) -> Output:
     """Share of all rows in whole percent, cut off."""
-    return F.floor(stats.count() / F.lit(float(stats.rows)) * 100).cast("int")
+    return lambda get: F.floor(counted(get) / F.lit(float(stats.rows)) * 100).cast("int")
 
 
 def add_shares(df: DataFrame, names: Sequence[str], **options) -> DataFrame:
     stats = fit_key_stats(df, {n: as_text(df, n) for n in names}, counted=names, **options)
-    order = df.columns + [share_name(n) for n in names]
-    for n in names:
-        df = attach(df, stats, n, join_key(df, n), {share_name(n): share_of(stats)})
-    return df.select(*order)
+    return attach(df, stats, [Lookup(n, join_key(df, n), {share_name(n): share_of(stats)}) for n in names])
 
 
 def label_and_union(train: DataFrame, test: DataFrame, labels: DataFrame, key: str = "ID", label: str = "label"):

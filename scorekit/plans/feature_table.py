@@ -6,21 +6,31 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from scorekit.functions.text import as_text, cross_text
+from scorekit.functions.text import as_text
 from scorekit.operators.cleaning import split_by_mark
 from scorekit.operators.features import (
     add_time_parts,
     both_ways,
-    count_name,
+    cross_lookups,
     cross_pairs,
     distinct_name,
     join_key,
     label_and_union,
     share_name,
+    share_of,
+)
+from scorekit.plans.key_stats import (
+    KeyStats,
+    Lookup,
+    Output,
+    attach,
+    class_count,
+    code,
+    fit_key_stats,
+    row_count,
 )
-from scorekit.plans.key_stats import KeyStats, attach, cross_name, fit_key_stats
 
 # The columns of the anonymous credit-marketing table and how they are used.
 CATEGORIES = (
@@ -96,26 +106,22 @@ def apply_feature_stats(data: DataFrame, stats: KeyStats, spec: FeatureSpec) ->
 
     Everything known about one key comes back in a single join: codes, distinct counts and share together.
     """
-    by_key: dict[str, dict[str, Column]] = {}
+    by_key: dict[str, dict[str, Output]] = {}
     for key in spec.categories:
-        by_key.setdefault(key, {})[f"_code_{key}"] = F.col("code")
+        by_key.setdefault(key, {})[f"_code_{key}"] = code
     for key, other in spec.distinct:
         by_key.setdefault(key, {})[distinct_name(key, other)] = stats.distinct(key, other)
     for key in spec.shares:
-        rows = stats.class_count() if key in spec.categories else stats.count()
-        by_key.setdefault(key, {})[share_name(key)] = F.floor(rows / F.lit(float(stats.rows)) * 100).cast("int")
+        counted = class_count if key in spec.categories else row_count
+        by_key.setdefault(key, {})[share_name(key)] = share_of(stats, counted)
 
-    kept = [c for c in spec.crosses if (s := stats.sizes.get(cross_name(*c))) and s.values > spec.cross_more_than]
-    table = data
-    for key, outputs in by_key.items():
-        table = attach(table, stats, key, join_key(data, key), outputs)
-    for a, b in kept:
-        name = cross_name(a, b)
-        table = attach(table, stats, name, cross_text(data, a, b), {count_name([name]): stats.count_with_missing()})
+    crosses = cross_lookups(data, stats, spec.crosses, spec.cross_more_than)
+    lookups = [Lookup(key, join_key(data, key), outputs) for key, outputs in by_key.items()]
+    table = attach(data, stats, lookups + crosses)
 
     added = (
         [distinct_name(*p) for p in spec.distinct]
-        + [count_name([cross_name(*c)]) for c in kept]
+        + [n for x in crosses for n in x.outputs]
         + [share_name(c) for c in spec.shares]
     )
     columns = [F.col(f"_code_{c}").alias(c) if c in spec.categories else F.col(c) for c in data.columns]

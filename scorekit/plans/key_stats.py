@@ -8,10 +8,12 @@ ones are shuffled, with frequent keys taken out first (they are few by counting,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from scorekit.functions.text import MISSING_TEXT
 from scorekit.workspace import materialise
@@ -24,6 +26,12 @@ SALTS = 4096
 CODES_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1000
 SAMPLE_PER_BUCKET = 20
+LITERAL_VALUES = 16
+LITERAL_BYTES = 4096
+
+# An output is an expression over the statistics of a key, whichever way these are reached.
+Getter = Callable[[str], Column]
+Output = Callable[[Getter], Column]
 
 
 @dataclass(frozen=True)
@@ -40,25 +48,39 @@ class KeyStats:
     slots: dict[tuple[str, str], str]
     in_budget: frozenset[str]
     hot_parts: int
+    codes: DataFrame | None = None
+    coded: frozenset[str] = frozenset()
+
+    literals: dict[str, list[Row]] = field(default_factory=dict)
 
-    def of(self, key: str, **outputs: Column) -> DataFrame:
-        """(value, n, outputs...) of one key."""
-        mine = self.table.filter(F.col("feature") == key)
-        return mine.select("value", F.col("n").alias("_n"), *[c.alias(n) for n, c in outputs.items()])
+    def of(self, key: str, outputs: dict[str, Output]) -> DataFrame:
+        """(value, n, outputs...) of one key; only that key's part of the table is read."""
+        source = self.codes if key in self.coded else self.table
+        mine = source.filter(F.col("feature") == key)
+        return mine.select("value", F.col("n").alias("_n"), *[o(F.col).alias(n) for n, o in outputs.items()])
 
-    def distinct(self, key: str, other: str) -> Column:
+    def distinct(self, key: str, other: str) -> Output:
         """Number of distinct ``other`` per ``key``; no number for the missing key."""
-        return F.when(F.col("value") != NO_VALUE, F.col(self.slots[key, other]))
+        slot = self.slots[key, other]
+        return lambda get: F.when(get("value") != NO_VALUE, get(slot))
+
+
+def row_count(get: Getter) -> Column:
+    """Rows per key; no number for the missing key."""
+    return F.when(get("value") != NO_VALUE, get("n"))
 
-    def count(self) -> Column:
-        return F.when(F.col("value") != NO_VALUE, F.col("n"))
 
-    def count_with_missing(self) -> Column:
-        return F.col("n")
+def row_count_with_missing(get: Getter) -> Column:
+    return get("n")
 
-    def class_count(self) -> Column:
-        """Rows of a coded key's class, where the missing value and the text that spells it are one class."""
-        return F.col("class_n")
+
+def class_count(get: Getter) -> Column:
+    """Rows of a coded key's class, where the missing value and the text that spells it are one class."""
+    return get("class_n")
+
+
+def code(get: Getter) -> Column:
+    return get("code")
 
 
 def cross_name(left: str, right: str) -> str:
@@ -75,6 +97,7 @@ def fit_key_stats(
     broadcast_budget: int = BROADCAST_BUDGET,
     hot_parts: int = HOT_PARTS,
     codes_per_bucket: int = CODES_PER_BUCKET,
+    literal_values: int = LITERAL_VALUES,
 ) -> KeyStats:
     """Collect the statistics of ``df``.
 
@@ -86,11 +109,14 @@ def fit_key_stats(
     slots = _slots(distinct)
     counts = _count_pairs(df, keys, pairs)
     table = _sum_keys(counts, pairs, slots, set(crosses))
-    table = materialise(table, "key-counts")
+    table = materialise(table, "key-counts", "feature")
     sizes, rows = _measure(table)
+    codes = None
     if coded:
-        table = materialise(_with_codes(table, list(coded), sizes, codes_per_bucket), "key-codes")
-    return KeyStats(table, rows, sizes, slots, _within_budget(sizes, broadcast_budget), hot_parts)
+        codes = materialise(_codes(table, list(coded), sizes, codes_per_bucket), "key-codes", "feature")
+    in_budget = _within_budget(sizes, broadcast_budget)
+    literals = _literals(table, codes, coded, sizes, literal_values)
+    return KeyStats(table, rows, sizes, slots, in_budget, hot_parts, codes, frozenset(coded), literals)
 
 
 def fit_approx_key_stats(
@@ -117,11 +143,27 @@ def fit_approx_key_stats(
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
-    table = materialise(table, "key-sketches")
+    table = materialise(table, "key-sketches", "feature")
     sizes, rows = _measure(table)
     return KeyStats(table, rows, sizes, slots, _within_budget(sizes, broadcast_budget), hot_parts)
 
 
+def _literals(
+    table: DataFrame, codes: DataFrame | None, coded: Sequence[str], sizes: dict[str, KeySize], most: int
+) -> dict[str, list[Row]]:
+    """Statistics of the keys with at most ``most`` values, frequent values first. They become literals of the plan."""
+    small = [k for k, s in sizes.items() if s.values <= most and s.text_bytes <= LITERAL_BYTES]
+    plain = [k for k in small if k not in coded]
+    rows = table.filter(F.col("feature").isin(plain))
+    if codes is not None:
+        chosen = codes.filter(F.col("feature").isin([k for k in small if k in coded]))
+        rows = rows.unionByName(chosen, allowMissingColumns=True)
+    found: dict[str, list[Row]] = {k: [] for k in small}
+    for row in rows.collect() if small else []:
+        found[row["feature"]].append(row)
+    return {k: sorted(v, key=lambda r: -r["n"]) for k, v in found.items()}
+
+
 def _measure(table: DataFrame) -> tuple[dict[str, KeySize], int]:
     """Values and bytes of each key, and the number of rows; one row per key reaches the driver."""
     facts = (
@@ -228,8 +270,8 @@ def _within_budget(sizes: dict[str, KeySize], budget: int) -> frozenset[str]:
     return frozenset(chosen)
 
 
-def _with_codes(table: DataFrame, coded: list[str], sizes: dict[str, KeySize], per_bucket: int) -> DataFrame:
-    """Add ``code``: 0..k-1 in text order within each coded key, NULL for the other keys.
+def _codes(table: DataFrame, coded: list[str], sizes: dict[str, KeySize], per_bucket: int) -> DataFrame:
+    """The statistics of the coded keys with ``code``: 0..k-1 in text order within each key.
 
     A key with many values is cut into text ranges first; each range is ranked on its own and shifted by the number of
     codes before it, so no task orders more than a range.
@@ -255,11 +297,7 @@ def _with_codes(table: DataFrame, coded: list[str], sizes: dict[str, KeySize], p
         "code", F.col("_rank") + F.col("_shift") - 1
     )
     same_text = Window.partitionBy("feature", "_bucket", "_text")
-    codes = codes.withColumn("class_n", F.sum("n").over(same_text)).select(*table.columns, "code", "class_n")
-    others = table.filter(~F.col("feature").isin(coded)).withColumns(
-        {"code": F.lit(None).cast("bigint"), "class_n": F.lit(None).cast("bigint")}
-    )
-    return codes.unionByName(others)
+    return codes.withColumn("class_n", F.sum("n").over(same_text)).select(*table.columns, "code", "class_n")
 
 
 def _text_ends(values: DataFrame, size: int, per_bucket: int) -> list[str]:
@@ -277,14 +315,54 @@ def _range_number(text: Column, ends: list[str]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= text))
 
 
-def attach(df: DataFrame, stats: KeyStats, key: str, text: Column, outputs: dict[str, Column]) -> DataFrame:
-    """Left join the ``outputs`` of one key to the rows; ``text`` is the key's text form, missing ones spelt NO_VALUE."""
-    side = stats.of(key, **outputs).withColumnRenamed("value", "_key")
-    rows = df.withColumn("_key", text)
-    names = list(outputs)
-    if key in stats.in_budget:
-        return rows.join(F.broadcast(side.drop("_n")), "_key", "left").drop("_key")
-    return _attach_large(rows, side, names, stats).select(*df.columns, *names)
+class Lookup(NamedTuple):
+    """What to bring back for one key; ``text`` is the key's text form over the rows, missing ones spelt NO_VALUE."""
+
+    key: str
+    text: Column
+    outputs: dict[str, Output]
+
+
+def attach(df: DataFrame, stats: KeyStats, lookups: Sequence[Lookup]) -> DataFrame:
+    """Add the outputs of all lookups to the rows, NULL where a key was not seen.
+
+    A key with a handful of values is looked up in a literal of the plan: no join. The others are left joins whose right
+    side is one struct, which keeps the generated code of many joins in a row small.
+    """
+    large = [x for x in lookups if x.key not in stats.literals and x.key not in stats.in_budget]
+    found, texts, outputs = {}, {}, {}
+    for i, x in enumerate(lookups):
+        if x.key in stats.literals:
+            found[f"_found{i}"] = F.try_element_at(_literal_map(stats.literals[x.key]), x.text)
+            outputs.update({n: o(_field_of(f"_found{i}")) for n, o in x.outputs.items()})
+        elif x.key in stats.in_budget:
+            texts[f"_key{i}"] = x.text
+            outputs.update({n: F.col(f"_found{i}")[n] for n in x.outputs})
+    rows = df.withColumns({**found, **texts}) if found or texts else df
+    for i, x in enumerate(lookups):
+        if f"_key{i}" in texts:
+            side = stats.of(x.key, x.outputs)
+            packed = side.select(F.col("value").alias(f"_key{i}"), F.struct(*x.outputs).alias(f"_found{i}"))
+            rows = rows.join(F.broadcast(packed), f"_key{i}", "left")
+    if outputs:
+        rows = rows.withColumns(outputs)
+    rows = rows.drop(*[f"_found{i}" for i in range(len(lookups))], *texts)
+    for x in large:
+        side = stats.of(x.key, x.outputs).withColumnRenamed("value", "_key")
+        names = list(x.outputs)
+        rows = _attach_large(rows.withColumn("_key", x.text), side, names, stats).select(*rows.columns, *names)
+    return rows.select(*df.columns, *[n for x in lookups for n in x.outputs])
+
+
+def _field_of(struct: str) -> Getter:
+    return lambda name: F.col(struct)[name]
+
+
+def _literal_map(rows: list[Row]) -> Column:
+    fields = [c for c in (rows[0].asDict() if rows else {"value": ""}) if c != "feature"]
+    entries = {r["value"]: {c: r[c] for c in fields if r[c] is not None} for r in rows}
+    shape = ", ".join(f"{c}: {'string' if c == 'value' else 'bigint'}" for c in fields)
+    return F.from_json(F.lit(json.dumps(entries)), f"map<string, struct<{shape}>>")
 
 
 def _attach_large(rows: DataFrame, side: DataFrame, names: list[str], stats: KeyStats) -> DataFrame:

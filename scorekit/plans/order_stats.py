@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SKETCH_ACCURACY = 10_000
-SMALL_ENOUGH = 2_000_000
+SMALL_ENOUGH = 100_000
 MAX_ROUNDS = 8
 
 
@@ -74,10 +74,15 @@ def values_at_ranks(
         for name, wanted in ranks.items()
         if wanted and counts[name]
     ]
+    return _settle(view, intervals, small_enough)
+
+
+def _settle(view: DataFrame, intervals: list[_Interval], small_enough: int) -> dict[str, dict[int, object]]:
     for _ in range(MAX_ROUNDS):
-        if all(_done(i, small_enough) for i in intervals):
+        wide = [i for i in intervals if not _done(i, small_enough)]
+        if not wide:
             break
-        intervals = _narrow(view, intervals, small_enough)
+        intervals = [i for i in intervals if _done(i, small_enough)] + _prove(view, _propose(view, wide))
     return _pick(view, intervals)
 
 
@@ -86,36 +91,38 @@ def _done(interval: _Interval, small_enough: int) -> bool:
     return interval.settled or one_value or interval.size <= small_enough
 
 
-def _narrow(view: DataFrame, intervals: list[_Interval], small_enough: int) -> list[_Interval]:
-    kept = [i for i in intervals if _done(i, small_enough)]
-    wide = [i for i in intervals if not _done(i, small_enough)]
+def _around(share: float) -> list[float]:
     slack = 2.0 / SKETCH_ACCURACY
+    return [max(share - slack, 0.0), min(share + slack, 1.0)]
+
 
+def _propose(view: DataFrame, wide: list[_Interval]) -> list[tuple[_Interval, _Interval]]:
+    """A sketched sub-interval around every rank, paired with the interval it was taken from."""
     sketches = []
-    for n, interval in enumerate(wide):
-        shares = []
-        for rank in interval.ranks:
-            at = (rank - interval.below) / interval.size
-            shares += [max(at - slack, 0.0), min(at + slack, 1.0)]
-        col = interval.inside(F.col(f"`{interval.name}`"))
-        sketches.append(F.percentile_approx(col, shares, SKETCH_ACCURACY).alias(f"s{n}"))
-    proposals = view.agg(*sketches).first()
-
-    candidates: list[tuple[_Interval, _Interval]] = []
-    for n, interval in enumerate(wide):
-        for k, rank in enumerate(interval.ranks):
-            low, high = proposals[n][2 * k], proposals[n][2 * k + 1]
-            candidates.append((interval, replace(interval, ranks=(rank,), low=low, high=high)))
+    for n, i in enumerate(wide):
+        shares = [s for rank in i.ranks for s in _around((rank - i.below) / i.size)]
+        sketches.append(F.percentile_approx(i.inside(F.col(f"`{i.name}`")), shares, SKETCH_ACCURACY).alias(f"s{n}"))
+    ends = view.agg(*sketches).first()
+    return [
+        (i, replace(i, ranks=(rank,), low=ends[n][2 * k], high=ends[n][2 * k + 1]))
+        for n, i in enumerate(wide)
+        for k, rank in enumerate(i.ranks)
+    ]
+
 
+def _prove(view: DataFrame, proposals: list[tuple[_Interval, _Interval]]) -> list[_Interval]:
+    """Count below and inside every proposed interval; one that misses its rank gives way to the interval it came from."""
+    distinct = list(dict.fromkeys((c.name, c.low, c.high) for _, c in proposals))
     tests = []
-    for n, (_, c) in enumerate(candidates):
-        col = F.col(f"`{c.name}`")
-        tests.append(F.count_if(col < F.lit(c.low)).alias(f"below{n}"))
-        tests.append(F.count_if(col.between(F.lit(c.low), F.lit(c.high))).alias(f"size{n}"))
+    for n, (name, low, high) in enumerate(distinct):
+        col = F.col(f"`{name}`")
+        tests.append(F.count_if(col < F.lit(low)).alias(f"below{n}"))
+        tests.append(F.count_if(col.between(F.lit(low), F.lit(high))).alias(f"size{n}"))
     proof = view.agg(*tests).first()
 
     merged: dict[tuple, _Interval] = {}
-    for n, (parent, c) in enumerate(candidates):
+    for parent, c in proposals:
+        n = distinct.index((c.name, c.low, c.high))
         below, size = proof[f"below{n}"], proof[f"size{n}"]
         if below <= c.ranks[0] < below + size:
             found = replace(c, below=below, size=size, settled=size > parent.size // 2)
@@ -125,7 +132,7 @@ def _narrow(view: DataFrame, intervals: list[_Interval], small_enough: int) -> l
         if key in merged:
             found = replace(found, ranks=tuple(sorted({*merged[key].ranks, *found.ranks})))
         merged[key] = found
-    return kept + list(merged.values())
+    return list(merged.values())
 
 
 def _pick(view: DataFrame, intervals: list[_Interval]) -> dict[str, dict[int, object]]:
@@ -166,26 +173,51 @@ def exact_quantiles(
     probs: Sequence[float],
     small_enough: int = SMALL_ENOUGH,
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation between neighbours; a column without values gives ``None``."""
-    counts = count_values(df, columns)
-    places = {
-        name: [(int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1), p * (n - 1) - int(p * (n - 1))) for p in probs]
-        for name, n in counts.items()
-        if n
-    }
-    ranks = {name: [r for lo, hi, _ in at for r in (lo, hi)] for name, at in places.items()}
-    values = values_at_ranks(df, columns, ranks, counts, small_enough)
-    result: dict[str, list[float | None]] = {}
-    for name in columns:
-        if not counts[name]:
-            result[name] = [None] * len(probs)
+    """Quantiles with linear interpolation between neighbours; a column without values gives ``None``.
+
+    The first pass counts and sketches together, since the shares of the wanted ranks are known before the count is.
+    """
+    view, _ = _usable(df, columns)
+    shares = [s for p in probs for s in _around(p)]
+    first = []
+    for n, name in enumerate(columns):
+        col = F.col(f"`{name}`")
+        first += [F.count(col).alias(f"n{n}"), F.percentile_approx(col, shares, SKETCH_ACCURACY).alias(f"s{n}")]
+    facts = view.agg(*first).first()
+
+    places: dict[str, list[tuple[int, int, float]]] = {}
+    settled, proposals = [], []
+    for n, name in enumerate(columns):
+        count = facts[f"n{n}"]
+        if not count:
             continue
-        found = values[name]
-        result[name] = [
-            float(found[lo]) if w == 0 else float(found[lo]) + (float(found[hi]) - float(found[lo])) * w
-            for lo, hi, w in places[name]
-        ]
-    return result
+        places[name] = [_place(p, count) for p in probs]
+        whole = _Interval(name, tuple(sorted({r for lo, hi, _ in places[name] for r in (lo, hi)})), 0, count)
+        if _done(whole, small_enough):
+            settled.append(whole)
+            continue
+        for k, (lo, hi, _) in enumerate(places[name]):
+            ends = {"low": facts[f"s{n}"][2 * k], "high": facts[f"s{n}"][2 * k + 1]}
+            proposals += [(whole, replace(whole, ranks=(rank,), **ends)) for rank in {lo, hi}]
+    intervals = settled + (_prove(view, proposals) if proposals else [])
+    values = _settle(view, intervals, small_enough)
+    return {
+        name: [_between(values[name], place) for place in places[name]] if name in places else [None] * len(probs)
+        for name in columns
+    }
+
+
+def _place(prob: float, count: int) -> tuple[int, int, float]:
+    """The two neighbouring ranks of a quantile and the weight of the upper one."""
+    at = prob * (count - 1)
+    return int(at), min(int(at) + 1, count - 1), at - int(at)
+
+
+def _between(values: dict[int, object], place: tuple[int, int, float]) -> float:
+    low, high, weight = place
+    if weight == 0:
+        return float(values[low])
+    return float(values[low]) + (float(values[high]) - float(values[low])) * weight
 
 
 def approximate_quantiles(

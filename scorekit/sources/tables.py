@@ -9,15 +9,29 @@ RESULT_KINDS = ("sub", "result", "chart_output", "models")
 
 
 def read_table(
-    spark: SparkSession, location: str, fmt: str = "parquet", schema: T.StructType | str | None = None, **options: str
+    spark: SparkSession,
+    location: str,
+    fmt: str = "parquet",
+    schema: T.StructType | str | None = None,
+    spread: bool = False,
+    **options: str,
 ) -> DataFrame:
-    """Read a feature table from files (``fmt`` parquet, csv, json, orc) or, with ``fmt='table'``, from the catalog."""
+    """Read a feature table from files (``fmt`` parquet, csv, json, orc) or, with ``fmt='table'``, from the catalog.
+
+    ``spread`` deals the rows of a table stored in fewer pieces than there are cores over all cores; a table in many
+    pieces is left as it is. Worth it before work that is heavy per row.
+    """
     if fmt == "table":
-        return spark.table(location)
-    reader = spark.read.format(fmt).options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load(location)
+        df = spark.table(location)
+    else:
+        reader = spark.read.format(fmt).options(**options)
+        df = (reader.schema(schema) if schema is not None else reader).load(location)
+    return spread_over_cores(df) if spread else df
+
+
+def spread_over_cores(scan: DataFrame) -> DataFrame:
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def result_path(base: str, kind: str, name: str) -> str:
