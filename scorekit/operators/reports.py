@@ -109,8 +109,7 @@ def topn_report(
     for n in tops:
         tp = F.col(f"hit{n}") + F.least(F.lit(n) - F.col(f"before{n}"), F.col(f"on{n}"))
         lines.append(F.struct(F.lit(n).cast("bigint").alias("topn"), F.lit(ends[n]).alias("boundary"), tp.alias("tp")))
-    shape = "topn bigint, boundary double, tp bigint"
-    listed = F.array(*lines) if lines else F.from_json(F.lit("[]"), f"array<struct<{shape.replace(' ', ':')}>>")
+    listed = F.array(*lines) if lines else F.array().cast("array<struct<topn:bigint,boundary:double,tp:bigint>>")
     counted = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(positive).alias("positives"), *sums)
     base = counted.select(F.inline(listed), "n_rows", "positives")
 
