@@ -218,47 +218,61 @@ def _sum_keys(
     slots: dict[tuple[str, str], str],
     crosses: set[tuple[str, str]],
 ) -> DataFrame:
-    columns = sorted(set(slots.values()))
-    counter: dict[str, int] = {}
-    for i, pair in enumerate(pairs):
-        for key in pair:
-            if key is not None:
-                counter.setdefault(key, i)
-
-    def entry(feature: str, value: Column, n: Column, ones: dict[str, Column]) -> Column:
-        extra = [ones.get(c, F.lit(0)).cast("bigint").alias(c) for c in columns]
-        return F.struct(F.lit(feature).alias("feature"), value.alias("value"), n.alias("n"), *extra)
+    """Sum the pair counts up to one row per (feature, value).
 
-    def seen(side: str) -> Column:
-        return (F.col(side) != NO_VALUE).cast("bigint")
+    Each pair feeds several features: its two keys and up to two crosses. Which ones, from which side, and whether the
+    pair also supplies their row counts is a small literal array indexed by the pair number.
+    """
+    columns = sorted(set(slots.values()))
+    recipes = F.from_json(
+        F.lit(json.dumps(_recipes(pairs, slots, crosses))),
+        "array<array<struct<feature: string, side: string, counted: boolean, slot: string>>>",
+    )
+    fed = counts.select("a", "b", "n", F.inline(F.element_at(recipes, F.col("pair") + 1)))
 
     def spelt(side: str) -> Column:
         return F.when(F.col(side) == NO_VALUE, MISSING_TEXT).otherwise(F.col(side))
 
-    chosen = None
-    for i, (a, b) in enumerate(pairs):
-        entries = []
-        for key, other, side, far in ((a, b, "a", "b"), (b, a, "b", "a")):
-            if key is None:
-                continue
-            ones = {slots[key, other]: seen(far)} if (key, other) in slots else {}
-            counts_here = counter[key] == i
-            if ones or counts_here:
-                entries.append(entry(key, F.col(side), F.col("n") if counts_here else F.lit(0).cast("bigint"), ones))
-        for left, right in ((a, b), (b, a)):
-            if (left, right) in crosses:
-                sides = ("a", "b") if (left, right) == (a, b) else ("b", "a")
-                text = F.concat(spelt(sides[0]), F.lit("_"), spelt(sides[1]))
-                entries.append(entry(cross_name(left, right), text, F.col("n"), {}))
-        listed = F.array(*entries)
-        chosen = F.when(F.col("pair") == i, listed) if chosen is None else chosen.when(F.col("pair") == i, listed)
+    side = F.col("side")
+    value = (
+        F.when(side == "a", F.col("a"))
+        .when(side == "b", F.col("b"))
+        .when(side == "ab", F.concat(spelt("a"), F.lit("_"), spelt("b")))
+        .otherwise(F.concat(spelt("b"), F.lit("_"), spelt("a")))
+    )
+    other = F.when(side == "a", F.col("b")).otherwise(F.col("a"))
     return (
-        counts.select(F.inline(chosen))
+        fed.select("feature", value.alias("value"), "n", "counted", "slot", (other != NO_VALUE).alias("seen"))
         .groupBy("feature", "value")
-        .agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns])
+        .agg(
+            F.sum(F.when(F.col("counted"), F.col("n")).otherwise(0)).alias("n"),
+            *[F.count_if(F.col("seen") & (F.col("slot") == c)).alias(c) for c in columns],
+        )
     )
 
 
+def _recipes(
+    pairs: list[tuple[str, str | None]], slots: dict[tuple[str, str], str], crosses: set[tuple[str, str]]
+) -> list[list[dict]]:
+    supplier: dict[str, int] = {}
+    for i, pair in enumerate(pairs):
+        for key in pair:
+            if key is not None:
+                supplier.setdefault(key, i)
+    recipes = []
+    for i, (a, b) in enumerate(pairs):
+        steps = []
+        for key, other, side in ((a, b, "a"), (b, a, "b")):
+            slot, counted = slots.get((key, other)), supplier.get(key) == i
+            if slot or counted:
+                steps.append({"feature": key, "side": side, "counted": counted, "slot": slot})
+        for cross, side in (((a, b), "ab"), ((b, a), "ba")):
+            if cross in crosses:
+                steps.append({"feature": cross_name(*cross), "side": side, "counted": True, "slot": None})
+        recipes.append(steps)
+    return recipes
+
+
 def _within_budget(sizes: dict[str, KeySize], budget: int) -> frozenset[str]:
     """Keys whose statistics fit into the budget together, smallest first."""
     chosen, used = set(), 0
