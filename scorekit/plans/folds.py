@@ -10,13 +10,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scorekit.plans.running_totals import BUCKETS
 from scorekit.workspace import materialise, write_table
 
 # Multiplier and width of the multiplicative hash.
 HASH_MULTIPLIER = 2654435761
 HASH_BITS = 32
 MISSING_FEATURE = -1.0
+DEAL_BUCKETS = 16_384
 
 
 def fold_by_arithmetic(key: Column, k: int) -> Column:
@@ -39,7 +39,7 @@ def assign_folds(df: DataFrame, key: str, k: int = 10, stratify: str | None = No
     """
     if stratify is None:
         return df.withColumn(to, fold_by_hash(F.col(key), k))
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(BUCKETS)).cast("int"))
+    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(DEAL_BUCKETS)).cast("int"))
     earlier = Window.partitionBy(stratify).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         cut.groupBy(stratify, "_bucket")

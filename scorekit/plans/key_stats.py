@@ -26,6 +26,7 @@ SALTS = 4096
 CODES_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1000
 SAMPLE_PER_BUCKET = 20
+END_LENGTH = 200
 LITERAL_VALUES = 16
 LITERAL_BYTES = 4096
 
@@ -318,7 +319,8 @@ def _text_ends(values: DataFrame, size: int, per_bucket: int) -> list[str]:
     """Range ends from a hash sample of the distinct values: about SAMPLE_PER_BUCKET strings per range."""
     buckets = min(-(-size // per_bucket), MAX_BUCKETS)
     every = max(size // (buckets * SAMPLE_PER_BUCKET), 1)
-    sample = sorted(r[0] for r in values.filter(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).collect())
+    chosen = values.filter(F.pmod(F.xxhash64("value"), F.lit(every)) == 0)
+    sample = sorted(r[0] for r in chosen.select(F.substring("value", 1, END_LENGTH)).collect())
     step = max(len(sample) // buckets, 1)
     return sorted(set(sample[step::step]))
 

@@ -19,10 +19,16 @@ SKETCH_ACCURACY = 10_000
 SMALL_ENOUGH = 100_000
 MAX_ROUNDS = 8
 
+# Values by (column, rank).
+_Found = dict[tuple[str, int], object]
+
 
 @dataclass(frozen=True)
 class _Interval:
-    """Ranks of one column known to lie in ``[low, high]``; ``below`` values come before, ``size`` are inside."""
+    """Ranks of one column whose values lie strictly between ``low`` and ``high`` (None: no limit).
+
+    ``below`` values come before the interval, ``size`` are inside. A ``settled`` interval is not narrowed further.
+    """
 
     name: str
     ranks: tuple[int, ...]
@@ -35,7 +41,7 @@ class _Interval:
     def inside(self, col: Column) -> Column:
         if self.low is None:
             return col
-        return F.when(col.between(F.lit(self.low), F.lit(self.high)), col)
+        return F.when((col > F.lit(self.low)) & (col < F.lit(self.high)), col)
 
 
 def _usable(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, T.DataType]]:
@@ -77,18 +83,29 @@ def values_at_ranks(
     return _settle(view, intervals, small_enough)
 
 
-def _settle(view: DataFrame, intervals: list[_Interval], small_enough: int) -> dict[str, dict[int, object]]:
+def _settle(
+    view: DataFrame, intervals: list[_Interval], small_enough: int, known: _Found | None = None
+) -> dict[str, dict[int, object]]:
+    result: dict[str, dict[int, object]] = defaultdict(dict)
+    _note(result, known)
     for _ in range(MAX_ROUNDS):
         wide = [i for i in intervals if not _done(i, small_enough)]
         if not wide:
             break
-        intervals = [i for i in intervals if _done(i, small_enough)] + _prove(view, _propose(view, wide))
-    return _pick(view, intervals)
+        narrowed, known = _prove(view, _propose(view, wide))
+        _note(result, known)
+        intervals = [i for i in intervals if _done(i, small_enough)] + narrowed
+    _note(result, _pick(view, intervals))
+    return result
+
+
+def _note(result: dict[str, dict[int, object]], found: _Found | None) -> None:
+    for (name, rank), value in (found or {}).items():
+        result[name][rank] = value
 
 
 def _done(interval: _Interval, small_enough: int) -> bool:
-    one_value = interval.low is not None and interval.low == interval.high
-    return interval.settled or one_value or interval.size <= small_enough
+    return interval.settled or interval.size <= small_enough
 
 
 def _around(share: float) -> list[float]:
@@ -110,39 +127,54 @@ def _propose(view: DataFrame, wide: list[_Interval]) -> list[tuple[_Interval, _I
     ]
 
 
-def _prove(view: DataFrame, proposals: list[tuple[_Interval, _Interval]]) -> list[_Interval]:
-    """Count below and inside every proposed interval; one that misses its rank gives way to the interval it came from."""
+def _prove(view: DataFrame, proposals: list[tuple[_Interval, _Interval]]) -> tuple[list[_Interval], _Found]:
+    """Count below, at the ends of and inside every proposed interval.
+
+    A rank that falls on an end is answered; an end that a large part of the rows share thus never stays in an interval.
+    A proposal that misses its rank gives way to the interval it came from.
+    """
     distinct = list(dict.fromkeys((c.name, c.low, c.high) for _, c in proposals))
     tests = []
     for n, (name, low, high) in enumerate(distinct):
-        col = F.col(f"`{name}`")
-        tests.append(F.count_if(col < F.lit(low)).alias(f"below{n}"))
-        tests.append(F.count_if(col.between(F.lit(low), F.lit(high))).alias(f"size{n}"))
+        col, lo, hi = F.col(f"`{name}`"), F.lit(low), F.lit(high)
+        tests += [
+            F.count_if(col < lo).alias(f"below{n}"),
+            F.count_if(col == lo).alias(f"low{n}"),
+            F.count_if((col > lo) & (col < hi)).alias(f"mid{n}"),
+            F.count_if(col == hi).alias(f"high{n}"),
+        ]
     proof = view.agg(*tests).first()
 
+    found: _Found = {}
     merged: dict[tuple, _Interval] = {}
     for parent, c in proposals:
-        n = distinct.index((c.name, c.low, c.high))
-        below, size = proof[f"below{n}"], proof[f"size{n}"]
-        if below <= c.ranks[0] < below + size:
-            found = replace(c, below=below, size=size, settled=size > parent.size // 2)
+        n, rank = distinct.index((c.name, c.low, c.high)), c.ranks[0]
+        start = proof[f"below{n}"]
+        inner = start + proof[f"low{n}"]
+        after = inner + proof[f"mid{n}"]
+        if start <= rank < inner:
+            found[c.name, rank] = c.low
+            continue
+        if after <= rank < after + proof[f"high{n}"]:
+            found[c.name, rank] = c.high
+            continue
+        if inner <= rank < after:
+            kept = replace(c, below=inner, size=after - inner, settled=after - inner > parent.size // 2)
         else:
-            found = replace(parent, ranks=c.ranks, settled=True)
-        key = (found.name, found.low, found.high)
+            kept = replace(parent, ranks=c.ranks, settled=True)
+        key = (kept.name, kept.low, kept.high)
         if key in merged:
-            found = replace(found, ranks=tuple(sorted({*merged[key].ranks, *found.ranks})))
-        merged[key] = found
-    return list(merged.values())
+            kept = replace(kept, ranks=tuple(sorted({*merged[key].ranks, *kept.ranks})))
+        merged[key] = kept
+    return list(merged.values()), found
 
 
-def _pick(view: DataFrame, intervals: list[_Interval]) -> dict[str, dict[int, object]]:
-    result: dict[str, dict[int, object]] = defaultdict(dict)
+def _pick(view: DataFrame, intervals: list[_Interval]) -> _Found:
+    """Order the few values left and read off the ranks. Equal values are counted before anything is ordered."""
     by_type: dict[str, list[_Interval]] = defaultdict(list)
     for i in intervals:
-        if i.low is not None and i.low == i.high:
-            result[i.name].update({r: i.low for r in i.ranks})
-        else:
-            by_type[view.schema[i.name].dataType.simpleString()].append(i)
+        by_type[view.schema[i.name].dataType.simpleString()].append(i)
+    found: _Found = {}
     for group in by_type.values():
         entries = [
             F.struct(F.lit(n).alias("part"), i.inside(F.col(f"`{i.name}`")).alias("value"))
@@ -162,9 +194,8 @@ def _pick(view: DataFrame, intervals: list[_Interval]) -> dict[str, dict[int, ob
                 for k, (n, i, r) in enumerate(wanted)
             ]
         ).first()
-        for k, (_, i, r) in enumerate(wanted):
-            result[i.name][r] = row[f"v{k}"]
-    return result
+        found.update({(i.name, r): row[f"v{k}"] for k, (_, i, r) in enumerate(wanted)})
+    return found
 
 
 def exact_quantiles(
@@ -199,8 +230,8 @@ def exact_quantiles(
         for k, (lo, hi, _) in enumerate(places[name]):
             ends = {"low": facts[f"s{n}"][2 * k], "high": facts[f"s{n}"][2 * k + 1]}
             proposals += [(whole, replace(whole, ranks=(rank,), **ends)) for rank in {lo, hi}]
-    intervals = settled + (_prove(view, proposals) if proposals else [])
-    values = _settle(view, intervals, small_enough)
+    narrowed, known = _prove(view, proposals) if proposals else ([], None)
+    values = _settle(view, settled + narrowed, small_enough, known)
     return {
         name: [_between(values[name], place) for place in places[name]] if name in places else [None] * len(probs)
         for name in columns

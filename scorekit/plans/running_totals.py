@@ -8,23 +8,6 @@ BUCKETS = 256
 FAN = 16
 
 
-def quantile_bucket(table: DataFrame, series: str, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``: ascending ranges of ``order`` within each series, about equally full.
-
-    The range ends come from a sketch. They set the balance only; any ends give the same totals. ``series`` is a column
-    or model name, so the broadcast side has one row per column of the caller's schema with ``buckets`` numbers in it.
-    The search goes in two steps: among every FAN-th end, then among those between.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    ends = table.groupBy(series).agg(F.percentile_approx(order, shares, 20 * buckets).alias("_ends"))
-    ends = ends.withColumn("_coarse", F.filter("_ends", lambda e, i: (i + 1) % FAN == 0))
-    x = F.col(order)
-    steps = F.size(F.filter("_coarse", lambda e: e < x)) * FAN
-    placed = table.join(F.broadcast(ends), series).withColumn("_step", steps)
-    rest = F.size(F.filter(F.slice("_ends", F.col("_step") + 1, FAN - 1), lambda e: e < x))
-    return placed.withColumn("_bucket", F.col("_step") + rest).drop("_ends", "_coarse", "_step")
-
-
 def running_totals(
     table: DataFrame,
     series: str,
@@ -35,27 +18,29 @@ def running_totals(
 ) -> DataFrame:
     """For each measure add ``before_<m>`` (sum over smaller ``order``) and ``total_<m>`` within the series.
 
-    ``table`` holds one row per (series, order). Rows are cut into ordered buckets; each bucket is summed, the bucket
-    sums are accumulated (a table of at most ``buckets`` rows per series), and a window runs inside each bucket only.
+    ``table`` holds one row per (series, order); ``series`` is a column or model name, so there are few. Rows are cut
+    into ordered buckets, by ``bucket`` or else by sketched quantiles of ``order``. Each bucket is summed, the bucket
+    sums are accumulated, and a window runs inside each bucket only. What is broadcast has one row per series, or one
+    per series and bucket.
     """
-    cut = (
-        quantile_bucket(table, series, order, buckets) if bucket is None else table.withColumn("_bucket", bucket)
-    )
+    totals = [F.sum(m).alias(f"total_{m}") for m in measures]
+    if bucket is None:
+        cut = _in_quantile_buckets(table, series, order, totals, buckets)
+    else:
+        cut = table.join(F.broadcast(table.groupBy(series).agg(*totals)), series).withColumn("_bucket", bucket)
     earlier = Window.partitionBy(series).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(series)
+    # The totals are constant within a series. Grouping by them too keeps both sides on the same columns, so that the
+    # aggregate and the range ends are computed once and reused.
     offsets = (
-        cut.groupBy(series, "_bucket")
+        cut.groupBy(series, "_bucket", *[f"total_{m}" for m in measures])
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            series,
-            "_bucket",
-            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
+            series, "_bucket", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures]
         )
     )
     within = Window.partitionBy(series, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.join(offsets, [series, "_bucket"])
+        cut.join(F.broadcast(offsets), [series, "_bucket"])
         .withColumns(
             {
                 f"before_{m}": F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(within), F.lit(0))
@@ -64,3 +49,22 @@ def running_totals(
         )
         .drop("_bucket", *[f"_off_{m}" for m in measures])
     )
+
+
+def _in_quantile_buckets(
+    table: DataFrame, series: str, order: str, totals: list[Column], buckets: int
+) -> DataFrame:
+    """Add ``_bucket``, ascending ranges of ``order`` about equally full within each series, and the series' totals.
+
+    The range ends come from a sketch and set the balance only; any ends give the same sums. Sketch and totals share
+    one aggregate over all columns of ``table``, so that the shuffle below it is the one the rows use too. The search
+    goes in two steps: among every FAN-th end, then among those between.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    ends = table.groupBy(series).agg(F.percentile_approx(order, shares, 20 * buckets).alias("_ends"), *totals)
+    ends = ends.withColumn("_coarse", F.filter("_ends", lambda e, i: (i + 1) % FAN == 0))
+    x = F.col(order)
+    steps = F.size(F.filter("_coarse", lambda e: e < x)) * FAN
+    placed = table.join(F.broadcast(ends), series).withColumn("_step", steps)
+    rest = F.size(F.filter(F.slice("_ends", F.col("_step") + 1, FAN - 1), lambda e: e < x))
+    return placed.withColumn("_bucket", F.col("_step") + rest).drop("_ends", "_coarse", "_step")
