@@ -459,7 +459,7 @@ SQL["prob_to_score"] = f"""
 select id, {_r("case when y_prob <= 0 then 'inf'::double else 500 - 20 / ln(2) * ln(y_prob / (1 - y_prob)) end", 'score')} from {V['scored']}
 """
 
-SQL["willingness_scores"] = f"""
+SQL["willingness_score"] = f"""
 select id, cast(round_even(least(greatest(600 - 20 / ln(2) * ln(5) + 20 / ln(2) * ln(p / (1 - p)), 300), 700), 0) as int) as score
 from (select id, least(greatest(y_prob, 1e-10), 1 - 1e-10) as p from {V['scored']})
 """

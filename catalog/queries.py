@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from catalog.views import table, view
-from scorekit.functions import losses
-from scorekit.functions.scorecard import clip, risk_score, willingness_score
+from scorekit.functions import losses, scorecard
+from scorekit.functions.numbers import clip
+from scorekit.functions.scorecard import risk_score
 from scorekit.operators import binning, blending, cleaning, collinearity, drift, encoding, features, ranking, reports
 from scorekit.plans import boosting, folds, stacking
 from scorekit.plans.feature_table import CROSS_FIRST, CROSS_SECOND, build_feature_table
@@ -360,8 +361,8 @@ def prob_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def willingness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "scored").select("id", willingness_score(F.col("y_prob")).alias("score"))
+def willingness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "scored").select("id", scorecard.willingness_score(F.col("y_prob")).alias("score"))
 
 
 def _derivatives(spark: SparkSession, sf_dir: str, loss, **options) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Bin numbers as expressions. Bins are right-closed; the number of a bin is its order."""
+"""Bin numbers as expressions. Bins are right-closed; the number of a bin is its order. NULL and NaN have none."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from scorekit.functions.numbers import present
+
 MISSING_BIN = -1
 
 
@@ -16,6 +18,7 @@ def by_edges(x: Column, edges: Sequence[float], outside: str = "drop") -> Column
     """
     if outside not in ("drop", "open"):
         raise ValueError("outside must be 'drop' or 'open'")
+    x = present(x)
     if len(edges) < 2:
         return F.when(x == edges[0], 1) if edges and outside == "drop" else F.when(x.isNotNull(), 1)
     last = len(edges) - 1
@@ -29,13 +32,14 @@ def by_edges(x: Column, edges: Sequence[float], outside: str = "drop") -> Column
 
 def equal_width(x: Column, low: Column, high: Column, bins: int) -> Column:
     """Bin 1..bins of equal width from ``low`` to ``high``; a constant column is all in bin 1."""
+    x = present(x)
     position = F.ceil(F.try_divide(x - low, (high - low) / bins))
     return F.when(x.isNotNull(), F.coalesce(F.least(F.greatest(position, F.lit(1)), F.lit(bins)), F.lit(1))).cast("int")
 
 
 def fixed_step(x: Column, low: Column, step: float) -> Column:
     """Bin 0 holds the minimum itself, bin k the values in ``(low+(k-1)*step, low+k*step]``."""
-    return F.ceil((x - low) / F.lit(step)).cast("bigint")
+    return F.ceil((present(x) - low) / F.lit(step)).cast("bigint")
 
 
 def own_bin_for_missing(number: Column) -> Column:

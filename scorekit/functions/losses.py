@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
-from scorekit.functions.scorecard import clip
+from scorekit.functions.numbers import clip
 
 
 class Derivatives(NamedTuple):

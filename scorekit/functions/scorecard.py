@@ -6,16 +6,13 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-
-def clip(col: Column, low: float, high: float) -> Column:
-    """Clip to ``[low, high]``; NULL stays NULL (``greatest``/``least`` would turn it into a bound)."""
-    return F.when(col < low, F.lit(low)).when(col > high, F.lit(high)).otherwise(col)
+from scorekit.functions.numbers import clip
 
 
 def risk_score(prob: Column, base_score: float = 500.0, pdo: float = 20.0) -> Column:
     """Score that falls as the probability rises; 0 gives +inf, 1 gives -inf, outside [0, 1] NaN."""
     per_log_odds = pdo / math.log(2)
-    inside = (prob > 0) & (prob < 1)
+    inside = (prob > 0) & (prob < 1)  # NaN is not
     odds = F.when(inside, prob / F.when(inside, 1 - prob))
     return (
         F.when(prob.isNull(), F.lit(None).cast("double"))

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorekit.functions.intervals import by_edges, equal_width, fixed_step, own_bin_for_missing
+from scorekit.functions.numbers import present
 from scorekit.plans.order_stats import approximate_quantiles, exact_quantiles
 
 
@@ -27,7 +28,7 @@ def fit_quantile_edges(
 
 def fit_ranges(df: DataFrame, columns: dict[str, Column]) -> dict[str, Range]:
     """Smallest and largest value of each column, in one pass."""
-    row = df.agg(*[f(c).alias(f"{k}{n}") for n, c in columns.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    row = df.agg(*[f(present(c)).alias(f"{k}{n}") for n, c in columns.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()
     return {n: Range(row[f"lo{n}"], row[f"hi{n}"]) for n in columns}
 
 

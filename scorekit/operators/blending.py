@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorekit.functions.numbers import present
 from scorekit.operators.ranking import ranking_metrics
 
 WEIGHT_METRICS = ("ks", "auc", "f1")
@@ -19,7 +20,7 @@ def _total(parts: Sequence[Column]) -> Column:
 def hard_vote(scores: Sequence[str], thresholds: float | Sequence[float] = 0.5) -> Column:
     """1 if more than half of the scores reach their threshold; a tie, or a missing score, is no vote for 1."""
     limits = [thresholds] * len(scores) if isinstance(thresholds, (int, float)) else list(thresholds)
-    votes = [F.when(F.col(s) >= t, 1).otherwise(0) for s, t in zip(scores, limits, strict=True)]
+    votes = [F.when(present(F.col(s)) >= t, 1).otherwise(0) for s, t in zip(scores, limits, strict=True)]
     return (_total(votes) * 2 > len(scores)).cast("int")
 
 

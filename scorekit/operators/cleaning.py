@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scorekit.functions.scorecard import clip
+from scorekit.functions.numbers import clip
 from scorekit.functions.text import parses_as_integer, parses_as_number
 from scorekit.plans.order_stats import approximate_quantiles, exact_quantiles
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from scorekit.functions.numbers import present
 from scorekit.plans.running_totals import BUCKETS, running_totals
 
 
@@ -16,7 +17,7 @@ def score_curve(df: DataFrame, label: str, scores: Sequence[str], buckets: int =
     part of the rows share is one row here. Rows without score or label are left out.
     """
     cells = F.inline(
-        F.array(*[F.struct(F.lit(s).alias("model"), F.col(f"`{s}`").cast("double").alias("score")) for s in scores])
+        F.array(*[F.struct(F.lit(s).alias("model"), present(F.col(f"`{s}`")).alias("score")) for s in scores])
     )
     counted = (
         df.select(F.col(label).alias("_y"), cells)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from scorekit.functions.intervals import fixed_step
+from scorekit.functions.numbers import present
 from scorekit.operators.binning import fit_ranges
 from scorekit.plans.order_stats import SMALL_ENOUGH, count_values, values_at_ranks
 from scorekit.plans.running_totals import running_totals
@@ -66,7 +67,7 @@ def topn_report(
     numeric = isinstance(df.schema[key].dataType, T.NumericType)
     rows = df.select(
         F.col(label).alias("y"),
-        F.col(score).cast("double").alias("p"),
+        present(F.col(score)).alias("p"),
         (F.col(key) if numeric else F.xxhash64(key)).alias("k"),
     ).filter("p is not null")
     counts = count_values(rows, {"p": F.col("p")})
@@ -135,7 +136,7 @@ def threshold_report(
     df: DataFrame, label: str, score: str, thresholds: Sequence[float] = DEFAULT_THRESHOLDS
 ) -> DataFrame:
     """Quality of the rows scored at or above each threshold, one row per threshold, from one pass."""
-    p, positive = F.col(score), F.col(label) == 1
+    p, positive = present(F.col(score)), F.col(label) == 1
     sums = [F.count(F.lit(1)).alias("n_rows"), F.count_if(positive).alias("positives")]
     for i, t in enumerate(thresholds):
         sums += [
@@ -184,7 +185,7 @@ def score_bands(df: DataFrame, score: str, label: str, width: float = 5.0) -> Da
     else:
         last = df.agg(F.max(fixed_step(F.col(score).cast("double"), F.lit(low), width))).first()[0]
     counted = (
-        df.filter(F.col(score).isNotNull())
+        df.filter(present(F.col(score)).isNotNull())
         .groupBy(fixed_step(F.col(score).cast("double"), F.lit(low), width).alias("band"))
         .agg(F.count(F.lit(1)).alias("total"), F.sum(label).cast("bigint").alias("bad"))
     )
@@ -225,8 +226,9 @@ def score_bands(df: DataFrame, score: str, label: str, width: float = 5.0) -> Da
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """One row: tn, fp, fn, tp, and precision, recall, f1, accuracy for scores from ``threshold`` up."""
-    said, true = F.col(score) >= threshold, F.col(label) == 1
-    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).agg(
+    p, true = present(F.col(score)), F.col(label) == 1
+    said = p >= threshold
+    counts = df.filter(p.isNotNull() & F.col(label).isNotNull()).agg(
         F.count_if(~said & ~true).alias("tn"),
         F.count_if(said & ~true).alias("fp"),
         F.count_if(~said & true).alias("fn"),

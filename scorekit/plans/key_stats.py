@@ -22,6 +22,7 @@ NO_VALUE = "\u0000"
 BROADCAST_BUDGET = 256 << 20
 ROW_OVERHEAD = 96
 HOT_PARTS = 100_000
+HOT_KEY_BYTES = 1024
 SALTS = 4096
 CODES_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1000
@@ -384,10 +385,11 @@ def _literal_map(rows: list[Row]) -> Column:
 def _attach_large(rows: DataFrame, side: DataFrame, names: list[str], stats: KeyStats) -> DataFrame:
     """Join a side too large to broadcast, safe against frequent keys.
 
-    A key is frequent when it holds at least 1/hot_parts of the rows, so there are at most hot_parts of them: broadcast.
-    Their rows then need no match from the other keys and go to the shuffle join with a NULL key and a salt.
+    A key is frequent when it holds at least 1/hot_parts of the rows, so there are at most hot_parts of them, none longer
+    than HOT_KEY_BYTES: broadcast. Their rows then need no match from the other keys and go to the shuffle join with a
+    NULL key and a salt.
     """
-    frequent = F.col("_n") * stats.hot_parts >= stats.rows
+    frequent = (F.col("_n") >= stats.rows / stats.hot_parts) & (F.octet_length("_key") <= HOT_KEY_BYTES)
     hot = side.filter(frequent).select(
         "_key", F.lit(True).alias("_hot"), *[F.col(n).alias(f"_hot_{n}") for n in names]
     )

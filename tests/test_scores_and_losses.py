@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from conftest import column
 from scorekit.functions import losses
-from scorekit.functions.scorecard import clip, risk_score, willingness_score
+from scorekit.functions.numbers import clip
+from scorekit.functions.scorecard import risk_score, willingness_score
 from scorekit.operators import blending
 
 

@@ -195,3 +195,14 @@ def test_importance_report(spark):
     df = spark.createDataFrame(rows, "feature string, fold int, importance double")
     found = reports.importance_report(df, top=2).collect()
     assert [(r["feature"], r["importance"], r["percentage"]) for r in found] == [("a", 4.0, 80.0), ("b", 1.0, 20.0)]
+
+
+def test_nan_is_a_missing_score(spark):
+    df = scored(spark, [(1, 0.9), (0, 0.2), (1, float("nan"))])
+    assert reports.threshold_report(df, "y", "p", [0.5]).first()["n"] == 1
+    assert reports.confusion(df, "y", "p").first()["tp"] == 1
+    assert reports.topn_report(df, "y", "p", "id", [1]).first()["boundary"] == 0.9
+    assert column(ranking.auc(df, "y", "p"), "auc") == [1.0]
+    assert sum(column(reports.score_bands(df, "p", "y", 0.5), "total")) == 2
+    assert column(binning.bin_by_width(df, "p", 2), "bin", "id") == [2, 1, None]
+    assert column(binning.bin_by_edges(df, "p", [0.0, 0.5, 1.0], outside="open"), "bin", "id") == [2, 1, None]
