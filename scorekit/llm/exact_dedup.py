@@ -21,8 +21,11 @@ from scorekit.llm.text import FILE, ROW, SPACE, or_empty, with_locator
 from scorekit.skew import broadcast_if_small, join_counted
 from scorekit.workspace import fresh_path, materialise, write_table
 
-STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state. Stores are closed as soon as a task has committed: an open one holds preallocated files.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 #: Copies that are compared with one replica of the row that stays; larger groups get more replicas.
 COPIES_PER_REPLICA = 1000
@@ -67,8 +70,9 @@ def run_stream(spark: SparkSession, folder: str, files_per_trigger: int | None =
     source = spark.readStream.schema(schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    before = spark.conf.get(STATE_PROVIDER, None)
-    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = (
             dedup_stream(source.parquet(folder))
@@ -80,10 +84,11 @@ def run_stream(spark: SparkSession, folder: str, files_per_trigger: int | None =
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(STATE_PROVIDER)
-        else:
-            spark.conf.set(STATE_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     state = spark.read.format("statestore").load(checkpoint)
     # The buffer of an aggregate holds its parts in the order in which they were written: the count, then the best row.
     count, best = (F.col(f"value.{name}") for name in state.schema["value"].dataType.names)
