@@ -1,7 +1,7 @@
 """Mixing sources to target weights (operator 3).
 
 Each document gets a hash-random key. Keys are spread evenly over their range, so a source is cut into key ranges of
-about ``ROWS_PER_RANGE`` documents, as many as it needs: ranges of one large source go to many tasks. The words of each
+about equally many documents, as many as it needs: ranges of one large source go to many tasks. The words of each
 range are summed first; the running sum of these few numbers gives each range its offset, and only inside a range are
 documents ordered. The source is then cut at its budget to the word: every document is taken ``budget // source_size``
 times whole, and those in front of the cut once more.
@@ -13,6 +13,7 @@ columns: ignored by ``takes``, kept by ``mix``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +23,9 @@ from scorekit.llm.text import FILE, ROW, with_locator, word_count
 from scorekit.skew import broadcast_if_small
 from scorekit.workspace import materialise
 
-#: Documents of one source that one task orders.
-ROWS_PER_RANGE = 50_000
+#: Documents of one source that one task orders, at least; of n documents in all, the root of n if that is more, so that
+#: neither the ranges nor the list of their sums grow with n.
+ROWS_PER_RANGE = 1000
 
 #: A mix has a weight for each source, so sources are few; more than this is taken for a wrong column.
 MAX_SOURCES = 100_000
@@ -69,6 +71,7 @@ def _budgets(rows: DataFrame, weights: Callable[[int], Sequence[float]], share:
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     wanted = targets(sizes, weights(len(found)), int(share * sum(sizes)), max_epochs)
+    per_range = max(per_range, math.isqrt(sum(r["n"] for r in found)))
     table = []
     for i, (r, target) in enumerate(zip(found, wanted, strict=True)):
         budget = min(int(target + 0.5), max_epochs * r["size"])
