@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scorekit.llm import licences
+
 SQL: dict[str, str] = {}
 
 SQL["op3_mixing"] = r"""
@@ -42,3 +44,53 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
   row_number() over w = 1 as kept, sha256(norm) as text_sha256
 from rows window w as (partition by norm order by n desc, doc_id rows between unbounded preceding and unbounded following)
 """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _licences() -> str:
+    known = ", ".join(f"({_text(sentence)}, {_text(name)})" for sentence, name in licences.KNOWN.items())
+    used_up = "ids"
+    for licence, pattern in licences.RULES:
+        used_up = f"regexp_replace({used_up}, {_text(pattern)}, {_text('{' + licence + '}')}, 'g')"
+    return rf"""
+with known(sentence, name) as (values {known}),
+views as (
+  select doc_id, 0 as wrapped, regexp_replace(coalesce(text, ''), '\n', chr(1), 'g') as body from documents
+  union all
+  select doc_id, 1, regexp_replace(coalesce(text, ''), '\n[\x09-\x0D\x20]*\n', chr(1), 'g') from documents),
+cut as (
+  select doc_id, wrapped, unnest(parts) as part, generate_subscripts(parts, 1) as n
+  from (select *, string_split(regexp_replace(body, '([.!?;:])[\x09-\x0D\x20]+', '\1' || chr(1), 'g'), chr(1)) as parts from views)),
+normal as (
+  select doc_id, wrapped, n, trim(regexp_replace(regexp_replace(
+    translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' ') as sentence
+  from cut),
+identified as (
+  select doc_id, wrapped, n, case when k.name is not null then '<' || k.name || '>' else '<copyright>' end as id
+  from normal left join known k using (sentence)
+  where k.name is not null or (regexp_matches(sentence, '^(copyright( c)?|c copyright) (19|20)[0-9][0-9]\b'))),
+sequences as (
+  select doc_id, string_agg(id, '' order by n) filter (wrapped = 0) as lines, string_agg(id, '' order by n) filter (wrapped = 1) as wrapped
+  from identified group by doc_id),
+matched as (
+  select doc_id, lines, wrapped, {used_up.replace("ids", "coalesce(lines, '')", 1)} as lines_found,
+    {used_up.replace("ids", "coalesce(wrapped, '')", 1)} as wrapped_found
+  from sequences),
+lists as (
+  select doc_id,
+    regexp_extract_all(coalesce(lines, ''), '<([^>]*)>', 1) || regexp_extract_all(coalesce(wrapped, ''), '<([^>]*)>', 1) as s,
+    regexp_extract_all(lines_found, '\{{([^}}]*)\}}', 1) || regexp_extract_all(wrapped_found, '\{{([^}}]*)\}}', 1) as l,
+    regexp_extract_all(lines_found, '<([^>]*)>', 1) || regexp_extract_all(wrapped_found, '<([^>]*)>', 1) as u
+  from matched)
+select doc_id,
+  coalesce(array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ' '), '') as sentences,
+  coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' '), '') as licences,
+  coalesce(array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' '), '') as unmatched
+from documents left join lists using (doc_id)
+"""
+
+
+SQL["op4_licences"] = _licences()

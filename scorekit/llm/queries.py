@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorekit.llm import bpe, exact_dedup, mixing, token_files
+from scorekit.llm import bpe, exact_dedup, licences, link_trust, mixing, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,3 +51,14 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.concat_ws(" ", c).alias(c) for c in ("sentences", "licences", "unmatched")])
+
+
+@_query
+def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
