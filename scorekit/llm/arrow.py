@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of one Arrow batch: texts differ in length by orders of magnitude, so rows alone do not bound a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -36,8 +36,9 @@ PATTERN = regex.compile(
 #: Between two characters that are not white space, a single blank always starts a new word: texts may be cut there.
 SAFE_BLANK = regex.compile(r"(?<=[^" + _S + r"]) (?=[^" + _S + "])")
 
-#: Entries that a task keeps of words and token pairs it has seen; then it starts anew. Memory only, never a result.
-CACHE = 500_000
+#: Entries that a task keeps of what it has seen, then it starts anew: words, pieces between blanks, token pairs. Memory
+#: only (about 200 bytes an entry), never a result.
+WORDS, PIECES, PAIRS = 400_000, 150_000, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,12 +51,12 @@ def byte_alphabet() -> dict[str, int]:
 class _Cache(dict):
     """A dictionary that computes what it lacks."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, limit: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.compute(key)
         return value
@@ -91,9 +92,9 @@ class PrefixBpe:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._fits = _Cache(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF))
-        self._words = _Cache(self._encode_word)
-        self._after_blank = _Cache(self._encode_after_blank)
+        self._fits = _Cache(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS)
+        self._words = _Cache(self._encode_word, WORDS)
+        self._after_blank = _Cache(self._encode_after_blank, PIECES)
 
     def _reachable(self, token: int) -> bool:
         """A token is its own encoding if its two parts would not have merged otherwise before."""
@@ -182,20 +183,27 @@ def _loaded(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Add ids (little-endian unsigned 32-bit integers) and n_tokens of each whole text. Executors read ``vocabulary``."""
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Add ids (little-endian unsigned 32-bit integers) and n_tokens of each whole text. Executors read ``vocabulary``.
+
+    With ``decoded`` the ids are decoded again in the same pass and their text is added as ``decoded``.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
         for batch in batches:
             ids = [bpe.encode(t) for t in texts_of(batch, text)]
-            yield with_columns(
-                batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64())
-            )
-
-    schema = T.StructType([f for f in docs.schema if f.name not in ("ids", "n_tokens")])
-    return docs.mapInArrow(run, schema.add("ids", T.BinaryType()).add("n_tokens", T.LongType()))
+            new = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
+            if decoded:
+                new["decoded"] = pa.array(map(bpe.decode, ids), pa.string())
+            yield with_columns(batch, **new)
+
+    added = T.StructType().add("ids", T.BinaryType()).add("n_tokens", T.LongType())
+    if decoded:
+        added = added.add("decoded", T.StringType())
+    kept = [f for f in docs.schema if f.name not in added.names]
+    return docs.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
