@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorekit.llm import bpe, exact_dedup, licences, link_trust, mixing, token_files
+from scorekit.llm import bpe, exact_dedup, licences, link_trust, mixing, ngram_join, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,8 +44,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    return bpe.decode(encoded, vocabulary).select(
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, vocabulary, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -62,3 +62,8 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(_table(spark, sf_dir, "documents"), n=4, percent=85)
