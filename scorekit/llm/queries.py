@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorekit.llm import bpe, exact_dedup, licences, link_trust, mixing, ngram_join, token_files
+from scorekit.llm import bpe, exact_dedup, katz, licences, link_trust, mixing, ngram_join, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -67,3 +67,8 @@ def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_of(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@_query
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.fit_and_score(_table(spark, sf_dir, "documents"))
