@@ -16,6 +16,8 @@ order among equal ids is that of the sort. Empty table: no files, an empty index
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,46 +36,93 @@ from scorekit.workspace import fresh_path
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 
-#: Chunks whose ids a task remembers; then it starts anew. Memory only, never a result.
-CACHE = 500_000
+#: Entries that a task remembers of chunks and of words; then it starts anew. Memory only, never a result.
+CHUNKS, WORDS = 300_000, 400_000
 
-INDEX = "doc_id long, shard int, path string, place long, n_tokens long"
-
-
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+#: The word pattern of the lower-casing word vocabulary (fixed value). White space ends every match, and a run of
+#: punctuation is a match of its own.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: ASCII punctuation that may end a word; without the apostrophe, which begins matches.
+PUNCTUATION = b""".,;:!?()[]{}"#$%&*+-/<=>@\\^_`|~"""
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+INDEX = "doc_id long, shard int, path string, place long, n_tokens long"
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk for tokenizers that drop white space: no token crosses it, so chunks can be remembered."""
+    """Encodes texts. Where no token can cross white space, the library encodes each new word once and it is remembered."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.seen: dict[bytes, bytes] = {}
+        self.by_words = self._drops_white_space()
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def _drops_white_space(self) -> bool:
+        """Whether this is a vocabulary of lower-cased words between white space and punctuation."""
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+        inside = all(len(t["content"].split()) == 1 and t["content"].startswith("<|") for t in spec["added_tokens"])
+        return (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and split.get("pattern") == {"Regex": WORD_PATTERN}
+            and split.get("behavior") == "Removed"
+            and plain
+            and inside
+        )
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encodings]
+
+    @staticmethod
+    def _chunks(text: bytes) -> list[bytes]:
+        """Parts between ASCII white space. A-Z may be lower-cased first where no special token and no combining mark is."""
+        return (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
+    @staticmethod
+    def _parts(chunk: bytes) -> tuple[bytes, bytes]:
+        """A word of plain letters and the punctuation behind it; or the chunk as it is."""
+        stem = chunk.rstrip(PUNCTUATION)
+        if stem and len(stem) < len(chunk) and b"<|" not in chunk:
+            letters = stem.decode("utf-8")
+            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # that one becomes two
+                return stem, chunk[len(stem) :]
+        return chunk, b""
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        new = {chunk for chunks in split for chunk in chunks if chunk not in self.seen}
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {}
+        if not self.by_words:
+            return self._library([text.decode("utf-8") for text in texts])
+        split = [self._chunks(text) for text in texts]
+        new = {chunk for chunks in split for chunk in chunks if chunk not in self.chunks}
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks = {}
             new = {chunk for chunks in split for chunk in chunks}
-        new = list(new)
-        encodings = self.tokenizer.encode_batch_fast([chunk.decode("utf-8") for chunk in new], add_special_tokens=False)
-        self.seen.update((chunk, np.array(e.ids, self.dtype).tobytes()) for chunk, e in zip(new, encodings, strict=True))
-        get = self.seen.__getitem__
+        parts = {chunk: self._parts(chunk) for chunk in new}
+        lacking = {word for both in parts.values() for word in both if word not in self.words}
+        if len(self.words) + len(lacking) > WORDS:
+            self.words = {}
+            lacking = {word for both in parts.values() for word in both}
+        lacking = list(lacking)
+        self.words.update(zip(lacking, self._library([word.decode("utf-8") for word in lacking]), strict=True))
+        self.chunks.update((chunk, self.words[word] + self.words[tail]) for chunk, (word, tail) in parts.items())
+        get = self.chunks.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One for all tasks of a worker process."""
+    return ChunkEncoder(path)
+
+
 class _Writer:
     """One file: ids come in as bytes, full record batches go out."""
 
@@ -123,7 +172,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer = TaskContext.get().partitionId(), None
-        encoder = ChunkEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             if not batch.num_rows:
