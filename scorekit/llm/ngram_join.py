@@ -8,8 +8,8 @@ product: their overlap is then accumulated over all blocks and compared with the
 A common passage does not bring pairs together: it fills no block alone.
 
 * Equal sets are one node from the start (exact copies and reordered repeats cost nothing more).
-* In a block all documents are compared with one pivot. Only documents that this leaves in different components are
-  compared with each other. So a group of near copies costs a few comparisons for each document, and no link between
+* Each document is first compared with one pivot, that of most blocks in common. Only documents that this leaves in
+  different components are compared with each other, block by block. So a group of near copies costs a few comparisons for each document, and no link between
   components is lost.
 * A block is empty for both documents, and no use, only if a set occupies at most d blocks; such (small) sets are also
   entered under each element of their prefix, which any two similar sets share.
@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorekit.llm.arrow import bounded_batches, bytes_of
@@ -39,8 +39,13 @@ from scorekit.llm.text import FILE, ROW, with_locator, words
 from scorekit.skew import broadcast_if_small, join_counted
 from scorekit.workspace import materialise
 
-#: Pairs of one pivot that one task compares.
+#: Pairs of one pivot that one task compares, and parts of a pivot for which its text is read once.
 PAIRS_PER_PART = 256
+ROLES_PER_READ = 1000
+
+#: Bits of the bitmap that sorts out block digests of one class only. It is broadcast; when too many digests are shared it
+#: sorts out less, and the join does the rest.
+BITMAP = 1 << 27
 
 #: Words whose hashes a task remembers; then it starts anew. Memory only, never a result.
 CACHE = 1_000_000
@@ -121,12 +126,12 @@ def block_counts(size: int, percent: int) -> list[tuple[int, int]]:
     return used
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+def signatures(elements: np.ndarray, percent: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Digests of the blocks of a set; sets that reach the threshold have at least one in common."""
     size, parts = len(elements), []
     if not size:
         return np.empty(0, np.int64)
-    weights = _mixed(elements, 2)
+    weights = _mixed(elements, 2) if weights is None else weights
     with np.errstate(over="ignore"):
         for blocks, differences in block_counts(size, percent):
             block = (elements >> _U(32)) * _U(blocks) >> _U(32)
@@ -149,9 +154,10 @@ def _prints(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for text in bytes_of(batch, "text"):
                 elements = shingles(text, n)
                 sizes.append(len(elements))
-                for out, seed in ((c1, 6), (c2, 7)):
-                    out.append(_mixed(elements, seed).sum(dtype=_U))
-                sigs.append(signatures(elements, percent))
+                weights = _mixed(elements, 2)
+                c1.append(weights.sum(dtype=_U))
+                c2.append((weights * (weights >> _U(31) | _U(1))).sum(dtype=_U))
+                sigs.append(signatures(elements, percent, weights))
             lengths = np.fromiter(map(len, sigs), np.int64, len(sigs))
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
@@ -171,50 +177,74 @@ def _prints(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, "text").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The sets of ``nodes`` (node, place), from their texts: node, size, elements (sorted 64-bit integers)."""
+def _overlaps(docs: DataFrame, prints: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that reach the threshold, by the sets of their texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each b meets its partners in parts of about ``PAIRS_PER_PART``. A text is read, and its set made, once for up to
+    ``ROLES_PER_READ`` of the places where it is needed, and sets travel to these places once.
+    """
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    counts = materialise(counts.withColumn("parts", F.ceil(F.col("n") / PAIRS_PER_PART).cast("int")), "ngram-pivots")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    members = join_counted(pairs, counts, ["b"], F.col("n"), total).select(F.col("a").alias("uid"), "b", part.alias("part"))
+    pivots = counts.select(F.col("b").alias("uid"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    reads = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
+    roles = (
+        members.withColumn("read", reads)
+        .unionByName(pivots.withColumn("read", F.floor(F.col("part") / ROLES_PER_READ).cast("int")))
+        .groupBy("uid", "read")
+        .agg(F.collect_list(F.struct("b", "part")).alias("roles"))
+    )
+    roles = materialise(prints.select("uid", *PLACE).join(roles, "uid").drop("read"), "ngram-roles")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(text, n) for text in bytes_of(batch, "text")]
+            found = [shingles(text, n).tobytes() for text in bytes_of(batch, "text")]
+            at = [batch.schema.get_field_index(c) for c in ("uid", "roles")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index("node")),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([s.tobytes() for s in found], pa.binary()),
-                ],
-                names=["node", "size", "elements"],
+                [*(batch.column(i) for i in at), pa.array(found, pa.binary())], names=["uid", "roles", "elements"]
             )
 
-    texts = docs.select(*PLACE, "text").join(broadcast_if_small(nodes, nodes.count()), PLACE).select("node", "text")
-    return materialise(texts.mapInArrow(run, "node long, size long, elements binary"), "ngram-sets")
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) that reach the threshold. The sets of a frequent b meet its pairs in parts."""
+    def compare(table: pa.Table) -> pa.Table:
+        uid, b = table.column("uid").to_numpy(), table.column("b")[0].as_py()
+        elements = [np.frombuffer(e, _U) for e in table.column("elements").to_pylist()]
+        pivot = elements[int(np.flatnonzero(uid == b)[0])]
+        passed = [
+            a
+            for a, x in zip(uid.tolist(), elements, strict=True)
+            if a != b and len(np.intersect1d(x, pivot, assume_unique=True)) >= least_overlap(len(x) + len(pivot), percent)
+        ]
+        return pa.table({"a": pa.array(passed, pa.int64()), "b": pa.array([b] * len(passed), pa.int64())})
+
+    texts = docs.select(*PLACE, "text").join(broadcast_if_small(roles, roles.count()), PLACE).select("uid", "roles", "text")
+    placed = texts.mapInArrow(sets, "uid long, roles array<struct<b: long, part: int>>, elements binary")
+    placed = placed.select("uid", "elements", F.inline("roles"))
+    return materialise(placed.groupBy("b", "part").applyInArrow(compare, "a long, b long"), "ngram-links")
+
+
+def _filtered(prints: DataFrame, shared: DataFrame) -> DataFrame:
+    """Entries (c1, sig) that may be in ``shared``: a bitmap of fixed size sorts most others out before the shuffle."""
+    spark, hashed = prints.sparkSession, F.col("sig").bitwiseAND(F.lit(BITMAP - 1))
+    chunks = shared.groupBy(F.shiftright(hashed, 15).alias("chunk")).agg(
+        F.bitmap_construct_agg(hashed.bitwiseAND(F.lit(32767))).alias("bits")
+    )
+    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    for r in chunks.toLocalIterator():
+        bitmap[r["chunk"] * 4096 : (r["chunk"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    known = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
         for batch in batches:
-            left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("of_a", "of_b"))
-            passed = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                overlap = len(np.intersect1d(x, y, assume_unique=True))
-                passed.append(overlap >= least_overlap(len(x) + len(y), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
+            sigs = batch.column(1)
+            flat, lengths = sigs.flatten().to_numpy(), np.diff(sigs.offsets.to_numpy())
+            at = flat & (BITMAP - 1)
+            may = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            owner = np.repeat(batch.column(0).to_numpy(), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[may]), pa.array(flat[may])], names=["c1", "sig"])
 
-    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    counts = materialise(counts.withColumn("parts", F.ceil(F.col("n") / PAIRS_PER_PART).cast("int")), "ngram-pivots")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    asked = join_counted(pairs, counts, ["b"], F.col("n"), total).select(
-        "a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
-    )
-    pivots = counts.join(sets.withColumnRenamed("node", "b"), "b").select(
-        "b", F.col("elements").alias("of_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    members = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
-    met = asked.join(members, "a").join(pivots, ["b", "part"]).select("a", "b", "of_a", "of_b")
-    return met.mapInArrow(run, "a long, b long")
+    return prints.select("c1", "sigs").mapInArrow(run, "c1 long, sig long")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -226,37 +256,42 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("size"), F.count("*").alias("n_rows")
     )
     classes = materialise(classes, "ngram-classes")
+    names = classes.select("c1", "node", "size")
 
     # Block digests that more than one class has, and the classes that have them.
     entries = prints.select("c1", F.explode("sigs").alias("sig"))
     shared = entries.groupBy("sig").agg(F.min("c1").alias("pivot"), F.max("c1").alias("last"), F.count("*").alias("n"))
     shared = materialise(shared.filter("pivot < last").drop("last"), "ngram-blocks")
     n_entries = prints.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
-    members = join_counted(entries, shared, ["sig"], F.col("n"), n_entries).select("sig", "c1", "pivot").distinct()
-    members = materialise(members, "ngram-members")
-
-    names = classes.select("c1", "node", "size")
-    pairs = members.filter("c1 <> pivot").select("c1", "pivot").distinct()
-    links, sets = _linked(docs, prints, names, pairs, n, percent, None)
+    members = join_counted(_filtered(prints, shared), shared, ["sig"], F.col("n"), n_entries)
+    members = materialise(members.select("sig", "c1", "pivot").distinct(), "ngram-members")
+
+    # First each class with the one pivot that it has most blocks in common with.
+    common = members.filter("c1 <> pivot").groupBy("c1", "pivot").agg(F.count("*").alias("blocks"))
+    most = common.groupBy("c1").agg(F.max_by("pivot", F.struct("blocks", "pivot")).alias("pivot"))
+    a = names.select("c1", F.col("node").alias("a"), F.col("size").alias("size_a"))
+    b = names.select(F.col("c1").alias("pivot"), F.col("node").alias("b"), F.col("size").alias("size_b"))
+    pairs = most.join(a, "c1").join(b, "pivot").filter(_near("size_a", "size_b", percent)).select("a", "b")
+    pairs = materialise(pairs, "ngram-pairs")
+    links = _overlaps(docs, prints, pairs, n, percent)
     labels = components(links)
 
-    # Blocks whose classes are not in one component yet: their classes of different components are compared as well.
-    placed = members.select("sig", "c1").join(names.drop("size"), "c1").join(labels, "node", "left")
-    placed = placed.select("sig", "c1", "node", F.coalesce("component", "node").alias("component"))
+    # Then the classes of blocks that are not in one component yet.
+    placed = members.select("sig", "c1").join(names, "c1").join(labels, "node", "left")
+    placed = placed.select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    left = materialise(placed.join(mixed.select("sig"), "sig").join(names, ["c1", "node"]), "ngram-open")
+    left = materialise(placed.join(mixed.select("sig"), "sig"), "ngram-open")
     right = left.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("node", "component", "size")])
-    near = (100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2")) & (F.col("node") > F.col("node_2"))
-    more = left.join(right, "sig").filter((F.col("component") != F.col("component_2")) & near)
-    more = materialise(more.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct(), "ngram-more")
+    other = (F.col("component") != F.col("component_2")) & (F.col("node") > F.col("node_2"))
+    more = left.join(right, "sig").filter(other & _near("size", "size_2", percent))
+    more = more.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more")
     if not more.isEmpty():
-        found, _ = _linked(docs, prints, names, None, n, percent, more)
-        labels = components(links.unionByName(found))
+        labels = components(links.unionByName(_overlaps(docs, prints, more, n, percent)))
 
     labelled = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_classes"))
-    n_classes = classes.count()
-    labelled = join_counted(labelled, ids, ["component"], F.col("n_classes"), n_classes)
+    labelled = join_counted(labelled, ids, ["component"], F.col("n_classes"), classes.count())
     labelled = materialise(labelled.select("c1", "c2", "n_rows", "component", "component_id"), "ngram-labels")
     rows = join_counted(prints.drop("sigs", "uid"), labelled, ["c1", "c2"], F.col("n_rows"), prints.count())
     empty = all_prints.filter("n_shingles = 0").drop("sigs", "uid")
@@ -264,20 +299,9 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.unionByName(empty)
 
 
-def _linked(
-    docs: DataFrame, prints: DataFrame, names: DataFrame, by_c1: DataFrame | None, n: int, percent: int, pairs: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
-    """Links among candidate pairs, given by nodes (``pairs``) or by the first half of the digests (``by_c1``)."""
-    if pairs is None:
-        a = names.select(F.col("c1"), F.col("node").alias("a"), F.col("size").alias("size_a"))
-        b = names.select(F.col("c1").alias("pivot"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-        near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-        pairs = by_c1.join(a, "c1").join(b, "pivot").filter(near).select("a", "b")
-        pairs = materialise(pairs, "ngram-pairs")
-    nodes = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    nodes = materialise(prints.join(nodes, "uid").select(F.col("uid").alias("node"), *PLACE), "ngram-nodes")
-    sets = _sets(docs, nodes, n)
-    return materialise(_overlaps(pairs, sets, percent), "ngram-links"), sets
+def _near(a: str, b: str, percent: int) -> Column:
+    """Sizes that allow the threshold at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorekit.llm import bpe, exact_dedup, katz, licences, link_trust, mixing, ngram_join, token_files
+from scorekit.llm import bpe, exact_dedup, katz, licences, link_trust, mixing, ngram_join, token_files, toxicity
+from scorekit.llm.ship import ship
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    REGISTRY[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    REGISTRY[f.__name__] = run
+    return run
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +79,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs.select("doc_id", "lang", "text"), model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold",
+        "rejected",
+    )
