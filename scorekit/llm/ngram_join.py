@@ -43,6 +43,15 @@ from scorekit.workspace import materialise
 PAIRS_PER_PART = 256
 ROLES_PER_READ = 1000
 
+#: There are more blocks than a pair may have differences, in this proportion. The more, the fewer pairs that agree by
+#: chance pass the count of blocks in common; and the more entries.
+SLACK = (5, 4)
+#: The last bits of an entry: its level, or all set for an element of a prefix.
+PREFIX = 127
+
+#: Documents of one side of a tile.
+TILE = 512
+
 #: Bits of the bitmap that sorts out block digests of one class only. It is broadcast; when too many digests are shared it
 #: sorts out less, and the join does the rest.
 BITMAP = 1 << 27
@@ -108,40 +117,44 @@ def _steps(limit: int) -> list[int]:
     return steps
 
 
-_STEPS = _steps(1 << 40)
+_STEPS = np.array(_steps(1 << 40))
+
 
+def level_of(differences: np.ndarray | int) -> np.ndarray:
+    """Which number of blocks (a place in ``_STEPS``) serves pairs with at most so many differences: some more than these."""
+    return np.searchsorted(_STEPS, -(-SLACK[0] * (np.asarray(differences) + 1) // SLACK[1]))
 
-def block_counts(size: int, percent: int) -> list[tuple[int, int]]:
-    """For a set of ``size``: the numbers of blocks for all partners it may have, each with its bound of differences."""
+
+def levels(size: int, percent: int) -> list[tuple[int, int]]:
+    """For a set of ``size``: the levels of all partners it may have, each with its bound of differences."""
     smallest, largest = -(-percent * size // 100), 100 * size // percent
     low, high = (size + other - 2 * least_overlap(size + other, percent) for other in (smallest, largest))
     # The bound does not fall when a partner grows by two, but may by one when it grows by one.
     low, high = max(low - 1, 0), high + 1
-    used, at = [], 0
-    for step in _STEPS:
-        if step > low:
-            used.append((step, min(high, step - 1)))
-            if step > high:
-                return used
-    return used
-
-
-def signatures(elements: np.ndarray, percent: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """Digests of the blocks of a set; sets that reach the threshold have at least one in common."""
-    size, parts = len(elements), []
+    first, last = int(level_of(low)), int(level_of(high))
+    return [(level, min(high, int(_STEPS[level]) * SLACK[1] // SLACK[0] - 1)) for level in range(first, last + 1)]
+
+
+def signatures(elements: np.ndarray, percent: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the blocks of a set, the level in their last bits, and beside each the number of blocks in use there."""
+    size, parts, filled = len(elements), [], []
     if not size:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     weights = _mixed(elements, 2) if weights is None else weights
     with np.errstate(over="ignore"):
-        for blocks, differences in block_counts(size, percent):
+        for level, differences in levels(size, percent):
+            blocks = int(_STEPS[level])
             block = (elements >> _U(32)) * _U(blocks) >> _U(32)
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             sums = np.add.reduceat(weights, starts)
-            parts.append(_mixed(sums ^ _mixed(block[starts] + _U(blocks << 20), 3), 4))
+            digests = _mixed(sums ^ _mixed(block[starts] + _U(blocks << 20), 3), 4)
+            parts.append(digests & ~_U(PREFIX) | _U(level))
+            filled.append(np.full(len(starts), len(starts), np.int32))
             if len(starts) <= differences:
                 prefix = elements[: size - -(-percent * size // 100) + 1]
-                parts.append(_mixed(prefix + _U(blocks), 5))
-    return np.concatenate(parts).view(np.int64)
+                parts.append(_mixed(prefix + _U(blocks), 5) | _U(PREFIX))
+                filled.append(np.zeros(len(prefix), np.int32))
+    return np.concatenate(parts).view(np.int64), np.concatenate(filled)
 
 
 def _prints(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -150,16 +163,19 @@ def _prints(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, c1, c2, sigs = [], [], [], []
+            sizes, c1, c2, sigs, fills = [], [], [], [], []
             for text in bytes_of(batch, "text"):
                 elements = shingles(text, n)
                 sizes.append(len(elements))
                 weights = _mixed(elements, 2)
                 c1.append(weights.sum(dtype=_U))
                 c2.append((weights * (weights >> _U(31) | _U(1))).sum(dtype=_U))
-                sigs.append(signatures(elements, percent, weights))
+                digests, filled = signatures(elements, percent, weights)
+                sigs.append(digests)
+                fills.append(filled)
             lengths = np.fromiter(map(len, sigs), np.int64, len(sigs))
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
+            flat = np.concatenate([np.empty(0, np.int64), *sigs])
+            filled = np.concatenate([np.empty(0, np.int32), *fills])
             offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
             keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
             columns = [
@@ -167,13 +183,14 @@ def _prints(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 pa.array(np.array(c1, _U).view(np.int64)),
                 pa.array(np.array(c2, _U).view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(flat)),
+                pa.ListArray.from_arrays(offsets, pa.array(filled)),
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep] + columns,
-                names=[batch.schema.names[i] for i in keep] + ["n_shingles", "c1", "c2", "sigs"],
+                names=[batch.schema.names[i] for i in keep] + ["n_shingles", "c1", "c2", "sigs", "fills"],
             )
 
-    schema = f"doc_id long, `{FILE}` string, `{ROW}` long, n_shingles long, c1 long, c2 long, sigs array<long>"
+    schema = f"doc_id long, `{FILE}` string, `{ROW}` long, n_shingles long, c1 long, c2 long, sigs array<long>, fills array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, "text").mapInArrow(run, schema)
 
 
@@ -224,7 +241,7 @@ def _overlaps(docs: DataFrame, prints: DataFrame, pairs: DataFrame, n: int, perc
 
 
 def _filtered(prints: DataFrame, shared: DataFrame) -> DataFrame:
-    """Entries (c1, sig) that may be in ``shared``: a bitmap of fixed size sorts most others out before the shuffle."""
+    """Entries (c1, sig, fill) that may be in ``shared``: a bitmap of fixed size sorts most others out before the shuffle."""
     spark, hashed = prints.sparkSession, F.col("sig").bitwiseAND(F.lit(BITMAP - 1))
     chunks = shared.groupBy(F.shiftright(hashed, 15).alias("chunk")).agg(
         F.bitmap_construct_agg(hashed.bitwiseAND(F.lit(32767))).alias("bits")
@@ -237,14 +254,133 @@ def _filtered(prints: DataFrame, shared: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
         for batch in batches:
-            sigs = batch.column(1)
+            sigs, fills = batch.column(1), batch.column(2)
             flat, lengths = sigs.flatten().to_numpy(), np.diff(sigs.offsets.to_numpy())
             at = flat & (BITMAP - 1)
             may = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             owner = np.repeat(batch.column(0).to_numpy(), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[may]), pa.array(flat[may])], names=["c1", "sig"])
+            columns = [owner[may], flat[may], fills.flatten().to_numpy()[may]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["c1", "sig", "fill"])
+
+    return prints.select("c1", "sigs", "fills").mapInArrow(run, "c1 long, sig long, fill int")
+
+
+def _candidates(open_: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that agree in as many blocks as their sizes ask for, by tiles.
+
+    Documents are laid out in strips of about ``TILE``: those that ``near`` (node, component) holds together side by side.
+    A tile is two strips that meet in some block; it multiplies the incidence of its documents and blocks. Result, one row
+    per tile with candidates: tile, nodes, and the pairs as places in ``nodes`` (a, b).
+    """
+    nodes = open_.select("node").distinct().join(near, "node", "left").select("node", F.coalesce("component", "node").alias("place"))
+    nodes = materialise(nodes, "ngram-places")
+    places = nodes.groupBy("place").agg(F.count("*").alias("n"))
+    n_nodes = nodes.count()
+    strips = F.ceil(F.col("n") / TILE)
+    strip = F.when(strips > 1, F.xxhash64("place", F.pmod(F.xxhash64("node"), strips))).otherwise(
+        F.pmod(F.xxhash64("place"), F.lit(-(-n_nodes // TILE)))
+    )
+    nodes = join_counted(nodes, places, ["place"], F.col("n"), n_nodes).select("node", strip.alias("strip"))
+    entry = F.struct("node", "size", "component", "fill")
+    lists = open_.join(nodes, "node").groupBy("sig", "strip").agg(
+        F.collect_list(entry).alias("x"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    lists = materialise(lists, "ngram-lists")
+    other = lists.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("strip", "x", "low", "high")])
+    mixed = F.least("low", "low_2") < F.greatest("high", "high_2")
+    met = lists.join(other, "sig").filter((F.col("strip") <= F.col("strip_2")) & mixed)
+    met = met.select("strip", "strip_2", "sig", "x", F.when(F.col("strip") < F.col("strip_2"), F.col("x_2")).alias("y"))
+
+    def sides(column: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+        """Of each entry: row of the table, node, size, component, fill."""
+        column = column.combine_chunks()
+        row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = column.flatten()
+        return row, *(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+
+    def run(table: pa.Table) -> pa.Table:
+        left = sides(table.column("x"))
+        same = table.column("strip")[0].as_py() == table.column("strip_2")[0].as_py()
+        right = left if same else sides(table.column("y"))
+        marks = table.column("sig").to_numpy() & PREFIX
+        (i_nodes, i_first, i_at), (j_nodes, j_first, j_at) = (
+            np.unique(side[1], return_index=True, return_inverse=True) for side in (left, right)
+        )
+        i_size, j_size, i_part, j_part = left[2][i_first], right[2][j_first], left[3][i_first], right[3][j_first]
+        total = i_size[:, None] + j_size[None, :]
+        differences = total - 2 * (-(-percent * total // (100 + percent)))
+        level = level_of(differences)
+        counted = np.zeros(total.shape, np.int32)
+        asked = np.ones(total.shape, np.int64)
+        forced = np.zeros(total.shape, bool)
+        i_cut = np.searchsorted(left[0], np.arange(len(marks) + 1))
+        j_cut = np.searchsorted(right[0], np.arange(len(marks) + 1))
+        for r, mark in enumerate(marks.tolist()):
+            own, its = slice(i_cut[r], i_cut[r + 1]), slice(j_cut[r], j_cut[r + 1])
+            cell = np.ix_(i_at[own], j_at[its])
+            if mark == PREFIX:
+                forced[cell] = True
+            else:
+                fits = level[cell] == mark
+                counted[cell] += fits
+                asked[cell] = np.where(fits, left[4][own][:, None] - differences[cell], asked[cell])
+        small, large = np.minimum(i_size[:, None], j_size[None, :]), np.maximum(i_size[:, None], j_size[None, :])
+        good = ((counted >= np.maximum(asked, 1)) | forced) & (100 * small >= percent * large)
+        good &= (i_part[:, None] != j_part[None, :]) & (i_nodes[:, None] != j_nodes[None, :])
+        a, b = np.nonzero(np.triu(good) if same else good)
+        if not len(a):
+            return pa.table({"tile": pa.array([], pa.int64()), **{c: pa.array([], pa.list_(pa.int64())) for c in ("nodes", "a", "b")}})
+        every, where = np.unique(np.r_[i_nodes[a], j_nodes[b]], return_inverse=True)
+        lists_ = {"nodes": every, "a": where[: len(a)], "b": where[len(a) :]}
+        return pa.table({"tile": pa.array([0]), **{c: pa.array([v.tolist()], pa.list_(pa.int64())) for c, v in lists_.items()}})
+
+    schema = "tile long, nodes array<long>, a array<long>, b array<long>"
+    found = met.groupBy("strip", "strip_2").applyInArrow(run, schema)
+    return found.withColumn("tile", F.monotonically_increasing_id())
+
+
+def _tile_links(docs: DataFrame, prints: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) among the candidates of each tile, by the sets of their texts; enough of them to hold together what they
+    connect, the others are not tried."""
+    wanted = tiles.select("tile", F.explode("nodes").alias("uid")).groupBy("uid").agg(F.collect_list("tile").alias("tiles"))
+    wanted = materialise(prints.select("uid", *PLACE).join(wanted, "uid"), "ngram-wanted")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(text, n).tobytes() for text in bytes_of(batch, "text")]
+            at = [batch.schema.get_field_index(c) for c in ("uid", "tiles")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in at), pa.array(found, pa.binary())], names=["uid", "tiles", "elements"]
+            )
 
-    return prints.select("c1", "sigs").mapInArrow(run, "c1 long, sig long")
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        pairs = next(r for r in rows if r["a"] is not None)
+        of = {r["uid"]: np.frombuffer(r["elements"], _U) for r in rows if r["a"] is None}
+        elements = [of[node] for node in pairs["nodes"]]
+        root = list(range(len(elements)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        links = []
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            i, j = find(a), find(b)
+            if i != j:
+                x, y = elements[a], elements[b]
+                if len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x) + len(y), percent):
+                    root[i] = j
+                    links.append((pairs["nodes"][a], pairs["nodes"][b]))
+        return pa.table({c: pa.array([link[i] for link in links], pa.int64()) for i, c in enumerate("ab")})
+
+    texts = docs.select(*PLACE, "text").join(broadcast_if_small(wanted, wanted.count()), PLACE).select("uid", "tiles", "text")
+    own = texts.mapInArrow(sets, "uid long, tiles array<long>, elements binary")
+    lists = ("nodes", "a", "b")
+    own = own.select(F.explode("tiles").alias("tile"), "uid", "elements", *[F.lit(None).cast("array<long>").alias(c) for c in lists])
+    pairs = tiles.select("tile", F.lit(-1).cast("long").alias("uid"), F.lit(b"").alias("elements"), *lists)
+    return materialise(own.unionByName(pairs).groupBy("tile").applyInArrow(compare, "a long, b long"), "ngram-links")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -264,7 +400,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = materialise(shared.filter("pivot < last").drop("last"), "ngram-blocks")
     n_entries = prints.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
     members = join_counted(_filtered(prints, shared), shared, ["sig"], F.col("n"), n_entries)
-    members = materialise(members.select("sig", "c1", "pivot").distinct(), "ngram-members")
+    members = materialise(members.select("sig", "c1", "fill", "pivot").distinct(), "ngram-members")
 
     # First each class with the one pivot that it has most blocks in common with.
     common = members.filter("c1 <> pivot").groupBy("c1", "pivot").agg(F.count("*").alias("blocks"))
@@ -277,24 +413,20 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     labels = components(links)
 
     # Then the classes of blocks that are not in one component yet.
-    placed = members.select("sig", "c1").join(names, "c1").join(labels, "node", "left")
-    placed = placed.select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
+    placed = members.select("sig", "c1", "fill").join(names, "c1").join(labels, "node", "left")
+    placed = placed.select("sig", "node", "size", "fill", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    left = materialise(placed.join(mixed.select("sig"), "sig"), "ngram-open")
-    right = left.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("node", "component", "size")])
-    other = (F.col("component") != F.col("component_2")) & (F.col("node") > F.col("node_2"))
-    more = left.join(right, "sig").filter(other & _near("size", "size_2", percent))
-    more = more.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_overlaps(docs, prints, more, n, percent)))
+    open_ = materialise(placed.join(mixed.select("sig"), "sig"), "ngram-open")
+    if not open_.isEmpty():
+        tiles = materialise(_candidates(open_, components(pairs), percent), "ngram-tiles")
+        labels = components(links.unionByName(_tile_links(docs, prints, tiles, n, percent)))
 
     labelled = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_classes"))
     labelled = join_counted(labelled, ids, ["component"], F.col("n_classes"), classes.count())
     labelled = materialise(labelled.select("c1", "c2", "n_rows", "component", "component_id"), "ngram-labels")
-    rows = join_counted(prints.drop("sigs", "uid"), labelled, ["c1", "c2"], F.col("n_rows"), prints.count())
-    empty = all_prints.filter("n_shingles = 0").drop("sigs", "uid")
+    rows = join_counted(prints.drop("sigs", "fills", "uid"), labelled, ["c1", "c2"], F.col("n_rows"), prints.count())
+    empty = all_prints.filter("n_shingles = 0").drop("sigs", "fills", "uid")
     empty = empty.withColumns({"n_rows": F.lit(1), "component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
     return rows.unionByName(empty)
 
