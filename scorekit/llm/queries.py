@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorekit.llm import bpe, exact_dedup, katz, licences, link_trust, mixing, ngram_join, token_files, toxicity
+from scorekit.llm import bpe, exact_dedup, katz, kmeans_tree, licences, link_trust, mixing, ngram_join, token_files, toxicity
 from scorekit.llm.ship import ship
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "threshold",
         "rejected",
     )
+
+
+@_query
+def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
