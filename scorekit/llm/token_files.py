@@ -36,8 +36,8 @@ from scorekit.workspace import fresh_path
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 
-#: Entries that a task remembers of chunks and of words; then it starts anew. Memory only, never a result.
-CHUNKS, WORDS = 300_000, 400_000
+#: Entries that a task remembers of chunks and of words; then those not asked for any more go. Memory only, never a result.
+CHUNKS, WORDS = 200_000, 500_000
 
 #: The word pattern of the lower-casing word vocabulary (fixed value). White space ends every match, and a run of
 #: punctuation is a match of its own.
@@ -48,6 +48,24 @@ PUNCTUATION = b""".,;:!?()[]{}"#$%&*+-/<=>@\\^_`|~"""
 INDEX = "doc_id long, shard int, path string, place long, n_tokens long"
 
 
+class _Memory:
+    """A mapping of two generations: when the young one is full it becomes the old one, and what was old is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def lacking(self, keys: set[bytes]) -> list[bytes]:
+        """Make room for ``keys``, take over those of the old generation, and return the others."""
+        if len(self.young) + len(keys) > self.limit:
+            self.young, self.old = {}, self.young
+        keys = keys.difference(self.young)
+        known = keys & self.old.keys()
+        self.young.update((key, self.old[key]) for key in known)
+        return list(keys - known)
+
+
 class ChunkEncoder:
     """Encodes texts. Where no token can cross white space, the library encodes each new word once and it is remembered."""
 
@@ -60,8 +78,10 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.by_words = self._drops_white_space()
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.chunks, self.words = _Memory(CHUNKS), _Memory(WORDS)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _drops_white_space(self) -> bool:
         """Whether this is a vocabulary of lower-cased words between white space and punctuation."""
@@ -88,32 +108,39 @@ class ChunkEncoder:
         return (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
 
     @staticmethod
-    def _parts(chunk: bytes) -> tuple[bytes, bytes]:
+    def _plain(word: bytes) -> bool:
+        """Whether all are letters that stay single letters when lower-cased."""
+        letters = word.decode("utf-8")
+        return letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters
+
+    def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
         """A word of plain letters and the punctuation behind it; or the chunk as it is."""
         stem = chunk.rstrip(PUNCTUATION)
-        if stem and len(stem) < len(chunk) and b"<|" not in chunk:
-            letters = stem.decode("utf-8")
-            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # that one becomes two
-                return stem, chunk[len(stem) :]
+        if stem and len(stem) < len(chunk) and b"<|" not in chunk and self._plain(stem):
+            return stem, chunk[len(stem) :]
         return chunk, b""
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Plain words are encoded together, each ends at its only token with a word end; others one by one."""
+        plain = [word for word in words if self._plain(word)]
+        if plain:
+            encoding = self.tokenizer.encode(b" ".join(plain).decode("utf-8"), add_special_tokens=False)
+            ids = np.array(encoding.ids, self.dtype)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+            data, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
+            self.words.young.update((w, data[s:e]) for w, s, e in zip(plain, starts, ends.tolist(), strict=True))
+        rest = [word for word in words if word not in self.words.young]
+        self.words.young.update(zip(rest, self._library([word.decode("utf-8") for word in rest]), strict=True))
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return self._library([text.decode("utf-8") for text in texts])
         split = [self._chunks(text) for text in texts]
-        new = {chunk for chunks in split for chunk in chunks if chunk not in self.chunks}
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks = {}
-            new = {chunk for chunks in split for chunk in chunks}
-        parts = {chunk: self._parts(chunk) for chunk in new}
-        lacking = {word for both in parts.values() for word in both if word not in self.words}
-        if len(self.words) + len(lacking) > WORDS:
-            self.words = {}
-            lacking = {word for both in parts.values() for word in both}
-        lacking = list(lacking)
-        self.words.update(zip(lacking, self._library([word.decode("utf-8") for word in lacking]), strict=True))
-        self.chunks.update((chunk, self.words[word] + self.words[tail]) for chunk, (word, tail) in parts.items())
-        get = self.chunks.__getitem__
+        parts = {chunk: self._parts(chunk) for chunk in self.chunks.lacking({chunk for chunks in split for chunk in chunks})}
+        self._learn(self.words.lacking({word for both in parts.values() for word in both}))
+        word = self.words.young
+        self.chunks.young.update((chunk, word[stem] + word[tail]) for chunk, (stem, tail) in parts.items())
+        get = self.chunks.young.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
