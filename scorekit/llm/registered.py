@@ -1,8 +1,9 @@
-"""What the entry adds: all queries of this subpackage and their SQL."""
+"""What the entry adds: all queries of this subpackage with the pipeline, and their SQL."""
 
 from __future__ import annotations
 
-from scorekit.llm.oracle import SQL
-from scorekit.llm.queries import REGISTRY
+import corpus_pipeline
+from scorekit.llm import oracle, queries
 
-__all__ = ["REGISTRY", "SQL"]
+REGISTRY = {**queries.REGISTRY, "pipeline": corpus_pipeline.run}
+SQL = {**oracle.SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
