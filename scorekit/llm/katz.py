@@ -31,18 +31,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorekit.llm.arrow import bounded_batches, bytes_of
 from scorekit.llm.text import words
-from scorekit.workspace import fresh_path, materialise
+from scorekit.workspace import fresh_path, release, write_compact
 
 #: Discounts apply to n-grams seen up to so often.
 DISCOUNTED = 5
 #: Tokens of one group; the bound of what a task holds.
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 3_000_000
 #: Entries that one bucket gets.
 BUCKET_ENTRIES = 1_000_000
 #: Words whose hashes a task remembers; then it starts anew. Memory only, never a result.
@@ -53,6 +54,14 @@ _STEP, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D04
 #: No word holds white space, so these are no word's hashes but by chance.
 _END, _START = _U(xxhash.xxh64_intdigest(b" end")), _U(xxhash.xxh64_intdigest(b" start"))
 
+def _compress(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _decompress(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 PARCELS = "bucket int, gid long, a binary, b binary, c binary, d binary"
 _FIELDS = ["bucket", "gid", "a", "b", "c", "d"]
 
@@ -78,6 +87,32 @@ def _follow(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as bytes, the n-th bytes of all side by side and compressed: they cross shuffles and lie in tables so."""
+    if values.dtype.kind == "f" or not len(values):  # floats here repeat as a whole
+        return _compress(values.tobytes())
+    return _compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(_decompress(data), np.uint8)
+    if np.dtype(kind).kind == "f":
+        return raw.view(kind)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=_U(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, _U), dtype=_U)
+
+
+def _unpack_all(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(_unpack(r[name], kind) for r in rows)])
+
+
 def _parcels(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
@@ -96,15 +131,16 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 def group_schema(order: int) -> str:
-    levels = "".join(
-        f", n{k} long, keys{k} binary, counts{k} binary, lower{k} binary, nctx{k} long, ctxs{k} binary, ctx{k} binary"
-        for k in range(1, order + 1)
-    )
-    return "gid long, doc_ids binary, held binary, lens binary, last binary" + levels
+    levels = "".join(f", n{k} long, nctx{k} long, counts{k} binary, lower{k} binary, ctxs{k} binary, ctx{k} binary" for k in range(1, order + 1))
+    return "gid long, doc_ids binary, held binary, lens binary, last binary, words binary" + levels
 
 
 def _group(gid: int, docs: list[tuple[int | None, bool, np.ndarray]], order: int) -> dict:
-    """The distinct n-grams of some documents at each level, and where each token stands in the list of the last one."""
+    """The distinct n-grams of some documents at each level, and where each token stands in the list of the last one.
+
+    ``words`` are the sorted hashes of the first level. An n-gram of a longer level is a context (a place in ``ctxs``, the
+    sorted hashes of contexts) and the n-gram one word shorter (``lower``, a place in the level below).
+    """
     lens = np.array([len(t) + 1 for _, _, t in docs], np.int64)
     pad = np.full(order - 1, _START)
     stream = np.concatenate([part for _, _, t in docs for part in (pad, t, [_END])]).astype(_U)
@@ -116,29 +152,44 @@ def _group(gid: int, docs: list[tuple[int | None, bool, np.ndarray]], order: int
     train = np.repeat(np.array([not held for _, held, _ in docs]), lens)
     row: dict = {
         "gid": gid,
-        "doc_ids": np.array([-1 if i is None else i for i, _, _ in docs], np.int64).tobytes()
-        + np.array([i is None for i, _, _ in docs], bool).tobytes(),
-        "held": np.array([held for _, held, _ in docs], bool).tobytes(),
-        "lens": lens.tobytes(),
+        "doc_ids": _pack(np.array([-1 if i is None else i for i, _, _ in docs], np.int64)),
+        "held": _pack(np.array([held + 2 * (i is None) for i, held, _ in docs], np.int8)),
+        "lens": _pack(lens),
     }
-    word, before = stream[at], np.zeros(len(at), np.int64)
+    before = np.zeros(len(at), np.int64)
     for k in range(1, order + 1):
-        context = np.full(len(at), _U(k))
-        for back in range(k - 1, 0, -1):
-            context = _follow(context, stream[at - back])
-        keys, first, where = np.unique(_follow(context, word), return_index=True, return_inverse=True)
-        ctxs, ctx = np.unique(context[first], return_inverse=True)
+        if k == 1:
+            ctxs, keys, where = np.array([_U(1)]), *np.unique(stream[at], return_inverse=True)
+            row["words"] = _pack_sorted(keys)
+            ctx = lower = np.zeros(len(keys), np.int64)
+        else:
+            context = np.full(len(at), _U(k))
+            for back in range(k - 1, 0, -1):
+                context = _follow(context, stream[at - back])
+            ctxs, where = np.unique(context, return_inverse=True)
+            below = row[f"n{k - 1}"]
+            keys, where = np.unique(where * below + before, return_inverse=True)
+            ctx, lower = keys // below, keys % below
         row |= {
             f"n{k}": len(keys),
-            f"keys{k}": keys.tobytes(),
-            f"counts{k}": np.bincount(where, weights=train, minlength=len(keys)).astype("<u4").tobytes(),
-            f"lower{k}": before[first].astype("<u4").tobytes(),
             f"nctx{k}": len(ctxs),
-            f"ctxs{k}": ctxs.tobytes(),
-            f"ctx{k}": ctx.astype("<u4").tobytes(),
+            f"counts{k}": _pack(np.bincount(where, weights=train, minlength=len(keys)).astype("<u4")),
+            f"lower{k}": _pack(lower.astype("<u4")),
+            f"ctxs{k}": _pack_sorted(ctxs),
+            f"ctx{k}": _pack(ctx.astype("<u4")),
         }
         before = where
-    return row | {"last": before.astype("<u4").tobytes()}
+    return row | {"last": _pack(before.astype("<u4"))}
+
+
+def _keys(k: int, words: bytes, lowers: dict[int, bytes], ctxs: bytes, ctx: bytes) -> np.ndarray:
+    """The hashes of a group's n-grams of level k; of single words (sorted) their own."""
+    word = _unpack_sorted(words)
+    if k == 1:
+        return word
+    for j in range(2, k + 1):
+        word = word[_unpack(lowers[j], "<u4")]
+    return _follow(_unpack_sorted(ctxs)[_unpack(ctx, "<u4")], word)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -181,61 +232,40 @@ def _arrow_group_schema(order: int) -> pa.Schema:
 # ---- buckets -----------------------------------------------------------------------------------------------------------
 
 
-def _requests(groups: DataFrame, k: int, buckets: int, scores: DataFrame | None) -> DataFrame:
-    """What groups send to the buckets of level k: keys, counts, contexts, and probabilities one level lower."""
-    own = groups.select("gid", F.lit(0).alias("bucket"), *[F.col(f"{c}{k}").alias(n) for c, n in (("keys", "a"), ("counts", "b"))],
-                        F.concat(f"ctxs{k}", f"ctx{k}").alias("c"), F.concat(F.lit(b""), f"lower{k}").alias("d"))
-    own = own.select(*_FIELDS)
-
-    def parcels(gid: int, keys: bytes, counts: bytes, contexts: bytes, lower: np.ndarray) -> pa.RecordBatch:
-        keys, counts = np.frombuffer(keys, _U), np.frombuffer(counts, "<u4")
-        at = len(contexts) - 4 * len(keys)
-        context = np.frombuffer(contexts[:at], _U)[np.frombuffer(contexts[at:], "<u4")]
-        return _parcels(
-            [
-                (b, gid, keys[s].tobytes(), counts[s].tobytes(), context[s].tobytes(), lower[s].tobytes())
-                for b, s in _slices(keys, buckets)
-            ]
-        )
-
-    if scores is None:
-
-        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    yield parcels(r["gid"], r["a"], r["b"], r["c"], np.zeros(len(r["a"]) // 8))
-
-        return own.mapInArrow(alone, PARCELS)
+def _requests(groups: DataFrame, k: int, buckets: int) -> DataFrame:
+    """What groups send to the buckets of level k: hashes and training counts of their n-grams."""
 
-    def together(table: pa.Table) -> pa.Table:
-        rows = {r["bucket"]: r for r in table.to_pylist()}
-        r, before = rows[0], np.exp(np.frombuffer(rows[1]["a"], np.float64))
-        out = parcels(r["gid"], r["a"], r["b"], r["c"], before[np.frombuffer(r["d"], "<u4")])
-        return pa.Table.from_batches([out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = _keys(k, r["words"], {j: r[f"lower{j}"] for j in range(2, k + 1)}, r[f"ctxs{k}"], r[f"ctx{k}"])
+                order = np.argsort(keys)
+                keys, counts = keys[order], _unpack(r[f"counts{k}"], "<u4")[order]
+                yield _parcels([(b, r["gid"], _pack_sorted(keys[s]), _pack(counts[s]), b"", b"") for b, s in _slices(keys, buckets)])
 
-    none = F.lit(b"")
-    other = scores.select(F.lit(1).alias("bucket"), "gid", F.col("scores").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
-    return own.unionByName(other).groupBy("gid").applyInArrow(together, PARCELS)
+    lowers = [f"lower{j}" for j in range(2, k + 1)]
+    return groups.select("gid", "words", *lowers, f"ctxs{k}", f"ctx{k}", f"counts{k}").mapInArrow(run, PARCELS)
 
 
 def _add_up(requests: DataFrame) -> DataFrame:
-    """Per bucket: to each group its n-grams' counts; and with gid -1 the table of n-grams that were seen in training."""
+    """Per bucket: to each group twice its n-grams' counts, plus one where this group is to answer for the n-gram; and with
+    gid -1 the table of n-grams that were seen in training."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         bucket = rows[0]["bucket"]
-        sent = [np.frombuffer(r["a"], _U) for r in rows]
+        sent = [_unpack_sorted(r["a"]) for r in rows]
         every, first, where = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-        counts = np.concatenate([np.frombuffer(r["b"], "<u4") for r in rows])
+        counts = _unpack_all(rows, "b", np.uint32)
         totals = np.bincount(where, weights=counts, minlength=len(every)).astype(np.int64)
+        answers = 2 * totals[where]
+        answers[first] += 1
         out, at = [], 0
         for r, keys in zip(rows, sent, strict=True):
-            out.append((bucket, r["gid"], totals[where[at : at + len(keys)]].tobytes(), b"", b"", b""))
+            out.append((bucket, r["gid"], _pack(answers[at : at + len(keys)]), b"", b"", b""))
             at += len(keys)
         seen = totals > 0
-        context = np.concatenate([np.frombuffer(r["c"], _U) for r in rows])[first][seen]
-        lower = np.concatenate([np.frombuffer(r["d"], np.float64) for r in rows])[first][seen]
-        out.append((bucket, -1, every[seen].tobytes(), totals[seen].tobytes(), context.tobytes(), lower.tobytes()))
+        out.append((bucket, -1, _pack_sorted(every[seen]), _pack(totals[seen]), b"", b""))
         return pa.Table.from_batches([_parcels(out)])
 
     return requests.groupBy("bucket").applyInArrow(run, PARCELS)
@@ -247,7 +277,7 @@ def _statistics(added: DataFrame) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                counts = np.frombuffer(b, np.int64)
+                counts = _unpack(b, np.int64)
                 few = np.bincount(counts[counts <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
                 found = {-1: len(counts), -2: int(counts.sum())} | {r: int(few[r]) for r in range(1, DISCOUNTED + 2)}
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["r", "n"])
@@ -275,63 +305,37 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * d[np.minimum(counts, DISCOUNTED + 1)]
 
 
-def _contexts(groups: DataFrame, added: DataFrame, k: int, d: np.ndarray, buckets: int) -> DataFrame:
-    """Per bucket of contexts: to each group its contexts' denominators and log backoff weights; with gid -1 the table."""
+class _Joined:
+    """What a group knows at level k, from rows of several kinds: its own lists, answers, and scores one level lower."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                counts, context, lower = np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], _U), np.frombuffer(r["d"], np.float64)
-                every, where = np.unique(context, return_inverse=True)
-                total, kept, low = (np.bincount(where, weights=w, minlength=len(every)) for w in (counts, _discounted(counts, d), lower))
-                yield _parcels(
-                    [
-                        (b, -1, every[s].tobytes(), total[s].tobytes(), kept[s].tobytes(), low[s].tobytes())
-                        for b, s in _slices(every, buckets)
-                    ]
-                )
-
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys = np.frombuffer(r["ctxs"], _U)
-                yield _parcels([(b, r["gid"], keys[s].tobytes(), b"", b"", b"") for b, s in _slices(keys, buckets)])
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        bucket, own = rows[0]["bucket"], [r for r in rows if r["gid"] == -1]
-        if own:
-            every, where = np.unique(np.concatenate([np.frombuffer(r["a"], _U) for r in own]), return_inverse=True)
-            total, kept, low = (
-                np.bincount(where, weights=np.concatenate([np.frombuffer(r[c], np.float64) for r in own]), minlength=len(every))
-                for c in "bcd"
-            )
-        else:
-            every, total, kept, low = np.empty(0, _U), *np.empty((3, 0))
-        # Where the discounts leave nothing, the denominator grows by one and the one is left.
-        total = np.where(total - kept < 1e-9 * total, kept + 1, total)
-        weight = np.log((total - kept) / total) - np.log(np.maximum(1 - low, 1e-12))
-        # One more place, for contexts never seen in training: nothing is known, all weight goes to the shorter context.
-        totals, weights = np.r_[total, 1.0], np.r_[weight, 0.0]
-        out = [(bucket, -1, every.tobytes(), total.tobytes(), weight.tobytes(), b"")]
-        for r in rows:
-            if r["gid"] != -1:
-                keys = np.frombuffer(r["a"], _U)
-                at = np.searchsorted(every, keys)
-                at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != keys if len(every) else True)] = len(every)
-                out.append((bucket, r["gid"], totals[at].tobytes(), weights[at].tobytes(), b"", b""))
-        return pa.Table.from_batches([_parcels(out)])
+    def __init__(self, table: pa.Table, k: int, d: np.ndarray):
+        rows: dict[int, list[dict]] = {}
+        for r in table.to_pylist():
+            rows.setdefault(r["kind"], []).append(r)
+        for of_kind in rows.values():
+            of_kind.sort(key=lambda r: r["bucket"])
+        self.rows, (own,), self.d = rows, rows[0], d
+        self.gid, self.ctxs, self.ctx = own["gid"], _unpack_sorted(own["b"]), _unpack(own["c"], "<u4")
+        lowers = {r["bucket"]: r["a"] for r in rows.get(1, [])}
+        order = np.argsort(_keys(k, own["a"], lowers, own["b"], own["c"]))
+        answers = np.empty(len(order), np.int64)
+        answers[order] = self.column(2, "a", np.int64)
+        self.counts, self.answers_for = answers >> 1, (answers & 1).astype(bool)
+        self.lowers = lowers
+        self.shorter = self.column(3, "a", np.float64)[_unpack(lowers[k], "<u4")] if k > 1 else None
 
-    seen = added.filter("gid = -1").mapInArrow(sums, PARCELS)
-    asked = groups.select("gid", F.col(f"ctxs{k}").alias("ctxs")).mapInArrow(asks, PARCELS)
-    return seen.unionByName(asked).groupBy("bucket").applyInArrow(run, PARCELS)
+    def column(self, kind: int, name: str, dtype) -> np.ndarray:
+        return _unpack_all(self.rows[kind], name, dtype)
 
-
-# ---- scores ------------------------------------------------------------------------------------------------------------
+    def scores(self) -> np.ndarray:
+        """Log probabilities of the n-grams: their own, or backed off."""
+        total, weight = self.column(4, "a", np.float64)[self.ctx], self.column(4, "b", np.float64)[self.ctx]
+        own = np.log(_discounted(np.maximum(self.counts, 1), self.d) / total)
+        return np.where(self.counts > 0, own, weight + self.shorter)
 
 
 def _kinds(*frames: DataFrame) -> DataFrame:
-    """Rows of several kinds (a number in front) for one group each."""
+    """Rows of several kinds (a number in front)."""
     out = None
     for kind, frame in enumerate(frames):
         missing = {c: F.lit(b"") for c in "abcd" if c not in frame.columns}
@@ -342,72 +346,101 @@ def _kinds(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _by_kind(table: pa.Table, kinds: int) -> list[list[dict]]:
-    rows: list[list[dict]] = [[] for _ in range(kinds)]
-    for r in table.to_pylist():
-        rows[r["kind"]].append(r)
-    for of_kind in rows:
-        of_kind.sort(key=lambda r: r["bucket"])
-    return rows
+def _lists(groups: DataFrame, k: int, added: DataFrame, before: DataFrame) -> list[DataFrame]:
+    """The kinds of rows that ``_Joined`` reads: 0 lists, 1 places one level lower, 2 answers, 3 scores."""
+    own = groups.select("gid", F.col("words").alias("a"), F.col(f"ctxs{k}").alias("b"), F.col(f"ctx{k}").alias("c"))
+    places = [F.struct(F.lit(j).alias("bucket"), F.col(f"lower{j}").alias("a")) for j in range(2, k + 1)]
+    lowers = groups.select("gid", F.inline(F.array(*places))) if places else groups.select("gid").filter("false")
+    return [own, lowers, added.filter("gid >= 0"), before.select("gid", F.col("scores").alias("a"))]
+
+
+def _contexts(groups: DataFrame, added: DataFrame, before: DataFrame, k: int, d: np.ndarray, buckets: int) -> DataFrame:
+    """Per bucket of contexts: to each group its contexts' denominators and log backoff weights; with gid -1 the table."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        """The group's part of each context: sums over the n-grams that it answers for."""
+        g = _Joined(table, k, d)
+        mine = (g.counts > 0) & g.answers_for
+        where, n = g.ctx[mine], len(g.ctxs)
+        total = np.bincount(where, weights=g.counts[mine], minlength=n)
+        kept = np.bincount(where, weights=_discounted(g.counts[mine], d), minlength=n)
+        low = np.bincount(where, weights=np.exp(g.shorter[mine]), minlength=n)
+        parcels = [
+            (b, g.gid, _pack_sorted(g.ctxs[s]), _pack(total[s]), _pack(kept[s]), _pack(low[s])) for b, s in _slices(g.ctxs, buckets)
+        ]
+        return pa.Table.from_batches([_parcels(parcels)])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        sent = [_unpack_sorted(r["a"]) for r in rows]
+        every, where = np.unique(np.concatenate(sent), return_inverse=True)
+        total, kept, low = (
+            np.bincount(where, weights=_unpack_all(rows, c, np.float64), minlength=len(every))
+            for c in "bcd"
+        )
+        # Where the discounts leave nothing, the denominator grows by one and the one is left. A context that training has
+        # not seen knows nothing: all weight goes to the shorter one.
+        seen = total > 0
+        total = np.where(total - kept < 1e-9 * total, kept + 1, total)
+        total[~seen] = 1
+        weight = np.where(seen, np.log((total - kept) / total) - np.log(np.maximum(1 - low, 1e-12)), 0.0)
+        out = [(rows[0]["bucket"], -1, _pack_sorted(every[seen]), _pack(total[seen]), _pack(weight[seen]), b"")]
+        at = 0
+        for r, keys in zip(rows, sent, strict=True):
+            own = where[at : at + len(keys)]
+            at += len(own)
+            out.append((r["bucket"], r["gid"], _pack(total[own]), _pack(weight[own]), b"", b""))
+        return pa.Table.from_batches([_parcels(out)])
+
+    joined = _kinds(*_lists(groups, k, added, before))
+    return joined.groupBy("gid").applyInArrow(sums, PARCELS).groupBy("bucket").applyInArrow(run, PARCELS)
 
 
-def _joined(rows: list[dict], column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(r[column] for r in rows), dtype)
+# ---- scores ------------------------------------------------------------------------------------------------------------
 
 
-def _first_scores(groups: DataFrame, added: DataFrame, d: np.ndarray, tokens: int, left: float) -> DataFrame:
+def _first_scores(added: DataFrame, d: np.ndarray, whole: float, left: float) -> DataFrame:
     """Log probabilities of the groups' words. ``left``: the share of unknown words."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-        counts = _joined(rows, "a", np.int64)
-        known = _discounted(np.maximum(counts, 1), d) / tokens
-        scores = np.log(np.where(counts > 0, known, left))
-        return pa.table({"gid": pa.array([rows[0]["gid"]], pa.int64()), "scores": pa.array([scores.tobytes()], pa.binary())})
+        counts = _unpack_all(rows, "a", np.int64) >> 1
+        scores = np.log(np.where(counts > 0, _discounted(np.maximum(counts, 1), d) / whole, left))
+        return pa.table({"gid": pa.array([rows[0]["gid"]], pa.int64()), "scores": pa.array([_pack(scores)], pa.binary())})
 
     return added.filter("gid >= 0").select("gid", "bucket", "a").groupBy("gid").applyInArrow(run, "gid long, scores binary")
 
 
-def _next_scores(groups: DataFrame, k: int, added: DataFrame, contexts: DataFrame, d: np.ndarray, before: DataFrame) -> DataFrame:
-    """Log probabilities of the groups' n-grams of level k: their own, or backed off."""
+def _next_scores(lists: list[DataFrame], contexts: DataFrame, k: int, d: np.ndarray) -> DataFrame:
+    """Log probabilities of the groups' n-grams of level k."""
 
     def run(table: pa.Table) -> pa.Table:
-        (own,), (lower,), counted, asked = _by_kind(table, 4)
-        counts = _joined(counted, "a", np.int64)
-        context = np.frombuffer(own["b"], "<u4")
-        total, weight = _joined(asked, "a", np.float64)[context], _joined(asked, "b", np.float64)[context]
-        shorter = np.frombuffer(lower["a"], np.float64)[np.frombuffer(own["a"], "<u4")]
-        scores = np.where(counts > 0, np.log(_discounted(np.maximum(counts, 1), d) / total), weight + shorter)
-        return pa.table({"gid": pa.array([own["gid"]], pa.int64()), "scores": pa.array([scores.tobytes()], pa.binary())})
-
-    rows = _kinds(
-        groups.select("gid", F.col(f"lower{k}").alias("a"), F.col(f"ctx{k}").alias("b")),
-        before.select("gid", F.col("scores").alias("a")),
-        added.filter("gid >= 0"),
-        contexts.filter("gid >= 0"),
-    )
-    return rows.groupBy("gid").applyInArrow(run, "gid long, scores binary")
-
-
-def _documents(groups: DataFrame, order: int, added: DataFrame, scores: DataFrame, tokens: int, types: int) -> DataFrame:
-    """One row per document: sums over its tokens."""
+        g = _Joined(table, k, d)
+        return pa.table({"gid": pa.array([g.gid], pa.int64()), "scores": pa.array([_pack(g.scores())], pa.binary())})
+
+    return _kinds(*lists, contexts.filter("gid >= 0")).groupBy("gid").applyInArrow(run, "gid long, scores binary")
+
+
+def _documents(
+    groups: DataFrame, lists: list[DataFrame], contexts: DataFrame | None, order: int, d: np.ndarray, first: DataFrame, tokens: int, types: int
+) -> DataFrame:
+    """One row per document: the scores of the last level, summed over its tokens."""
 
     def run(table: pa.Table) -> pa.Table:
-        (own,), lowers, (top,), counted = _by_kind(table, 4)
-        where = np.frombuffer(own["d"], "<u4")
-        lens = np.frombuffer(own["c"], np.int64)
+        g = _Joined(table, order, d)
+        (own,) = g.rows[5]
+        where, lens = _unpack(own["d"], "<u4"), _unpack(own["c"], np.int64)
         starts = np.cumsum(np.r_[0, lens[:-1]])
-        score = np.frombuffer(top["a"], np.float64)[where]
-        for r in sorted(lowers, key=lambda r: -r["bucket"]):
-            where = np.frombuffer(r["a"], "<u4")[where]
-        counts = _joined(counted, "a", np.int64)[where]
+        score = (g.scores() if order > 1 else g.column(3, "a", np.float64))[where]
+        for k in range(order, 1, -1):
+            where = _unpack(g.lowers[k], "<u4")[where]
+        counts = (g.column(6, "a", np.int64) >> 1)[where]
         base = np.log10((counts + 1) / (tokens + types + 1))
-        n = len(lens)
-        ids = np.frombuffer(own["a"][: 8 * n], np.int64)
+        n, held = len(lens), _unpack(own["b"], np.int8)
         return pa.table(
             {
-                "doc_id": pa.array(ids, mask=np.frombuffer(own["a"][8 * n :], bool)),
-                "held_out": pa.array(np.frombuffer(own["b"], bool)),
+                "doc_id": pa.array(_unpack(own["a"], np.int64), mask=held >= 2),
+                "held_out": pa.array(held % 2 == 1),
                 "n_tokens": pa.array(lens),
                 "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(n, tokens, np.int64)),
@@ -416,25 +449,16 @@ def _documents(groups: DataFrame, order: int, added: DataFrame, scores: DataFram
             }
         )
 
-    lowers = [groups.select("gid", F.lit(k).alias("bucket"), F.col(f"lower{k}").alias("a")) for k in range(2, order + 1)]
-    chain = lowers[0] if lowers else groups.select("gid", F.lit(0).alias("bucket"), F.lit(b"").alias("a")).filter("false")
-    for more in lowers[1:]:
-        chain = chain.unionByName(more)
-    rows = _kinds(
-        groups.select(
-            "gid", F.col("doc_ids").alias("a"), F.col("held").alias("b"), F.col("lens").alias("c"), F.col("last").alias("d")
-        ),
-        chain,
-        scores.select("gid", F.col("scores").alias("a")),
-        added.filter("gid >= 0"),
-    )
+    own = [F.col(c).alias(n) for c, n in zip(("doc_ids", "held", "lens", "last"), "abcd", strict=True)]
+    answers = contexts.filter("gid >= 0") if contexts is not None else first.filter("false")
+    rows = _kinds(*lists, answers, groups.select("gid", *own), first.filter("gid >= 0"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("gid").applyInArrow(run, schema)
 
 
 def _stored(parcels: DataFrame, folder: str) -> DataFrame:
-    parcels.withColumn("model", F.col("gid") == -1).write.partitionBy("model").parquet(folder)
-    return parcels.sparkSession.read.parquet(folder)
+    parcels.withColumn("model", F.col("gid") == -1).write.option("compression", "zstd").partitionBy("model").parquet(folder)
+    return parcels.sparkSession.read.schema(PARCELS + ", model boolean").parquet(folder)
 
 
 def fit_and_score(
@@ -450,25 +474,29 @@ def fit_and_score(
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "katz")
-    groups = materialise(groups_of(docs, order, group_tokens), "katz-groups")
-    sizes = groups.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(1, order + 1)],
-                       *[F.coalesce(F.sum(f"nctx{k}"), F.lit(0)).alias(f"nctx{k}") for k in range(1, order + 1)]).first()
-    first = scores = None
+    groups = write_compact(groups_of(docs, order, group_tokens), "katz-groups")
+    sizes = groups.agg(
+        *[F.coalesce(F.sum(f"{n}{k}"), F.lit(0)).alias(f"{n}{k}") for k in range(1, order + 1) for n in ("n", "nctx")]
+    ).first()
     tokens = types = 0
+    first = scores = contexts = None
+    lists: list[DataFrame] = []
     for k in range(1, order + 1):
-        requests = _requests(groups, k, max(1, -(-sizes[f"n{k}"] // bucket_entries)), scores)
+        requests = _requests(groups, k, max(1, -(-sizes[f"n{k}"] // bucket_entries)))
         added = _stored(_add_up(requests), f"{folder}/counts-{k}")
         seen = _statistics(added)
         d = discounts(seen)
         if k == 1:
             first, tokens, types = added, seen.get(-2, 0), seen.get(-1, 0)
-            kept = sum(r * d[r] * seen.get(r, 0) for r in range(1, DISCOUNTED + 1)) + tokens
-            kept -= sum(r * seen.get(r, 0) for r in range(1, DISCOUNTED + 1))
+            kept = tokens - sum(r * (1 - d[r]) * seen.get(r, 0) for r in range(1, DISCOUNTED + 1))
             whole = tokens if tokens - kept > 1e-9 * tokens else kept + 1
-            scores = _first_scores(groups, added, d, whole, (whole - kept) / whole)
+            before = write_compact(_first_scores(added, d, whole, (whole - kept) / whole), "katz-scores")
+            lists = _lists(groups, k, added, before) if order == 1 else []
         else:
             buckets = max(1, -(-sizes[f"nctx{k}"] // bucket_entries))
-            contexts = _stored(_contexts(groups, added, k, d, buckets), f"{folder}/weights-{k}")
-            scores = _next_scores(groups, k, added, contexts, d, scores)
-        scores = materialise(scores, "katz-scores")
-    return _documents(groups, order, first, scores, tokens, types)
+            lists = _lists(groups, k, added, before)
+            contexts = _stored(_contexts(groups, added, before, k, d, buckets), f"{folder}/weights-{k}")
+            if k < order:
+                before = write_compact(_next_scores(lists, contexts, k, d), "katz-scores")
+        release(groups.limit(0))
+    return _documents(groups, lists, contexts, order, d, first, tokens, types)
