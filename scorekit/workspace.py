@@ -62,18 +62,17 @@ def write_compact(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(*tables: DataFrame) -> None:
+def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of finished jobs.
 
-    Only files below this package's folder in the shared folder are deleted.
+    Only folders directly below this package's own in the shared folder are deleted.
     """
+    own = f"{shared_dir(spark)}/scorekit/".split(":")[-1].replace("//", "/")
     for df in tables:
-        spark = df.sparkSession
-        own = f"{shared_dir(spark)}/scorekit/".split("://")[-1].split(":", 1)[-1]
         for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            if own in folder:
+            parent, _, name = folder.split(":")[-1].replace("//", "/").rpartition("/")
+            if name and f"{parent}/".endswith(own):
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
