@@ -43,7 +43,7 @@ from scorekit.workspace import fresh_path, release, write_compact
 #: Discounts apply to n-grams seen up to so often.
 DISCOUNTED = 5
 #: Tokens of one group; the bound of what a task holds.
-GROUP_TOKENS = 3_000_000
+GROUP_TOKENS = 2_500_000
 #: Entries that one bucket gets.
 BUCKET_ENTRIES = 1_000_000
 #: Words whose hashes a task remembers; then it starts anew. Memory only, never a result.
@@ -131,65 +131,59 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 def group_schema(order: int) -> str:
-    levels = "".join(f", n{k} long, nctx{k} long, counts{k} binary, lower{k} binary, ctxs{k} binary, ctx{k} binary" for k in range(1, order + 1))
+    levels = "".join(f", n{k} long, counts{k} binary, lower{k} binary, ctx{k} binary" for k in range(1, order + 1))
     return "gid long, doc_ids binary, held binary, lens binary, last binary, words binary" + levels
 
 
 def _group(gid: int, docs: list[tuple[int | None, bool, np.ndarray]], order: int) -> dict:
     """The distinct n-grams of some documents at each level, and where each token stands in the list of the last one.
 
-    ``words`` are the sorted hashes of the first level. An n-gram of a longer level is a context (a place in ``ctxs``, the
-    sorted hashes of contexts) and the n-gram one word shorter (``lower``, a place in the level below).
+    ``words`` are the sorted hashes of the first level. An n-gram of a longer level is its context (a place in the level
+    below, or one behind its end: the start of a text) and the n-gram without its first word (``lower``, a place as well).
     """
     lens = np.array([len(t) + 1 for _, _, t in docs], np.int64)
-    pad = np.full(order - 1, _START)
-    stream = np.concatenate([part for _, _, t in docs for part in (pad, t, [_END])]).astype(_U)
-    begins = np.cumsum(np.r_[0, lens[:-1] + order - 1])
-    token = np.ones(len(stream), bool)
-    for i in range(order - 1):
-        token[begins + i] = False
-    at = np.flatnonzero(token)
+    stream = np.concatenate([part for _, _, t in docs for part in (t, [_END])]).astype(_U)
+    begins = np.cumsum(np.r_[0, lens[:-1]])
     train = np.repeat(np.array([not held for _, held, _ in docs]), lens)
+    words, before = np.unique(stream, return_inverse=True)
+    del stream
     row: dict = {
         "gid": gid,
         "doc_ids": _pack(np.array([-1 if i is None else i for i, _, _ in docs], np.int64)),
         "held": _pack(np.array([held + 2 * (i is None) for i, held, _ in docs], np.int8)),
         "lens": _pack(lens),
+        "words": _pack_sorted(words),
     }
-    before = np.zeros(len(at), np.int64)
+    size, ctx = len(words), np.empty(0, np.int64)
+    lower = ctx
     for k in range(1, order + 1):
-        if k == 1:
-            ctxs, keys, where = np.array([_U(1)]), *np.unique(stream[at], return_inverse=True)
-            row["words"] = _pack_sorted(keys)
-            ctx = lower = np.zeros(len(keys), np.int64)
-        else:
-            context = np.full(len(at), _U(k))
-            for back in range(k - 1, 0, -1):
-                context = _follow(context, stream[at - back])
-            ctxs, where = np.unique(context, return_inverse=True)
-            below = row[f"n{k - 1}"]
-            keys, where = np.unique(where * below + before, return_inverse=True)
-            ctx, lower = keys // below, keys % below
+        if k > 1:
+            code = np.r_[size, before[:-1]]
+            code[begins] = size
+            code *= size
+            code += before
+            pairs, before = np.unique(code, return_inverse=True)
+            ctx, lower, size = pairs // size, pairs % size, len(pairs)
         row |= {
-            f"n{k}": len(keys),
-            f"nctx{k}": len(ctxs),
-            f"counts{k}": _pack(np.bincount(where, weights=train, minlength=len(keys)).astype("<u4")),
+            f"n{k}": size,
+            f"counts{k}": _pack(np.bincount(before, weights=train, minlength=size).astype("<u4")),
             f"lower{k}": _pack(lower.astype("<u4")),
-            f"ctxs{k}": _pack_sorted(ctxs),
             f"ctx{k}": _pack(ctx.astype("<u4")),
         }
-        before = where
     return row | {"last": _pack(before.astype("<u4"))}
 
 
-def _keys(k: int, words: bytes, lowers: dict[int, bytes], ctxs: bytes, ctx: bytes) -> np.ndarray:
-    """The hashes of a group's n-grams of level k; of single words (sorted) their own."""
-    word = _unpack_sorted(words)
-    if k == 1:
-        return word
+def _keys(k: int, words: bytes, levels: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a group's n-grams of level k (single words: their own, sorted), and of its contexts: the level below and
+    the start of a text. ``levels``: lower and ctx of the levels from 2 on."""
+    word = keys = _unpack_sorted(words)
+    contexts = np.empty(0, _U)
     for j in range(2, k + 1):
-        word = word[_unpack(lowers[j], "<u4")]
-    return _follow(_unpack_sorted(ctxs)[_unpack(ctx, "<u4")], word)
+        lower, ctx = (_unpack(part, "<u4") for part in levels[j])
+        word = word[lower]
+        contexts = np.r_[keys, _START ^ _U(j)]
+        keys = _follow(contexts[ctx], word)
+    return keys, contexts
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -238,13 +232,13 @@ def _requests(groups: DataFrame, k: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys = _keys(k, r["words"], {j: r[f"lower{j}"] for j in range(2, k + 1)}, r[f"ctxs{k}"], r[f"ctx{k}"])
+                keys, _ = _keys(k, r["words"], {j: (r[f"lower{j}"], r[f"ctx{j}"]) for j in range(2, k + 1)})
                 order = np.argsort(keys)
                 keys, counts = keys[order], _unpack(r[f"counts{k}"], "<u4")[order]
                 yield _parcels([(b, r["gid"], _pack_sorted(keys[s]), _pack(counts[s]), b"", b"") for b, s in _slices(keys, buckets)])
 
-    lowers = [f"lower{j}" for j in range(2, k + 1)]
-    return groups.select("gid", "words", *lowers, f"ctxs{k}", f"ctx{k}", f"counts{k}").mapInArrow(run, PARCELS)
+    levels = [f"{c}{j}" for j in range(2, k + 1) for c in ("lower", "ctx")]
+    return groups.select("gid", "words", *levels, f"counts{k}").mapInArrow(run, PARCELS)
 
 
 def _add_up(requests: DataFrame) -> DataFrame:
@@ -282,7 +276,7 @@ def _statistics(added: DataFrame) -> dict[int, int]:
                 found = {-1: len(counts), -2: int(counts.sum())} | {r: int(few[r]) for r in range(1, DISCOUNTED + 2)}
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["r", "n"])
 
-    rows = added.filter("gid = -1").select("b").mapInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
+    rows = added.filter("model").select("b").mapInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
     return {r["r"]: r["n"] for r in rows}
 
 
@@ -306,67 +300,72 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class _Joined:
-    """What a group knows at level k, from rows of several kinds: its own lists, answers, and scores one level lower."""
+    """What a group knows at level k: its own lists, and answers, scores one level lower and contexts' weights by kind."""
 
-    def __init__(self, table: pa.Table, k: int, d: np.ndarray):
-        rows: dict[int, list[dict]] = {}
+    def __init__(self, own: pa.Table, table: pa.Table, k: int, d: np.ndarray):
+        self.rows: dict[int, list[dict]] = {}
         for r in table.to_pylist():
-            rows.setdefault(r["kind"], []).append(r)
-        for of_kind in rows.values():
+            self.rows.setdefault(r["kind"], []).append(r)
+        for of_kind in self.rows.values():
             of_kind.sort(key=lambda r: r["bucket"])
-        self.rows, (own,), self.d = rows, rows[0], d
-        self.gid, self.ctxs, self.ctx = own["gid"], _unpack_sorted(own["b"]), _unpack(own["c"], "<u4")
-        lowers = {r["bucket"]: r["a"] for r in rows.get(1, [])}
-        order = np.argsort(_keys(k, own["a"], lowers, own["b"], own["c"]))
+        (self.own,), self.d = own.to_pylist(), d
+        self.gid, levels = self.own["gid"], {j: (self.own[f"lower{j}"], self.own[f"ctx{j}"]) for j in range(2, k + 1)}
+        keys, contexts = _keys(k, self.own["words"], levels)
+        order, by_context = np.argsort(keys), np.argsort(contexts)
+        self.contexts = contexts[by_context]
         answers = np.empty(len(order), np.int64)
-        answers[order] = self.column(2, "a", np.int64)
+        answers[order] = self.column(0, "a", np.int64)
         self.counts, self.answers_for = answers >> 1, (answers & 1).astype(bool)
-        self.lowers = lowers
-        self.shorter = self.column(3, "a", np.float64)[_unpack(lowers[k], "<u4")] if k > 1 else None
+        if k > 1:
+            self.shorter = self.column(1, "a", np.float64)[_unpack(levels[k][0], "<u4")]
+            # Places of contexts in the order of their hashes, in which they are asked for and answered.
+            place = np.empty(len(contexts), np.int64)
+            place[by_context] = np.arange(len(contexts))
+            self.ctx = place[_unpack(levels[k][1], "<u4")]
 
     def column(self, kind: int, name: str, dtype) -> np.ndarray:
         return _unpack_all(self.rows[kind], name, dtype)
 
     def scores(self) -> np.ndarray:
         """Log probabilities of the n-grams: their own, or backed off."""
-        total, weight = self.column(4, "a", np.float64)[self.ctx], self.column(4, "b", np.float64)[self.ctx]
+        total, weight = self.column(2, "a", np.float64)[self.ctx], self.column(2, "b", np.float64)[self.ctx]
         own = np.log(_discounted(np.maximum(self.counts, 1), self.d) / total)
         return np.where(self.counts > 0, own, weight + self.shorter)
 
 
-def _kinds(*frames: DataFrame) -> DataFrame:
-    """Rows of several kinds (a number in front)."""
-    out = None
-    for kind, frame in enumerate(frames):
+def _joined(groups: DataFrame, k: int, columns: list[str], *kinds: DataFrame):
+    """Each group's row with the rows of several kinds for it. Groups are stored in buckets of gid, so they do not move."""
+    rows = None
+    for kind, frame in enumerate(kinds):
         missing = {c: F.lit(b"") for c in "abcd" if c not in frame.columns}
         if "bucket" not in frame.columns:
             missing["bucket"] = F.lit(0)
         frame = frame.withColumns(missing).select(F.lit(kind).alias("kind"), *_FIELDS)
-        out = frame if out is None else out.unionByName(frame)
-    return out
+        rows = frame if rows is None else rows.unionByName(frame)
+    own = groups.select("gid", "words", *[f"{c}{j}" for j in range(2, k + 1) for c in ("lower", "ctx")], *columns)
+    return own.groupBy("gid").cogroup(rows.groupBy("gid"))
 
 
-def _lists(groups: DataFrame, k: int, added: DataFrame, before: DataFrame) -> list[DataFrame]:
-    """The kinds of rows that ``_Joined`` reads: 0 lists, 1 places one level lower, 2 answers, 3 scores."""
-    own = groups.select("gid", F.col("words").alias("a"), F.col(f"ctxs{k}").alias("b"), F.col(f"ctx{k}").alias("c"))
-    places = [F.struct(F.lit(j).alias("bucket"), F.col(f"lower{j}").alias("a")) for j in range(2, k + 1)]
-    lowers = groups.select("gid", F.inline(F.array(*places))) if places else groups.select("gid").filter("false")
-    return [own, lowers, added.filter("gid >= 0"), before.select("gid", F.col("scores").alias("a"))]
+def _answers(added: DataFrame, before: DataFrame, contexts: DataFrame | None = None) -> list[DataFrame]:
+    """The kinds of rows that ``_Joined`` reads: 0 answers, 1 scores one level lower, 2 weights of contexts."""
+    weights = added.filter("false") if contexts is None else contexts.filter("not model")
+    return [added.filter("not model"), before.select("gid", F.col("scores").alias("a")), weights]
 
 
 def _contexts(groups: DataFrame, added: DataFrame, before: DataFrame, k: int, d: np.ndarray, buckets: int) -> DataFrame:
     """Per bucket of contexts: to each group its contexts' denominators and log backoff weights; with gid -1 the table."""
 
-    def sums(table: pa.Table) -> pa.Table:
+    def sums(own: pa.Table, table: pa.Table) -> pa.Table:
         """The group's part of each context: sums over the n-grams that it answers for."""
-        g = _Joined(table, k, d)
+        g = _Joined(own, table, k, d)
         mine = (g.counts > 0) & g.answers_for
-        where, n = g.ctx[mine], len(g.ctxs)
+        where, n = g.ctx[mine], len(g.contexts)
         total = np.bincount(where, weights=g.counts[mine], minlength=n)
         kept = np.bincount(where, weights=_discounted(g.counts[mine], d), minlength=n)
         low = np.bincount(where, weights=np.exp(g.shorter[mine]), minlength=n)
         parcels = [
-            (b, g.gid, _pack_sorted(g.ctxs[s]), _pack(total[s]), _pack(kept[s]), _pack(low[s])) for b, s in _slices(g.ctxs, buckets)
+            (b, g.gid, _pack_sorted(g.contexts[s]), _pack(total[s]), _pack(kept[s]), _pack(low[s]))
+            for b, s in _slices(g.contexts, buckets)
         ]
         return pa.Table.from_batches([_parcels(parcels)])
 
@@ -392,8 +391,8 @@ def _contexts(groups: DataFrame, added: DataFrame, before: DataFrame, k: int, d:
             out.append((r["bucket"], r["gid"], _pack(total[own]), _pack(weight[own]), b"", b""))
         return pa.Table.from_batches([_parcels(out)])
 
-    joined = _kinds(*_lists(groups, k, added, before))
-    return joined.groupBy("gid").applyInArrow(sums, PARCELS).groupBy("bucket").applyInArrow(run, PARCELS)
+    parts = _joined(groups, k, [], *_answers(added, before)).applyInArrow(sums, PARCELS)
+    return parts.groupBy("bucket").applyInArrow(run, PARCELS)
 
 
 # ---- scores ------------------------------------------------------------------------------------------------------------
@@ -408,38 +407,37 @@ def _first_scores(added: DataFrame, d: np.ndarray, whole: float, left: float) ->
         scores = np.log(np.where(counts > 0, _discounted(np.maximum(counts, 1), d) / whole, left))
         return pa.table({"gid": pa.array([rows[0]["gid"]], pa.int64()), "scores": pa.array([_pack(scores)], pa.binary())})
 
-    return added.filter("gid >= 0").select("gid", "bucket", "a").groupBy("gid").applyInArrow(run, "gid long, scores binary")
+    return added.filter("not model").select("gid", "bucket", "a").groupBy("gid").applyInArrow(run, "gid long, scores binary")
 
 
-def _next_scores(lists: list[DataFrame], contexts: DataFrame, k: int, d: np.ndarray) -> DataFrame:
+def _next_scores(groups: DataFrame, k: int, answers: list[DataFrame], d: np.ndarray) -> DataFrame:
     """Log probabilities of the groups' n-grams of level k."""
 
-    def run(table: pa.Table) -> pa.Table:
-        g = _Joined(table, k, d)
+    def run(own: pa.Table, table: pa.Table) -> pa.Table:
+        g = _Joined(own, table, k, d)
         return pa.table({"gid": pa.array([g.gid], pa.int64()), "scores": pa.array([_pack(g.scores())], pa.binary())})
 
-    return _kinds(*lists, contexts.filter("gid >= 0")).groupBy("gid").applyInArrow(run, "gid long, scores binary")
+    return _joined(groups, k, [], *answers).applyInArrow(run, "gid long, scores binary")
 
 
 def _documents(
-    groups: DataFrame, lists: list[DataFrame], contexts: DataFrame | None, order: int, d: np.ndarray, first: DataFrame, tokens: int, types: int
+    groups: DataFrame, order: int, answers: list[DataFrame], d: np.ndarray, first: DataFrame, tokens: int, types: int
 ) -> DataFrame:
     """One row per document: the scores of the last level, summed over its tokens."""
 
-    def run(table: pa.Table) -> pa.Table:
-        g = _Joined(table, order, d)
-        (own,) = g.rows[5]
-        where, lens = _unpack(own["d"], "<u4"), _unpack(own["c"], np.int64)
+    def run(own: pa.Table, table: pa.Table) -> pa.Table:
+        g = _Joined(own, table, order, d)
+        where, lens = _unpack(g.own["last"], "<u4"), _unpack(g.own["lens"], np.int64)
         starts = np.cumsum(np.r_[0, lens[:-1]])
-        score = (g.scores() if order > 1 else g.column(3, "a", np.float64))[where]
+        score = (g.scores() if order > 1 else g.column(1, "a", np.float64))[where]
         for k in range(order, 1, -1):
-            where = _unpack(g.lowers[k], "<u4")[where]
-        counts = (g.column(6, "a", np.int64) >> 1)[where]
+            where = _unpack(g.own[f"lower{k}"], "<u4")[where]
+        counts = (g.column(3, "a", np.int64) >> 1)[where]
         base = np.log10((counts + 1) / (tokens + types + 1))
-        n, held = len(lens), _unpack(own["b"], np.int8)
+        n, held = len(lens), _unpack(g.own["held"], np.int8)
         return pa.table(
             {
-                "doc_id": pa.array(_unpack(own["a"], np.int64), mask=held >= 2),
+                "doc_id": pa.array(_unpack(g.own["doc_ids"], np.int64), mask=held >= 2),
                 "held_out": pa.array(held % 2 == 1),
                 "n_tokens": pa.array(lens),
                 "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
@@ -449,11 +447,20 @@ def _documents(
             }
         )
 
-    own = [F.col(c).alias(n) for c, n in zip(("doc_ids", "held", "lens", "last"), "abcd", strict=True)]
-    answers = contexts.filter("gid >= 0") if contexts is not None else first.filter("false")
-    rows = _kinds(*lists, answers, groups.select("gid", *own), first.filter("gid >= 0"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("gid").applyInArrow(run, schema)
+    joined = _joined(groups, order, ["doc_ids", "held", "lens", "last"], *answers, first.filter("not model"))
+    return joined.applyInArrow(run, schema)
+
+
+def _bucketed(groups: DataFrame) -> DataFrame:
+    """The groups as a table in buckets of gid, in the shared folder."""
+    spark = groups.sparkSession
+    path = fresh_path(spark, "katz-groups")
+    name = "scorekit_" + path.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = groups.write.bucketBy(buckets, "gid").option("compression", "zstd").option("path", path)
+    writer.format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _stored(parcels: DataFrame, folder: str) -> DataFrame:
@@ -474,16 +481,16 @@ def fit_and_score(
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "katz")
-    groups = write_compact(groups_of(docs, order, group_tokens), "katz-groups")
+    groups = _bucketed(groups_of(docs, order, group_tokens))
     sizes = groups.agg(
-        *[F.coalesce(F.sum(f"{n}{k}"), F.lit(0)).alias(f"{n}{k}") for k in range(1, order + 1) for n in ("n", "nctx")]
+        *[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(1, order + 1)]
     ).first()
     tokens = types = 0
-    first = scores = contexts = None
-    lists: list[DataFrame] = []
+    answers: list[DataFrame] = []
     for k in range(1, order + 1):
-        requests = _requests(groups, k, max(1, -(-sizes[f"n{k}"] // bucket_entries)))
-        added = _stored(_add_up(requests), f"{folder}/counts-{k}")
+        buckets = max(1, -(-sizes[f"n{k}"] // bucket_entries))
+        added = _stored(_add_up(_requests(groups, k, buckets)), f"{folder}/counts-{k}")
+        release(spark)
         seen = _statistics(added)
         d = discounts(seen)
         if k == 1:
@@ -491,12 +498,12 @@ def fit_and_score(
             kept = tokens - sum(r * (1 - d[r]) * seen.get(r, 0) for r in range(1, DISCOUNTED + 1))
             whole = tokens if tokens - kept > 1e-9 * tokens else kept + 1
             before = write_compact(_first_scores(added, d, whole, (whole - kept) / whole), "katz-scores")
-            lists = _lists(groups, k, added, before) if order == 1 else []
+            answers = _answers(added, before)
         else:
-            buckets = max(1, -(-sizes[f"nctx{k}"] // bucket_entries))
-            lists = _lists(groups, k, added, before)
+            buckets = max(1, -(-sizes[f"n{k - 1}"] // bucket_entries))
             contexts = _stored(_contexts(groups, added, before, k, d, buckets), f"{folder}/weights-{k}")
+            answers = _answers(added, before, contexts)
             if k < order:
-                before = write_compact(_next_scores(lists, contexts, k, d), "katz-scores")
-        release(groups.limit(0))
-    return _documents(groups, lists, contexts, order, d, first, tokens, types)
+                before = write_compact(_next_scores(groups, k, answers, d), "katz-scores")
+        release(spark)
+    return _documents(groups, order, answers, d, first, tokens, types)
