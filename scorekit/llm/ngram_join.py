@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ TILE = 512
 
 #: Bits of the bitmap that sorts out block digests of one class only. It is broadcast; when too many digests are shared it
 #: sorts out less, and the join does the rest.
-BITMAP = 1 << 27
+BITMAP = 1 << 25
 
 #: Words whose hashes a task remembers; then it starts anew. Memory only, never a result.
 CACHE = 1_000_000
@@ -240,7 +241,7 @@ def _overlaps(docs: DataFrame, prints: DataFrame, pairs: DataFrame, n: int, perc
     return materialise(placed.groupBy("b", "part").applyInArrow(compare, "a long, b long"), "ngram-links")
 
 
-def _filtered(prints: DataFrame, shared: DataFrame) -> DataFrame:
+def _filtered(prints: DataFrame, shared: DataFrame) -> tuple[DataFrame, Broadcast]:
     """Entries (c1, sig, fill) that may be in ``shared``: a bitmap of fixed size sorts most others out before the shuffle."""
     spark, hashed = prints.sparkSession, F.col("sig").bitwiseAND(F.lit(BITMAP - 1))
     chunks = shared.groupBy(F.shiftright(hashed, 15).alias("chunk")).agg(
@@ -262,7 +263,7 @@ def _filtered(prints: DataFrame, shared: DataFrame) -> DataFrame:
             columns = [owner[may], flat[may], fills.flatten().to_numpy()[may]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["c1", "sig", "fill"])
 
-    return prints.select("c1", "sigs", "fills").mapInArrow(run, "c1 long, sig long, fill int")
+    return prints.select("c1", "sigs", "fills").mapInArrow(run, "c1 long, sig long, fill int"), known
 
 
 def _candidates(open_: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -399,8 +400,10 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = entries.groupBy("sig").agg(F.min("c1").alias("pivot"), F.max("c1").alias("last"), F.count("*").alias("n"))
     shared = materialise(shared.filter("pivot < last").drop("last"), "ngram-blocks")
     n_entries = prints.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
-    members = join_counted(_filtered(prints, shared), shared, ["sig"], F.col("n"), n_entries)
+    filtered, bitmap = _filtered(prints, shared)
+    members = join_counted(filtered, shared, ["sig"], F.col("n"), n_entries)
     members = materialise(members.select("sig", "c1", "fill", "pivot").distinct(), "ngram-members")
+    bitmap.destroy()
 
     # First each class with the one pivot that it has most blocks in common with.
     common = members.filter("c1 <> pivot").groupBy("c1", "pivot").agg(F.count("*").alias("blocks"))
