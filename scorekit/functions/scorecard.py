@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from scorekit.functions.numbers import clip
+from scorekit.functions.numbers import clip, present
 
 
 def risk_score(prob: Column, base_score: float = 500.0, pdo: float = 20.0) -> Column:
@@ -32,8 +32,8 @@ def willingness_score(
     high: float = 700.0,
     eps: float = 1e-10,
 ) -> Column:
-    """Whole-number score that rises with the probability, limited to ``[low, high]``; ties round to even."""
-    safe = clip(prob, eps, 1 - eps)
+    """Whole-number score that rises with the probability, limited to ``[low, high]``; ties round to even. NaN: NULL."""
+    safe = clip(present(prob), eps, 1 - eps)
     per_log_odds = pdo / math.log(2)
     offset = base_score - per_log_odds * math.log(target_odds)
     return F.rint(clip(offset + per_log_odds * F.ln(safe / (1 - safe)), low, high)).cast("int")

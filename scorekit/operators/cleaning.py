@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scorekit.functions.numbers import clip
+from scorekit.functions.numbers import clip, present
 from scorekit.functions.text import parses_as_integer, parses_as_number
 from scorekit.plans.order_stats import approximate_quantiles, exact_quantiles
 
@@ -139,7 +139,10 @@ _NARROW_INTEGERS = [("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)]
 
 
 def fit_narrow_types(df: DataFrame, names: Sequence[str] | None = None, tolerance: float = 5e-4) -> dict[str, str]:
-    """Smallest type that holds each column: a small integer if all values are whole, float if rounding stays small."""
+    """Smallest type that holds each column: a small integer if all values are whole, float if rounding stays small.
+
+    NaN and infinities are no whole numbers; float holds them as they are.
+    """
     whole_kinds = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     real_kinds = (T.FloatType, T.DoubleType)
     names = _columns_of(df, whole_kinds + real_kinds, names)
@@ -148,11 +151,15 @@ def fit_narrow_types(df: DataFrame, names: Sequence[str] | None = None, toleranc
     checks = []
     for i, n in enumerate(names):
         col = _ref(n)
-        checks += [F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")]
-        if isinstance(df.schema[n].dataType, real_kinds):
+        real = isinstance(df.schema[n].dataType, real_kinds)
+        checks += [F.min(present(col) if real else col).alias(f"lo{i}"), F.max(present(col) if real else col).alias(f"hi{i}")]
+        if real:
+            value = present(col)
+            endless = F.abs(value) == float("inf")
+            lost = F.when(endless, 0.0).otherwise(F.abs(value - value.cast("float").cast("double")))
             checks += [
-                F.bool_and(col == F.floor(col).cast("double")).alias(f"whole{i}"),
-                F.max(F.abs(col.cast("double") - col.cast("float").cast("double"))).alias(f"error{i}"),
+                F.bool_and(~F.isnan(col) & ~endless & (value == F.rint(value))).alias(f"whole{i}"),
+                F.max(lost).alias(f"error{i}"),
             ]
     row = df.agg(*checks).first()
     types = {}

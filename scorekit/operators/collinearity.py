@@ -8,35 +8,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-WIDE = 24
+from scorekit.functions.numbers import present
 
 
 def product_sums(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums of products, sums and row count over the rows without NULL; k*k numbers on the driver.
+    """Sums of products of the deviations from the means, the means, and the row count, over rows without NULL or NaN.
 
-    Few columns go through one ordinary aggregate. Many columns would make that expression too large, so every
-    partition multiplies its batches out and the partial matrices are added up in Spark.
+    Deviations, not raw values, are multiplied: time stamps, ids and amounts vary little against their size. Every
+    partition multiplies its batches out and the partial matrices are added up in Spark; k*k numbers reach the driver.
     """
-    view = df.select(*[F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)]).na.drop()
+    view = df.select(*[present(F.col(n)).alias(f"c{i}") for i, n in enumerate(names)]).na.drop()
     k = len(names)
-    gram, sums = np.zeros((k, k)), np.zeros(k)
-    if k <= WIDE:
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = view.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)],
-            *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in pairs],
-        ).first()
-        if not row["n"]:
-            return gram, sums, 0
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = row[f"p{i}_{j}"]
-        return gram, np.array([row[f"s{i}"] for i in range(k)]), row["n"]
+    row = view.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
+    if not row["n"]:
+        return np.zeros((k, k)), np.zeros(k), 0
+    means = np.array([row[f"m{i}"] for i in range(k)])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k + 1, k + 1))
         for batch in batches:
-            block = np.column_stack([np.ones(len(batch)), batch.to_numpy()])
+            block = np.column_stack([np.ones(len(batch)), batch.to_numpy() - means])
             total += block.T @ block
         i, j = np.triu_indices(k + 1)
         yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
@@ -45,7 +36,9 @@ def product_sums(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.nd
     full = np.zeros((k + 1, k + 1))
     for c in cells:
         full[c["i"], c["j"]] = full[c["j"], c["i"]] = c["v"]
-    return full[1:, 1:], full[0, 1:], int(full[0, 0])
+    # What rounding has left of the means in the deviations is taken out as well.
+    rest = full[0, 1:] / row["n"]
+    return full[1:, 1:] - row["n"] * np.outer(rest, rest), means + rest, int(row["n"])
 
 
 def _diagonal_of_inverse(matrix: np.ndarray) -> np.ndarray:
@@ -61,13 +54,10 @@ def _diagonal_of_inverse(matrix: np.ndarray) -> np.ndarray:
 def vif(df: DataFrame, names: Sequence[str], centered: bool = False) -> DataFrame:
     """(feature, vif, constant). By default without an intercept, as regressions on raw columns are; ``centered`` adds
     one. Columns in an exact linear relation have inf; a constant column is marked, and has NULL when centered."""
-    gram, sums, n = product_sums(df, names)
-    constant = np.zeros(len(names), bool)
-    if n:
-        covariance = gram - np.outer(sums, sums) / n
-        constant = np.diag(covariance) <= 1e-12 * np.maximum(np.diag(gram), 1e-300)
-        if centered:
-            gram = covariance
+    covariance, means, n = product_sums(df, names)
+    raw = covariance + n * np.outer(means, means)
+    constant = np.diag(covariance) <= 1e-28 * np.maximum(np.diag(raw), 1e-300) if n else np.zeros(len(names), bool)
+    gram = covariance if centered else raw
     usable = (np.diag(gram) > 0) & ~(constant if centered else np.zeros(len(names), bool))
     result = np.full(len(names), np.nan)
     if usable.any():

@@ -15,6 +15,10 @@ WOE_OFFSET = 1e-10
 
 def _long(df: DataFrame, bins: dict[str, Column], keep: dict[str, Column]) -> DataFrame:
     """One (feature, bin) row per feature and input row; only bin numbers travel, not values."""
+    if not bins:
+        return df.select(*[c.alias(k) for k, c in keep.items()]).limit(0).select(
+            "*", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("bin")
+        )
     cells = F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), b.cast("int").alias("bin")) for n, b in bins.items()]))
     return df.select(*[c.alias(k) for k, c in keep.items()], cells)
 
@@ -54,7 +58,10 @@ def psi_table(
 
 
 def psi_by_feature(df: DataFrame, names: Sequence[str], is_actual: Column, **options) -> DataFrame:
-    return psi_table(df, names, is_actual, **options).groupBy("feature").agg(F.sum("psi").alias("psi"))
+    """One row per feature; NULL for a feature without expected values."""
+    sums = psi_table(df, names, is_actual, **options).groupBy("feature").agg(F.sum("psi").alias("psi"))
+    every = df.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "feature string")
+    return every.join(sums, "feature", "left")
 
 
 def psi(df: DataFrame, name: str, is_actual: Column, **options) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scorekit.functions.text import as_text, cross_text
 from scorekit.functions.timeparts import day_of, day_segment, hour_of
 from scorekit.plans.key_stats import (
-    NO_VALUE,
     KeyStats,
     Lookup,
     Output,
@@ -19,13 +18,14 @@ from scorekit.plans.key_stats import (
     fit_key_stats,
     row_count,
     row_count_with_missing,
+    stored_text,
 )
 
 TEST_LABEL = -1
 
 
 def join_key(df: DataFrame, name: str) -> Column:
-    return F.coalesce(as_text(df, name), F.lit(NO_VALUE))
+    return stored_text(as_text(df, name))
 
 
 def add_time_parts(df: DataFrame, date: str = "date") -> DataFrame:
@@ -93,7 +93,7 @@ def add_group_count(df: DataFrame, names: Sequence[str], **options) -> DataFrame
     df = df.drop(target)
     text = _composite_text(df, names)
     stats = fit_key_stats(df, {target: text}, counted=[target], **options)
-    return attach(df, stats, [Lookup(target, F.coalesce(text, F.lit(NO_VALUE)), {target: row_count})])
+    return attach(df, stats, [Lookup(target, stored_text(text), {target: row_count})])
 
 
 def add_cross_counts(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -15,6 +16,8 @@ from scorekit.plans.running_totals import running_totals
 DEFAULT_TOPN = (500, 1000, 3000, 5000)
 DEFAULT_THRESHOLDS = (0.95, 0.9, 0.85, 0.8, 0.7, 0.6)
 BANDS_PER_BUCKET = 4096
+#: More bands than this are no report but a wrong width.
+MAX_BANDS = 10_000_000
 
 # The headings business readers know, by column of each report.
 TOPN_TITLES = {
@@ -135,8 +138,12 @@ def topn_report(
 def threshold_report(
     df: DataFrame, label: str, score: str, thresholds: Sequence[float] = DEFAULT_THRESHOLDS
 ) -> DataFrame:
-    """Quality of the rows scored at or above each threshold, one row per threshold, from one pass."""
+    """Quality of the rows scored at or above each threshold, one row per threshold, from one pass.
+
+    As in the top-N report, rows without a score do not take part.
+    """
     p, positive = present(F.col(score)), F.col(label) == 1
+    df = df.filter(p.isNotNull())
     sums = [F.count(F.lit(1)).alias("n_rows"), F.count_if(positive).alias("positives")]
     for i, t in enumerate(thresholds):
         sums += [
@@ -176,20 +183,25 @@ def threshold_report(
 def score_bands(df: DataFrame, score: str, label: str, width: float = 5.0) -> DataFrame:
     """Counts, cumulative counts and rates per score band, lowest band first, empty bands included.
 
-    Band 0 is the smallest score itself, band k the scores in ``(low+(k-1)*width, low+k*width]``.
+    Band 0 is the smallest score itself, band k the scores in ``(low+(k-1)*width, low+k*width]``. Infinite scores, where
+    there are any, are in bands of their own below and above all others. NULL and NaN are in none.
     """
     spark = df.sparkSession
-    low, high = fit_ranges(df, {"s": F.col(score).cast("double")})["s"]
-    if low is None:
-        last, low = -1, 0.0
-    else:
-        last = df.agg(F.max(fixed_step(F.col(score).cast("double"), F.lit(low), width))).first()[0]
+    value = present(F.col(score))
+    value = F.when(F.abs(value) < float("inf"), value)
+    low, high = fit_ranges(df.select(value.alias("s")), {"s": F.col("s")})["s"]
+    last = -1 if low is None else math.ceil((high - low) / width)
+    if last > MAX_BANDS:
+        raise ValueError(f"{last} bands of width {width} from {low} to {high}; at most {MAX_BANDS} make a report")
+    low = 0.0 if low is None else low
+    band = F.when(value.isNotNull(), fixed_step(value, F.lit(low), width)).when(F.col(score) > 0, last + 1).otherwise(-1)
     counted = (
         df.filter(present(F.col(score)).isNotNull())
-        .groupBy(fixed_step(F.col(score).cast("double"), F.lit(low), width).alias("band"))
+        .groupBy(band.cast("bigint").alias("band"))
         .agg(F.count(F.lit(1)).alias("total"), F.sum(label).cast("bigint").alias("bad"))
     )
-    bands = spark.range(0, last + 1).select(F.col("id").alias("band"))
+    outer = counted.filter((F.col("band") < 0) | (F.col("band") > last)).select("band")
+    bands = spark.range(0, last + 1).select(F.col("id").alias("band")).unionByName(outer)
     table = bands.join(counted, "band", "left").select(
         F.lit("all").alias("_series"),
         "band",
@@ -206,8 +218,11 @@ def score_bands(df: DataFrame, score: str, label: str, width: float = 5.0) -> Da
     upper = F.lit(low) + F.col("band") * F.lit(float(width))
     return summed.select(
         "band",
-        F.when(F.col("band") > 0, upper - F.lit(float(width))).alias("low"),
-        upper.alias("high"),
+        F.when(F.col("band") < 0, F.lit(float("-inf")))
+        .when(F.col("band") > last, F.lit(float(high if high is not None else 0.0)))
+        .when(F.col("band") > 0, upper - F.lit(float(width)))
+        .alias("low"),
+        F.when(F.col("band") < 0, F.lit(float("-inf"))).when(F.col("band") > last, F.lit(float("inf"))).otherwise(upper).alias("high"),
         "total",
         "bad",
         (F.col("total") - F.col("bad")).alias("good"),

@@ -18,16 +18,15 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from scorekit.functions.text import MISSING_TEXT
 from scorekit.workspace import materialise
 
+#: Stands for a missing key. A real text that begins with this character gets it once more, so none is taken for it.
 NO_VALUE = "\u0000"
 BROADCAST_BUDGET = 256 << 20
 ROW_OVERHEAD = 96
-HOT_PARTS = 100_000
-HOT_KEY_BYTES = 1024
-SALTS = 4096
+#: A key is frequent from this share of the rows on: at most so many frequent keys are broadcast for a large column.
+HOT_PARTS = 10_000
+#: Longer keys meet by their SHA-256 there, so that frequent keys of any length stay small.
+LONG_KEY = 1024
 CODES_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1000
-SAMPLE_PER_BUCKET = 20
-END_LENGTH = 200
 LITERAL_VALUES = 16
 LITERAL_BYTES = 4096
 
@@ -67,6 +66,18 @@ class KeyStats:
         return lambda get: F.when(get("value") != NO_VALUE, get(slot))
 
 
+def stored_text(text: Column) -> Column:
+    """The form in which a key's text is counted and looked up; missing ones are ``NO_VALUE``, and only they."""
+    marked = F.when(text.startswith(NO_VALUE), F.concat(F.lit(NO_VALUE), text)).otherwise(text)
+    return F.coalesce(marked, F.lit(NO_VALUE))
+
+
+def spelt_text(value: Column) -> Column:
+    """The text that ``stored_text`` was made of, the missing one spelt out."""
+    plain = F.when(value.startswith(NO_VALUE), F.substring(value, 2, 2**31 - 1)).otherwise(value)
+    return F.when(value == NO_VALUE, MISSING_TEXT).otherwise(plain)
+
+
 def row_count(get: Getter) -> Column:
     """Rows per key; no number for the missing key."""
     return F.when(get("value") != NO_VALUE, get("n"))
@@ -136,7 +147,7 @@ def fit_approx_key_stats(
     for key in dict.fromkeys(k for k, _ in distinct):
         sketches = {slots[k, o]: F.approx_count_distinct(o) for k, o in distinct if k == key}
         parts.append(
-            view.groupBy(F.coalesce(F.col(key), F.lit(NO_VALUE)).alias("value")).agg(
+            view.groupBy(stored_text(F.col(key)).alias("value")).agg(
                 F.first(F.lit(key)).alias("feature"),
                 F.count(F.lit(1)).alias("n"),
                 *[sketches.get(c, F.first(F.lit(None).cast("bigint"))).alias(c) for c in columns],
@@ -202,7 +213,7 @@ def _slots(distinct: Sequence[tuple[str, str]]) -> dict[tuple[str, str], str]:
 
 def _count_pairs(df: DataFrame, keys: dict[str, Column], pairs: list[tuple[str, str | None]]) -> DataFrame:
     needed = list(dict.fromkeys(k for p in pairs for k in p if k is not None))
-    slim = df.select(*[F.coalesce(keys[k], F.lit(NO_VALUE)).alias(k) for k in needed])
+    slim = df.select(*[stored_text(keys[k]).alias(k) for k in needed])
     entries = [
         F.struct(
             F.lit(i).alias("pair"),
@@ -232,15 +243,15 @@ def _sum_keys(
     )
     fed = counts.select("a", "b", "n", F.inline(F.element_at(recipes, F.col("pair") + 1)))
 
-    def spelt(side: str) -> Column:
-        return F.when(F.col(side) == NO_VALUE, MISSING_TEXT).otherwise(F.col(side))
+    def crossed(first: str, second: str) -> Column:
+        return stored_text(F.concat(spelt_text(F.col(first)), F.lit("_"), spelt_text(F.col(second))))
 
     side = F.col("side")
     value = (
         F.when(side == "a", F.col("a"))
         .when(side == "b", F.col("b"))
-        .when(side == "ab", F.concat(spelt("a"), F.lit("_"), spelt("b")))
-        .otherwise(F.concat(spelt("b"), F.lit("_"), spelt("a")))
+        .when(side == "ab", crossed("a", "b"))
+        .otherwise(crossed("b", "a"))
     )
     other = F.when(side == "a", F.col("b")).otherwise(F.col("a"))
     return (
@@ -289,17 +300,18 @@ def _within_budget(sizes: dict[str, KeySize], budget: int) -> frozenset[str]:
 def _codes(table: DataFrame, coded: list[str], sizes: dict[str, KeySize], per_bucket: int) -> DataFrame:
     """The statistics of the coded keys with ``code``: 0..k-1 in text order within each key.
 
-    A key with many values is cut into text ranges first; each range is ranked on its own and shifted by the number of
-    codes before it, so no task orders more than a range.
+    Keys with many values are cut into text ranges first, by Spark's range partitioning; each range is ranked on its own
+    and shifted by the number of codes before it, so no task orders more than about ``per_bucket`` values.
     """
-    text = F.when(F.col("value") == NO_VALUE, MISSING_TEXT).otherwise(F.col("value"))
-    bucket = F.lit(0)
-    for key in coded:
-        size = sizes.get(key, KeySize(0, 0)).values
-        if size > per_bucket:
-            ends = _text_ends(table.filter(F.col("feature") == key).select(text.alias("value")), size, per_bucket)
-            bucket = F.when(F.col("feature") == key, _range_number(F.col("_text"), ends)).otherwise(bucket)
-    mine = table.filter(F.col("feature").isin(coded)).withColumn("_text", text).withColumn("_bucket", bucket)
+    mine = table.filter(F.col("feature").isin(coded)).withColumn("_text", spelt_text(F.col("value")))
+    most = max((sizes.get(key, KeySize(0, 0)).values for key in coded), default=0)
+    if most > per_bucket:
+        ranges = -(-sum(sizes.get(key, KeySize(0, 0)).values for key in coded) // per_bucket)
+        # Written with its range, so that every reader sees the same cut. Equal texts never part.
+        ranged = mine.repartitionByRange(ranges, "feature", "_text").withColumn("_bucket", F.spark_partition_id())
+        mine = materialise(ranged, "key-ranges")
+    else:
+        mine = mine.withColumn("_bucket", F.lit(0))
     inside = Window.partitionBy("feature", "_bucket").orderBy("_text")
     ranked = mine.withColumn("_rank", F.dense_rank().over(inside).cast("bigint"))
     earlier = Window.partitionBy("feature").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -308,7 +320,7 @@ def _codes(table: DataFrame, coded: list[str], sizes: dict[str, KeySize], per_bu
         .agg(F.count_distinct("_text").alias("_k"))
         .select("feature", "_bucket", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_shift"))
     )
-    # At most MAX_BUCKETS rows per coded column.
+    # One row per range: a millionth of the values.
     codes = ranked.join(F.broadcast(shifts), ["feature", "_bucket"]).withColumn(
         "code", F.col("_rank") + F.col("_shift") - 1
     )
@@ -316,22 +328,6 @@ def _codes(table: DataFrame, coded: list[str], sizes: dict[str, KeySize], per_bu
     return codes.withColumn("class_n", F.sum("n").over(same_text)).select(*table.columns, "code", "class_n")
 
 
-def _text_ends(values: DataFrame, size: int, per_bucket: int) -> list[str]:
-    """Range ends from a hash sample of the distinct values: about SAMPLE_PER_BUCKET strings per range."""
-    buckets = min(-(-size // per_bucket), MAX_BUCKETS)
-    every = max(size // (buckets * SAMPLE_PER_BUCKET), 1)
-    chosen = values.filter(F.pmod(F.xxhash64("value"), F.lit(every)) == 0)
-    sample = sorted(r[0] for r in chosen.select(F.substring("value", 1, END_LENGTH)).collect())
-    step = max(len(sample) // buckets, 1)
-    return sorted(set(sample[step::step]))
-
-
-def _range_number(text: Column, ends: list[str]) -> Column:
-    if not ends:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= text))
-
-
 class Lookup(NamedTuple):
     """What to bring back for one key; ``text`` is the key's text form over the rows, missing ones spelt NO_VALUE."""
 
@@ -382,30 +378,25 @@ def _literal_map(rows: list[Row]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), f"map<string, struct<{shape}>>")
 
 
+def _short(key: Column) -> Column:
+    """A key, or the SHA-256 of a long one behind a mark that no stored text begins with."""
+    return F.when(F.octet_length(key) > LONG_KEY, F.concat(F.lit(NO_VALUE + "s"), F.sha2(key.cast("binary"), 256))).otherwise(key)
+
+
 def _attach_large(rows: DataFrame, side: DataFrame, names: list[str], stats: KeyStats) -> DataFrame:
     """Join a side too large to broadcast, safe against frequent keys.
 
-    A key is frequent when it holds at least 1/hot_parts of the rows, so there are at most hot_parts of them, none longer
-    than HOT_KEY_BYTES: broadcast. Their rows then need no match from the other keys and go to the shuffle join with a
-    NULL key and a salt.
+    A key is frequent when it holds at least 1/hot_parts of the rows, so there are at most hot_parts of them. Their rows
+    meet a broadcast and are never shuffled, however alike they are; only the others go to the shuffle join. Where there
+    are frequent keys the rows are written first, as both halves read them.
     """
-    frequent = (F.col("_n") >= stats.rows / stats.hot_parts) & (F.octet_length("_key") <= HOT_KEY_BYTES)
-    hot = side.filter(frequent).select(
-        "_key", F.lit(True).alias("_hot"), *[F.col(n).alias(f"_hot_{n}") for n in names]
-    )
-    cold = side.filter(~frequent).withColumn("_salt", F.lit(0)).select(
-        F.col("_key").alias("_cold"), "_salt", *[F.col(n).alias(f"_cold_{n}") for n in names]
-    )
-    plain = [f.name for f in rows.schema.fields if not _holds_map(f.dataType)]
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS)).cast("int")
-    marked = (
-        rows.join(F.broadcast(hot), "_key", "left")
-        .withColumn("_cold", F.when(F.col("_hot").isNull(), F.col("_key")))
-        .withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread))
-    )
-    joined = marked.join(cold, ["_cold", "_salt"], "left")
-    return joined.withColumns({n: F.coalesce(f"_hot_{n}", f"_cold_{n}") for n in names})
-
-
-def _holds_map(kind) -> bool:
-    return "map<" in kind.simpleString()
+    side = side.withColumn("_key", _short(F.col("_key")))
+    rows = rows.withColumn("_key", _short(F.col("_key")))
+    frequent = F.col("_n") >= stats.rows / stats.hot_parts
+    hot, cold = side.filter(frequent).drop("_n"), side.filter(~frequent).drop("_n")
+    if hot.isEmpty():
+        return rows.join(cold, "_key", "left")
+    rows = materialise(rows, "key-rows")
+    met = rows.join(F.broadcast(hot), "_key")
+    rest = rows.join(F.broadcast(hot.select("_key")), "_key", "left_anti").join(cold, "_key", "left")
+    return met.unionByName(rest)

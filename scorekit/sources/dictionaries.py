@@ -22,9 +22,12 @@ def _last_line_wins(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def read_headed_dictionary(spark: SparkSession, path: str, key: str = "English", value: str = "Chinese") -> DataFrame:
-    """CSV with a header line; one row per key."""
-    raw = spark.read.schema(f"`{key}` string, `{value}` string").option("header", True).csv(path)
-    return _last_line_wins(_with_line_order(raw), key, value)
+    """CSV with a header line; columns are found by name, others are left out; one row per key."""
+    raw = spark.read.option("header", True).csv(path)
+    absent = [c for c in (key, value) if c not in raw.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {absent}; its columns are {raw.columns}")
+    return _last_line_wins(_with_line_order(raw).select(F.col(f"`{key}`"), F.col(f"`{value}`"), _LINE), key, value)
 
 
 def read_plain_dictionary(spark: SparkSession, path: str, key: str = "Eng_name", value: str = "Cha_name") -> DataFrame:

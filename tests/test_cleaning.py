@@ -68,3 +68,9 @@ def test_caps_from_sketch_are_close(spark, approx):
     df = spark.range(0, 5000).select((F.col("id") % 1000).cast("double").alias("x"))
     low, high = cleaning.fit_caps(df, ["x"], approx=approx).bounds["x"]
     assert abs(low - 9.99) <= 1 and abs(high - 989.01) <= 1
+
+
+def test_nan_and_infinity_do_not_keep_a_column_wide(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1.5, 1.0, inf), (nan, nan, 2.0)], "a double, b double, c double")
+    assert cleaning.fit_narrow_types(df) == {"a": "float", "b": "float", "c": "float"}

@@ -48,3 +48,11 @@ def test_dictionary_files(spark, tmp_path):
     done = encoding.translate_or_keep(encoding.name_list(spark, ["q", "age"]), words)
     assert done.columns == ["position", "Eng_name", "Cha_name"]
     assert column(done, "Cha_name", "position") == ["q", "岁数"]
+
+
+def test_dictionary_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("id,Chinese,English\n1,甲,a\n2,乙,b\n", encoding="utf-8")
+    assert {r["English"]: r["Chinese"] for r in dictionaries.read_headed_dictionary(spark, str(path)).collect()} == {"a": "甲", "b": "乙"}
+    with pytest.raises(ValueError, match="no column"):
+        dictionaries.read_headed_dictionary(spark, str(path), key="Word")

@@ -43,14 +43,44 @@ def test_scans_read_only_what_is_needed(spark):
     assert "PushedFilters: [" in plan
 
 
-def test_frequent_keys_do_not_meet_in_one_task(spark):
-    """A third of the rows share one key: none of them may go to the shuffle join under that key."""
-    df = spark.range(0, 6000, 1, 4).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+@pytest.mark.parametrize("hot", ["hot", "long" * 512])
+def test_frequent_keys_do_not_meet_in_one_task(spark, hot):
+    """Most rows are alike: none of them may go to the shuffle join under their key."""
+    rare = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    df = spark.range(200_000).select(F.lit(hot).alias("k")).unionByName(rare)
     stats = fit_key_stats(df, {"k": as_text(df, "k")}, counted=["k"], literal_values=0, broadcast_budget=0, hot_parts=100)
     joined = attach(df, stats, [Lookup("k", features.join_key(df, "k"), {"n": lambda get: get("n")})])
-    plan = plan_of(joined)
-    assert "_salt" in plan and "xxhash64" in plan
-    assert joined.filter("k = 'hot' and n = 2000").count() == 2000 and joined.filter("n = 1").count() == 4000
+    assert joined.filter("length(k) >= 3 and n = 200000").count() == 200_000 and joined.filter("n = 1").count() == 2000
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(r["count"] for r in sizes) < 100_000
+
+
+def test_three_ways_to_look_up_give_one_result(spark):
+    texts = ["\x00", "\x00\x00a", "a", "nan", None, "b" * 3000, "\x00s" + "a" * 64]
+    df = spark.createDataFrame([(i, texts[i % 7], texts[i % 5]) for i in range(400)], "id long, k string, o string")
+    results = []
+    for options in ({}, {"literal_values": 0}, {"literal_values": 0, "broadcast_budget": 0, "hot_parts": 3}):
+        counted = features.add_group_count(df, ["k"], **options)
+        coded = encoding.label_encode(counted, ["o"], suffix="_code", codes_per_bucket=2, **options)
+        crossed = features.add_cross_counts(coded, [("k", "o")], more_than=0, **options)
+        results.append(sorted(tuple(r) for r in crossed.select("id", *sorted(set(crossed.columns) - {"id", "k", "o"})).collect()))
+    assert results[0] == results[1] == results[2]
+    assert all(r[0] % 7 == 4 or r is not None for r in results[0])
+    plain = {r["id"]: r["count_k"] for r in features.add_group_count(df, ["k"]).collect()}
+    assert plain[0] == sum(i % 7 == 0 for i in range(400)) and plain[4] is None
+    codes = {r["o"]: r["o_code"] for r in encoding.label_encode(df, ["o"], suffix="_code").collect()}
+    assert codes["\x00"] == 0 and codes["\x00\x00a"] == 1 and codes["a"] == 2 and codes["nan"] == codes[None] == 3
+
+
+def test_codes_of_texts_that_differ_behind_a_long_prefix(spark):
+    df = spark.range(3000).select(F.concat(F.lit("p" * 300), F.lpad(F.col("id").cast("string"), 5, "0")).alias("t"), "id")
+    coded = encoding.label_encode(df, ["t"], suffix="_code", codes_per_bucket=200, broadcast_budget=0)
+    assert coded.filter(F.col("t_code") != F.col("id")).count() == 0
 
 
 def test_row_expressions_work_on_a_stream(spark):

@@ -7,7 +7,7 @@ from conftest import column
 from scorekit.functions import losses
 from scorekit.functions.numbers import clip
 from scorekit.functions.scorecard import risk_score, willingness_score
-from scorekit.operators import blending
+from scorekit.operators import blending, reports
 
 
 def one(spark, col, **values):
@@ -91,3 +91,21 @@ def test_weighted_blend(spark, by):
     assert sum(weights.values()) == pytest.approx(1) and weights["a"] >= weights["b"]
     blended = column(blending.weighted_blend(df, weights), "blend")
     assert blended == sorted(blended, reverse=True)
+
+
+def test_scores_of_nan_and_bands_of_infinite_scores(spark):
+    df = spark.createDataFrame([(float("nan"), 0), (0.5, 1), (0.0, 0), (1.0, 1), (None, 1)], "p double, y int")
+    assert [r[0] for r in df.select(willingness_score(F.col("p"))).collect()] == [None, 554, 300, 700, None]
+    scored = df.select(risk_score(F.col("p")).alias("s"), "y")
+    bands = {r["band"]: r for r in reports.score_bands(scored, "s", "y", 20.0).collect()}
+    assert set(bands) == {-1, 0, 1} and bands[-1]["total"] == bands[0]["total"] == bands[1]["total"] == 1
+    assert bands[-1]["high"] == float("-inf") and bands[1]["high"] == float("inf") and bands[1]["cum_total"] == 3
+    with pytest.raises(ValueError, match="bands"):
+        reports.score_bands(spark.createDataFrame([(0.0, 1), (1e18, 0)], "s double, y int"), "s", "y", 1.0)
+
+
+def test_thresholds_and_topn_count_the_same_rows(spark):
+    df = spark.range(100).select("id", (F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") < 40, F.col("id") / 100.0).alias("p"))
+    top = reports.topn_report(df, "y", "p", "id", [10]).first()
+    threshold = reports.threshold_report(df, "y", "p", [0.3]).first()
+    assert top["n_rows"] == threshold["n_rows"] == 40 and top["positive_rate"] == threshold["positive_rate"]

@@ -47,6 +47,13 @@ def test_psi_outside(spark):
     assert column(drift.psi(df, "x", F.col("a"), bins=2, outside="open"), "psi")[0] > 0
 
 
+def test_psi_has_a_row_for_every_feature(spark):
+    df = spark.createDataFrame([(1.0, None, False), (2.0, None, False), (1.5, 3.0, True)], "x double, z double, a boolean")
+    found = {r["feature"]: r["psi"] for r in drift.psi_by_feature(df, ["x", "z"], F.col("a"), bins=2).collect()}
+    assert set(found) == {"x", "z"} and found["z"] is None and found["x"] is not None
+    assert [r["psi"] for r in drift.psi_by_feature(df, ["z"], F.col("a")).collect()] == [None]
+
+
 def test_information_value(spark):
     # Bad shares (.25, .75), good shares (.75, .25) in two bins.
     rows = [(0.0, 1), (0.0, 0), (0.0, 0), (0.0, 0), (1.0, 1), (1.0, 1), (1.0, 1), (1.0, 0)]
@@ -57,9 +64,7 @@ def test_information_value(spark):
     assert set(woe) == {-1, 1, 2} and woe[-1]["total"] == 2 and woe[-1]["woe"] == pytest.approx(0)
 
 
-@pytest.mark.parametrize("wide", [24, 1])
-def test_vif(spark, wide, monkeypatch):
-    monkeypatch.setattr(collinearity, "WIDE", wide)
+def test_vif(spark):
     cross = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (None, 5.0)], "a double, b double")
     assert column(collinearity.vif(cross, ["a", "b"]), "vif") == pytest.approx([1, 1])
     rng = np.random.default_rng(1)
@@ -74,6 +79,13 @@ def test_vif(spark, wide, monkeypatch):
         assert found == pytest.approx(want.tolist(), rel=1e-6)
 
 
+def test_vif_of_large_values_that_vary_little(spark):
+    df = spark.range(5000).select((F.col("id") % 1000 + 10**12).alias("a"), (F.col("id") % 7).alias("b"), F.lit(3).alias("k"))
+    found = {r["feature"]: r for r in collinearity.vif(df, ["a", "b", "k"], centered=True).collect()}
+    assert found["a"]["vif"] == pytest.approx(1, abs=1e-3) and not found["a"]["constant"]
+    assert found["k"]["constant"] and found["k"]["vif"] is None
+
+
 def test_vif_of_dependent_and_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0, 7.0, 1.0), (2.0, 4.0, 7.0, 0.0), (3.0, 6.0, 7.0, 5.0)], "a double, b double, k double, z double")
     found = {r["feature"]: r for r in collinearity.vif(df, ["a", "b", "k", "z"]).collect()}
