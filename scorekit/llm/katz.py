@@ -62,6 +62,8 @@ def _decompress(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+#: What the distinct n-grams of a group are worked out from.
+SEQUENCE = ("held", "lens", "words", "seq")
 PARCELS = "bucket int, gid long, a binary, b binary, c binary, d binary"
 _FIELDS = ["bucket", "gid", "a", "b", "c", "d"]
 
@@ -130,97 +132,80 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 # ---- groups of documents -----------------------------------------------------------------------------------------------
 
 
-def group_schema(order: int) -> str:
-    levels = "".join(f", n{k} long, counts{k} binary, lower{k} binary, ctx{k} binary" for k in range(1, order + 1))
-    return "gid long, doc_ids binary, held binary, lens binary, last binary, words binary" + levels
+GROUP = "gid long, doc_ids binary, held binary, lens binary, words binary, seq binary, n_words long, n_tokens long"
 
 
-def _group(gid: int, docs: list[tuple[int | None, bool, np.ndarray]], order: int) -> dict:
-    """The distinct n-grams of some documents at each level, and where each token stands in the list of the last one.
-
-    ``words`` are the sorted hashes of the first level. An n-gram of a longer level is its context (a place in the level
-    below, or one behind its end: the start of a text) and the n-gram without its first word (``lower``, a place as well).
-    """
-    lens = np.array([len(t) + 1 for _, _, t in docs], np.int64)
+def _group(gid: int, docs: list[tuple[int | None, bool, np.ndarray]]) -> dict:
+    """Some documents as one sequence of places (``seq``) in the list of their distinct words (sorted hashes)."""
     stream = np.concatenate([part for _, _, t in docs for part in (t, [_END])]).astype(_U)
-    begins = np.cumsum(np.r_[0, lens[:-1]])
-    train = np.repeat(np.array([not held for _, held, _ in docs]), lens)
-    words, before = np.unique(stream, return_inverse=True)
-    del stream
-    row: dict = {
+    words, seq = np.unique(stream, return_inverse=True)
+    return {
         "gid": gid,
         "doc_ids": _pack(np.array([-1 if i is None else i for i, _, _ in docs], np.int64)),
         "held": _pack(np.array([held + 2 * (i is None) for i, held, _ in docs], np.int8)),
-        "lens": _pack(lens),
+        "lens": _pack(np.array([len(t) + 1 for _, _, t in docs], np.int64)),
         "words": _pack_sorted(words),
+        "seq": _pack(seq.astype("<u4")),
+        "n_words": len(words),
+        "n_tokens": len(stream),
     }
-    size, ctx = len(words), np.empty(0, np.int64)
-    lower = ctx
-    for k in range(1, order + 1):
-        if k > 1:
-            code = np.r_[size, before[:-1]]
-            code[begins] = size
+
+
+class _Lists:
+    """The distinct n-grams of a group at level k, worked out from its sequence whenever they are needed.
+
+    ``keys``: their hashes (of single words: sorted). ``ctx``: the place of each one's context among ``contexts``, which are
+    the n-grams of the level below and the start of a text. ``lower``: the place, in the level below, of the n-gram without
+    its first word. ``last``: the place of the n-gram that ends at each token. ``counts``: in training documents.
+    """
+
+    def __init__(self, row: dict, k: int):
+        self.lens, held = _unpack(row["lens"], np.int64), _unpack(row["held"], np.int8)
+        self.held, self.no_id, self.starts = held % 2 == 1, held >= 2, np.cumsum(np.r_[0, self.lens[:-1]])
+        self.keys = word = _unpack_sorted(row["words"])
+        self.seq = _unpack(row["seq"], "<u4")
+        self.last, self.contexts = self.seq.astype(np.int64), np.empty(0, _U)
+        self.ctx = self.lower = np.empty(0, np.int64)
+        for j in range(2, k + 1):
+            size = len(self.keys)
+            code = np.r_[size, self.last[:-1]]
+            code[self.starts] = size
             code *= size
-            code += before
-            pairs, before = np.unique(code, return_inverse=True)
-            ctx, lower, size = pairs // size, pairs % size, len(pairs)
-        row |= {
-            f"n{k}": size,
-            f"counts{k}": _pack(np.bincount(before, weights=train, minlength=size).astype("<u4")),
-            f"lower{k}": _pack(lower.astype("<u4")),
-            f"ctx{k}": _pack(ctx.astype("<u4")),
-        }
-    return row | {"last": _pack(before.astype("<u4"))}
-
-
-def _keys(k: int, words: bytes, levels: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a group's n-grams of level k (single words: their own, sorted), and of its contexts: the level below and
-    the start of a text. ``levels``: lower and ctx of the levels from 2 on."""
-    word = keys = _unpack_sorted(words)
-    contexts = np.empty(0, _U)
-    for j in range(2, k + 1):
-        lower, ctx = (_unpack(part, "<u4") for part in levels[j])
-        word = word[lower]
-        contexts = np.r_[keys, _START ^ _U(j)]
-        keys = _follow(contexts[ctx], word)
-    return keys, contexts
+            code += self.last
+            pairs, self.last = np.unique(code, return_inverse=True)
+            self.ctx, self.lower = pairs // size, pairs % size
+            word = word[self.lower]
+            self.contexts = np.r_[self.keys, _START ^ _U(j)]
+            self.keys = _follow(self.contexts[self.ctx], word)
+        train = np.repeat(~self.held, self.lens)
+        self.counts = np.bincount(self.last, weights=train, minlength=len(self.keys)).astype("<u4")
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def groups_of(docs: DataFrame, order: int, group_tokens: int) -> DataFrame:
+def groups_of(docs: DataFrame, group_tokens: int) -> DataFrame:
     """One row per group of documents; see ``_group``."""
     bounded_batches(docs.sparkSession)
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in GROUP.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-        schema = None
-
-        def emit() -> pa.RecordBatch:
-            row = _group(part << 32 | number, held, order)
-            return pa.RecordBatch.from_pylist([row], schema=schema or _arrow_group_schema(order))
-
+        part, number, waiting, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             for doc_id, text in zip(ids, bytes_of(batch, "text"), strict=True):
                 found = words(text)
-                tokens = np.fromiter(map(_hashes().__getitem__, found), _U, len(found))
-                held.append((doc_id, held_out(doc_id), tokens))
-                size += len(tokens) + order
+                waiting.append((doc_id, held_out(doc_id), np.fromiter(map(_hashes().__getitem__, found), _U, len(found))))
+                size += len(found) + 1
                 if size >= group_tokens:
-                    yield emit()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield emit()
+                    yield pa.RecordBatch.from_pylist([_group(part << 32 | number, waiting)], schema=schema)
+                    number, waiting, size = number + 1, [], 0
+        if waiting:
+            yield pa.RecordBatch.from_pylist([_group(part << 32 | number, waiting)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, group_schema(order))
-
-
-def _arrow_group_schema(order: int) -> pa.Schema:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in group_schema(order).split(", "))])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, GROUP)
 
 
 # ---- buckets -----------------------------------------------------------------------------------------------------------
@@ -232,13 +217,12 @@ def _requests(groups: DataFrame, k: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, _ = _keys(k, r["words"], {j: (r[f"lower{j}"], r[f"ctx{j}"]) for j in range(2, k + 1)})
-                order = np.argsort(keys)
-                keys, counts = keys[order], _unpack(r[f"counts{k}"], "<u4")[order]
+                own = _Lists(r, k)
+                order = np.argsort(own.keys)
+                keys, counts = own.keys[order], own.counts[order]
                 yield _parcels([(b, r["gid"], _pack_sorted(keys[s]), _pack(counts[s]), b"", b"") for b, s in _slices(keys, buckets)])
 
-    levels = [f"{c}{j}" for j in range(2, k + 1) for c in ("lower", "ctx")]
-    return groups.select("gid", "words", *levels, f"counts{k}").mapInArrow(run, PARCELS)
+    return groups.select("gid", *SEQUENCE).mapInArrow(run, PARCELS)
 
 
 def _add_up(requests: DataFrame) -> DataFrame:
@@ -309,19 +293,18 @@ class _Joined:
         for of_kind in self.rows.values():
             of_kind.sort(key=lambda r: r["bucket"])
         (self.own,), self.d = own.to_pylist(), d
-        self.gid, levels = self.own["gid"], {j: (self.own[f"lower{j}"], self.own[f"ctx{j}"]) for j in range(2, k + 1)}
-        keys, contexts = _keys(k, self.own["words"], levels)
-        order, by_context = np.argsort(keys), np.argsort(contexts)
-        self.contexts = contexts[by_context]
+        self.gid, self.lists = self.own["gid"], _Lists(self.own, k)
+        order, by_context = np.argsort(self.lists.keys), np.argsort(self.lists.contexts)
+        self.contexts = self.lists.contexts[by_context]
         answers = np.empty(len(order), np.int64)
         answers[order] = self.column(0, "a", np.int64)
         self.counts, self.answers_for = answers >> 1, (answers & 1).astype(bool)
         if k > 1:
-            self.shorter = self.column(1, "a", np.float64)[_unpack(levels[k][0], "<u4")]
+            self.shorter = self.column(1, "a", np.float64)[self.lists.lower]
             # Places of contexts in the order of their hashes, in which they are asked for and answered.
-            place = np.empty(len(contexts), np.int64)
-            place[by_context] = np.arange(len(contexts))
-            self.ctx = place[_unpack(levels[k][1], "<u4")]
+            place = np.empty(len(self.contexts), np.int64)
+            place[by_context] = np.arange(len(self.contexts))
+            self.ctx = place[self.lists.ctx]
 
     def column(self, kind: int, name: str, dtype) -> np.ndarray:
         return _unpack_all(self.rows[kind], name, dtype)
@@ -333,7 +316,7 @@ class _Joined:
         return np.where(self.counts > 0, own, weight + self.shorter)
 
 
-def _joined(groups: DataFrame, k: int, columns: list[str], *kinds: DataFrame):
+def _joined(groups: DataFrame, columns: list[str], *kinds: DataFrame):
     """Each group's row with the rows of several kinds for it. Groups are stored in buckets of gid, so they do not move."""
     rows = None
     for kind, frame in enumerate(kinds):
@@ -342,8 +325,7 @@ def _joined(groups: DataFrame, k: int, columns: list[str], *kinds: DataFrame):
             missing["bucket"] = F.lit(0)
         frame = frame.withColumns(missing).select(F.lit(kind).alias("kind"), *_FIELDS)
         rows = frame if rows is None else rows.unionByName(frame)
-    own = groups.select("gid", "words", *[f"{c}{j}" for j in range(2, k + 1) for c in ("lower", "ctx")], *columns)
-    return own.groupBy("gid").cogroup(rows.groupBy("gid"))
+    return groups.select("gid", *SEQUENCE, *columns).groupBy("gid").cogroup(rows.groupBy("gid"))
 
 
 def _answers(added: DataFrame, before: DataFrame, contexts: DataFrame | None = None) -> list[DataFrame]:
@@ -391,7 +373,7 @@ def _contexts(groups: DataFrame, added: DataFrame, before: DataFrame, k: int, d:
             out.append((r["bucket"], r["gid"], _pack(total[own]), _pack(weight[own]), b"", b""))
         return pa.Table.from_batches([_parcels(out)])
 
-    parts = _joined(groups, k, [], *_answers(added, before)).applyInArrow(sums, PARCELS)
+    parts = _joined(groups, [], *_answers(added, before)).applyInArrow(sums, PARCELS)
     return parts.groupBy("bucket").applyInArrow(run, PARCELS)
 
 
@@ -417,7 +399,7 @@ def _next_scores(groups: DataFrame, k: int, answers: list[DataFrame], d: np.ndar
         g = _Joined(own, table, k, d)
         return pa.table({"gid": pa.array([g.gid], pa.int64()), "scores": pa.array([_pack(g.scores())], pa.binary())})
 
-    return _joined(groups, k, [], *answers).applyInArrow(run, "gid long, scores binary")
+    return _joined(groups, [], *answers).applyInArrow(run, "gid long, scores binary")
 
 
 def _documents(
@@ -427,18 +409,15 @@ def _documents(
 
     def run(own: pa.Table, table: pa.Table) -> pa.Table:
         g = _Joined(own, table, order, d)
-        where, lens = _unpack(g.own["last"], "<u4"), _unpack(g.own["lens"], np.int64)
-        starts = np.cumsum(np.r_[0, lens[:-1]])
-        score = (g.scores() if order > 1 else g.column(1, "a", np.float64))[where]
-        for k in range(order, 1, -1):
-            where = _unpack(g.own[f"lower{k}"], "<u4")[where]
-        counts = (g.column(3, "a", np.int64) >> 1)[where]
+        lens, starts = g.lists.lens, g.lists.starts
+        score = (g.scores() if order > 1 else g.column(1, "a", np.float64))[g.lists.last]
+        counts = (g.column(3, "a", np.int64) >> 1)[g.lists.seq]
         base = np.log10((counts + 1) / (tokens + types + 1))
-        n, held = len(lens), _unpack(g.own["held"], np.int8)
+        n = len(lens)
         return pa.table(
             {
-                "doc_id": pa.array(_unpack(g.own["doc_ids"], np.int64), mask=held >= 2),
-                "held_out": pa.array(held % 2 == 1),
+                "doc_id": pa.array(_unpack(g.own["doc_ids"], np.int64), mask=g.lists.no_id),
+                "held_out": pa.array(g.lists.held),
                 "n_tokens": pa.array(lens),
                 "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(n, tokens, np.int64)),
@@ -448,7 +427,7 @@ def _documents(
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    joined = _joined(groups, order, ["doc_ids", "held", "lens", "last"], *answers, first.filter("not model"))
+    joined = _joined(groups, ["doc_ids"], *answers, first.filter("not model"))
     return joined.applyInArrow(run, schema)
 
 
@@ -481,15 +460,13 @@ def fit_and_score(
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "katz")
-    groups = _bucketed(groups_of(docs, order, group_tokens))
-    sizes = groups.agg(
-        *[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(1, order + 1)]
-    ).first()
+    groups = _bucketed(groups_of(docs, group_tokens))
+    sizes = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens")]).first()
+    buckets = [max(1, -(-sizes["n_words" if k == 1 else "n_tokens"] // bucket_entries)) for k in range(1, order + 1)]
     tokens = types = 0
     answers: list[DataFrame] = []
     for k in range(1, order + 1):
-        buckets = max(1, -(-sizes[f"n{k}"] // bucket_entries))
-        added = _stored(_add_up(_requests(groups, k, buckets)), f"{folder}/counts-{k}")
+        added = _stored(_add_up(_requests(groups, k, buckets[k - 1])), f"{folder}/counts-{k}")
         release(spark)
         seen = _statistics(added)
         d = discounts(seen)
@@ -500,8 +477,7 @@ def fit_and_score(
             before = write_compact(_first_scores(added, d, whole, (whole - kept) / whole), "katz-scores")
             answers = _answers(added, before)
         else:
-            buckets = max(1, -(-sizes[f"n{k - 1}"] // bucket_entries))
-            contexts = _stored(_contexts(groups, added, before, k, d, buckets), f"{folder}/weights-{k}")
+            contexts = _stored(_contexts(groups, added, before, k, d, buckets[k - 2]), f"{folder}/weights-{k}")
             answers = _answers(added, before, contexts)
             if k < order:
                 before = write_compact(_next_scores(groups, k, answers, d), "katz-scores")
