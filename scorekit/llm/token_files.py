@@ -16,6 +16,7 @@ order among equal ids is that of the sort. Empty table: no files, an empty index
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import uuid
@@ -37,7 +38,7 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 
 #: Entries that a task remembers of chunks and of words; then those not asked for any more go. Memory only, never a result.
-CHUNKS, WORDS = 200_000, 500_000
+CHUNKS, WORDS = 400_000, 800_000
 
 #: The word pattern of the lower-casing word vocabulary (fixed value). White space ends every match, and a run of
 #: punctuation is a match of its own.
@@ -110,15 +111,17 @@ class ChunkEncoder:
     @staticmethod
     def _plain(word: bytes) -> bool:
         """Whether all are letters that stay single letters when lower-cased."""
+        if word.isalpha():  # ASCII
+            return True
         letters = word.decode("utf-8")
         return letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters
 
     def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
         """A word of plain letters and the punctuation behind it; or the chunk as it is."""
         stem = chunk.rstrip(PUNCTUATION)
-        if stem and len(stem) < len(chunk) and b"<|" not in chunk and self._plain(stem):
-            return stem, chunk[len(stem) :]
-        return chunk, b""
+        if len(stem) == len(chunk) or not stem or b"<|" in chunk or not self._plain(stem):
+            return chunk, b""
+        return stem, chunk[len(stem) :]
 
     def _learn(self, words: list[bytes]) -> None:
         """Plain words are encoded together, each ends at its only token with a word end; others one by one."""
@@ -136,7 +139,7 @@ class ChunkEncoder:
         if not self.by_words:
             return self._library([text.decode("utf-8") for text in texts])
         split = [self._chunks(text) for text in texts]
-        parts = {chunk: self._parts(chunk) for chunk in self.chunks.lacking({chunk for chunks in split for chunk in chunks})}
+        parts = {chunk: self._parts(chunk) for chunk in self.chunks.lacking(set().union(*split))}
         self._learn(self.words.lacking({word for both in parts.values() for word in both}))
         word = self.words.young
         self.chunks.young.update((chunk, word[stem] + word[tail]) for chunk, (stem, tail) in parts.items())
@@ -205,7 +208,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             if not batch.num_rows:
                 continue
             writer = writer or _Writer(f"{folder}/shards", shard, encoder.dtype, sequence)
-            ids = [i + end for i in encoder(bytes_of(batch, "text"))]
+            gc.disable()  # nothing here is cyclic, and the collector would walk through all that is remembered
+            try:
+                ids = [i + end for i in encoder(bytes_of(batch, "text"))]
+            finally:
+                gc.enable()
             n = len(ids)
             columns = [
                 batch.column(0),
