@@ -38,7 +38,7 @@ SAFE_BLANK = regex.compile(r"(?<=[^" + _S + r"]) (?=[^" + _S + "])")
 
 #: Entries that a task keeps of what it has seen, then it starts anew: words, pieces between blanks, token pairs. Memory
 #: only (about 200 bytes an entry), never a result.
-WORDS, PIECES, PAIRS = 400_000, 150_000, 300_000
+WORDS, PIECES, PAIRS = 250_000, 100_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:

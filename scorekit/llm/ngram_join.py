@@ -58,7 +58,7 @@ TILE = 512
 BITMAP = 1 << 25
 
 #: Words whose hashes a task remembers; then it starts anew. Memory only, never a result.
-CACHE = 1_000_000
+CACHE = 250_000
 
 PLACE = [FILE, ROW]
 

@@ -62,7 +62,7 @@ def test_texts(spark, text, want):
 
 def test_a_rule_uses_its_identifiers_up(spark):
     (r,) = rows_of(licences.scan(docs_of(spark, [(1, MIT + "\nMIT License\n\nSee the GNU General Public License for more details.", "en", "s")])))
-    assert r["licences"] == ["MIT"] and r["unmatched"] == ["gpl.details"]
+    assert r["licences"] == ["MIT"] and "gpl.details" in r["unmatched"] and "mit.title" not in r["unmatched"]
 
 
 def test_odd_rows(spark):
