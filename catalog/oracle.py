@@ -331,13 +331,13 @@ with g as (
     sum(l_discount * l_discount) as f
   from lineitem),
 h as (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from g)
-select 'l_quantity' as feature, {_r('a * (d * f - e * e) / det', 'vif')} from h
-union all select 'l_extendedprice', {_r('d * (a * f - c * c) / det', 'vif')} from h
-union all select 'l_discount', {_r('f * (a * d - b * b) / det', 'vif')} from h
+select 'l_quantity' as feature, {_r('a * (d * f - e * e) / det', 'vif')}, false as constant from h
+union all select 'l_extendedprice', {_r('d * (a * f - c * c) / det', 'vif')}, false from h
+union all select 'l_discount', {_r('f * (a * d - b * b) / det', 'vif')}, false from h
 """
 
 SQL["vif_centered"] = f"""
-select unnest(['l_quantity', 'l_extendedprice']) as feature, {_r('1 / (1 - r * r)', 'vif')}
+select unnest(['l_quantity', 'l_extendedprice']) as feature, {_r('1 / (1 - r * r)', 'vif')}, false as constant
 from (select corr(l_quantity, l_extendedprice) as r from lineitem)
 """
 
@@ -419,6 +419,13 @@ select {_r('threshold', 'threshold')}, n, {_r('n / n_rows', 'share')}, tp, fp, n
 from q, t
 """
 
+SQL["threshold_report_titled"] = f"""
+select threshold as "概率阈值", n as "样本数量", printf('%.2f%%', share * 100) as "样本占比", tp as "预测正确", fp as "预测错误",
+  n_rows as "样本总量", positives as "总1数量", printf('%.2f%%', positive_rate * 100) as "总1比例",
+  printf('%.2f%%', recall * 100) as "召回率", printf('%.2f%%', precision * 100) as "精准率", f1 as "F1", lift as "LIFT"
+from ({SQL["threshold_report"]})
+"""
+
 SQL["score_bands"] = f"""
 with s as (select y_true, y_prob * 1000 as x from {V['scored']}),
 b as (select cast(ceil((x - (select min(x) from s)) / 50.0::double) as bigint) as band, y_true from s),
@@ -429,7 +436,8 @@ c as (
   select *, cast(sum(total) over w as bigint) as cum_total, cast(sum(bad) over w as bigint) as cum_bad,
     cast(sum(total) over () as double) as n, cast(sum(bad) over () as double) as p
   from g window w as (order by band))
-select band, total, bad, total - bad as good, cum_total, cum_bad, cum_total - cum_bad as cum_good,
+select band, {_r('case when band > 0 then (select min(x) from s) + (band - 1) * 50 end', 'low')},
+  {_r('(select min(x) from s) + band * 50', 'high')}, total, bad, total - bad as good, cum_total, cum_bad, cum_total - cum_bad as cum_good,
   {_r('cum_total / n', 'cum_total_rate')}, {_r('cum_bad / cum_total', 'cum_bad_rate')},
   {_r('(cum_total - cum_bad) / cum_total', 'cum_good_rate')}, {_r('cum_bad / p', 'recall')},
   {_r('cum_bad / cum_total', 'precision')},

@@ -23,7 +23,7 @@ LINE = ["l_orderkey", "l_linenumber"]
 SCORES = ["p1", "p2", "p3", "p4", "p5", "p6", "p7"]
 CROSSES = features.cross_pairs(CROSS_FIRST, CROSS_SECOND)
 MODEL_FEATURES = ["A1", "A2", "B1", "C1", "C2", "C3", "D1", "D2", "E1", "E14", "hour"]
-FOLDS = 3
+FOLDS = 10
 
 
 def register(query: Query) -> Query:
@@ -283,13 +283,13 @@ def iv_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    return rounded(collinearity.vif(df, ["l_quantity", "l_extendedprice", "l_discount"]).select("feature", "vif"))
+    return rounded(collinearity.vif(df, ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
 @register
 def vif_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    return rounded(collinearity.vif(df, ["l_quantity", "l_extendedprice"], centered=True).select("feature", "vif"))
+    return rounded(collinearity.vif(df, ["l_quantity", "l_extendedprice"], centered=True))
 
 
 # --- ranking and reports ----------------------------------------------------------------------------------------------
@@ -330,10 +330,17 @@ def threshold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.threshold_report(view(spark, sf_dir, "scored"), "y_true", "y_prob"))
 
 
+@register
+def threshold_report_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as business readers get it: their headings, shares as percent texts."""
+    report = reports.with_percent_text(rounded(reports.threshold_report(view(spark, sf_dir, "scored"), "y_true", "y_prob")))
+    return reports.with_titles(report, reports.THRESHOLD_TITLES)
+
+
 @register
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = view(spark, sf_dir, "scored").select("y_true", (F.col("y_prob") * 1000).alias("score"))
-    return rounded(reports.score_bands(scored, "score", "y_true", 50.0).drop("low", "high"))
+    return rounded(reports.score_bands(scored, "score", "y_true", 50.0))
 
 
 @register

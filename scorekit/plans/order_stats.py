@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SKETCH_ACCURACY = 10_000
 SMALL_ENOUGH = 100_000
-MAX_ROUNDS = 8
 
 # Values by (column, rank).
 _Found = dict[tuple[str, int], object]
@@ -27,7 +26,8 @@ _Found = dict[tuple[str, int], object]
 class _Interval:
     """Ranks of one column whose values lie strictly between ``low`` and ``high`` (None: no limit).
 
-    ``below`` values come before the interval, ``size`` are inside. A ``settled`` interval is not narrowed further.
+    ``below`` values come before the interval, ``size`` are inside. A ``stubborn`` interval is one that sketches around its
+    ranks did not narrow; it is halved by value instead, which always ends.
     """
 
     name: str
@@ -36,12 +36,13 @@ class _Interval:
     size: int
     low: object = None
     high: object = None
-    settled: bool = False
+    stubborn: bool = False
 
     def inside(self, col: Column) -> Column:
-        if self.low is None:
-            return col
-        return F.when((col > F.lit(self.low)) & (col < F.lit(self.high)), col)
+        inside = col
+        if self.low is not None:
+            inside = F.when(col > F.lit(self.low), inside)
+        return inside if self.high is None else F.when(col < F.lit(self.high), inside)
 
 
 def _usable(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, T.DataType]]:
@@ -88,13 +89,13 @@ def _settle(
 ) -> dict[str, dict[int, object]]:
     result: dict[str, dict[int, object]] = defaultdict(dict)
     _note(result, known)
-    for _ in range(MAX_ROUNDS):
-        wide = [i for i in intervals if not _done(i, small_enough)]
-        if not wide:
-            break
-        narrowed, known = _prove(view, _propose(view, wide))
-        _note(result, known)
-        intervals = [i for i in intervals if _done(i, small_enough)] + narrowed
+    while wide := [i for i in intervals if i.size > small_enough]:
+        intervals = [i for i in intervals if i.size <= small_enough]
+        for step, chosen in ((_sketch, [i for i in wide if not i.stubborn]), (_halve, [i for i in wide if i.stubborn])):
+            if chosen:
+                narrowed, known = step(view, chosen)
+                _note(result, known)
+                intervals += narrowed
     _note(result, _pick(view, intervals))
     return result
 
@@ -104,8 +105,29 @@ def _note(result: dict[str, dict[int, object]], found: _Found | None) -> None:
         result[name][rank] = value
 
 
-def _done(interval: _Interval, small_enough: int) -> bool:
-    return interval.settled or interval.size <= small_enough
+def _sketch(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _Found]:
+    return _prove(view, _propose(view, wide))
+
+
+def _halve(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _Found]:
+    """Cut every interval at about its median. The cut itself lies in neither half, so each round leaves less."""
+    inside = [i.inside(F.col(f"`{i.name}`")) for i in wide]
+    cuts = view.agg(*[F.percentile_approx(x, 0.5, SKETCH_ACCURACY).alias(f"c{n}") for n, x in enumerate(inside)]).first()
+    tests = []
+    for n, x in enumerate(inside):
+        tests += [F.count_if(x < F.lit(cuts[n])).alias(f"less{n}"), F.count_if(x == F.lit(cuts[n])).alias(f"same{n}")]
+    counts = view.agg(*tests).first()
+    narrowed, found = [], {}
+    for n, i in enumerate(wide):
+        less, same = counts[f"less{n}"], counts[f"same{n}"]
+        first, after = i.below + less, i.below + less + same
+        lower, upper = (tuple(r for r in i.ranks if test(r)) for test in (lambda r: r < first, lambda r: r >= after))
+        found.update({(i.name, r): cuts[n] for r in i.ranks if first <= r < after})
+        if lower:
+            narrowed.append(replace(i, ranks=lower, high=cuts[n], size=less))
+        if upper:
+            narrowed.append(replace(i, ranks=upper, low=cuts[n], below=after, size=i.size - less - same))
+    return narrowed, found
 
 
 def _around(share: float) -> list[float]:
@@ -159,9 +181,9 @@ def _prove(view: DataFrame, proposals: list[tuple[_Interval, _Interval]]) -> tup
             found[c.name, rank] = c.high
             continue
         if inner <= rank < after:
-            kept = replace(c, below=inner, size=after - inner, settled=after - inner > parent.size // 2)
+            kept = replace(c, below=inner, size=after - inner, stubborn=after - inner > parent.size // 2)
         else:
-            kept = replace(parent, ranks=c.ranks, settled=True)
+            kept = replace(parent, ranks=c.ranks, stubborn=True)
         key = (kept.name, kept.low, kept.high)
         if key in merged:
             kept = replace(kept, ranks=tuple(sorted({*merged[key].ranks, *kept.ranks})))
@@ -224,7 +246,7 @@ def exact_quantiles(
             continue
         places[name] = [_place(p, count) for p in probs]
         whole = _Interval(name, tuple(sorted({r for lo, hi, _ in places[name] for r in (lo, hi)})), 0, count)
-        if _done(whole, small_enough):
+        if whole.size <= small_enough:
             settled.append(whole)
             continue
         for k, (lo, hi, _) in enumerate(places[name]):

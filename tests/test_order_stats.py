@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from scorekit.plans import order_stats
 from scorekit.plans.order_stats import count_values, exact_quantiles, values_at_ranks
 from scorekit.plans.running_totals import running_totals
 
@@ -47,3 +48,11 @@ def test_running_totals_equal_the_direct_form(spark, values, buckets):
     for r in rows:
         assert r["before_n"] == sum(1 for v in values if v < r["x"])
         assert r["total_n"] == len(values)
+
+
+def test_ranks_that_sketches_miss_are_found_by_halving(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "_around", lambda share: [0.0, 0.0])
+    df = spark.range(3000).select((F.pmod(F.col("id") * 7919, F.lit(3000)) / 2).alias("x"), F.lit(4.0).alias("same"))
+    columns = {"x": F.col("x"), "same": F.col("same")}
+    found = values_at_ranks(df, columns, {"x": [0, 1234, 2999], "same": [0, 2999]}, count_values(df, columns), 10)
+    assert found["x"] == {0: 0.0, 1234: 617.0, 2999: 1499.5} and found["same"] == {0: 4.0, 2999: 4.0}
