@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,9 @@ CALIBRATION = 200
 RECALL = 0.97
 #: Vectors, and visiting queries, of a leaf that are compared in one task.
 VECTORS_PER_PART, QUERIES_PER_PART = 4000, 1000
+#: Leaves visited in the first round, and how much farther each round goes. What a round has found bounds the next one, so
+#: leaves give back only what can still matter.
+FIRST_VISITS, WIDER = 8, 16
 
 
 @dataclass
@@ -231,6 +235,41 @@ def build(
     return index
 
 
+def _visit(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """The nearest ids in each visited leaf (query, vec, leaf, bound) that are no farther than the bound."""
+    spark = asked.sparkSession
+    visitors = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    parts = [
+        (leaf, -(-n // VECTORS_PER_PART), -(-visitors[leaf] // QUERIES_PER_PART)) for leaf, n in index.sizes.items() if leaf in visitors
+    ]
+    cut = F.broadcast(spark.createDataFrame(parts, "leaf int, parts int, blocks int"))  # one row per leaf of the tree
+    number = lambda hashed, of: F.pmod(F.xxhash64(hashed), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    none = F.lit(None)
+    queries = asked.join(cut, "leaf").select(
+        "leaf", every("parts").alias("part"), number("query", "blocks").alias("block"), "query", "vec", none.cast("array<long>").alias("ids"), "bound"
+    )
+    held = index.entries.join(cut, "leaf").select(
+        "leaf", number("hash", "parts").alias("part"), every("blocks").alias("block"), none.cast("long").alias("query"), "vec", "ids",
+        none.cast("double").alias("bound"),
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_query = table.column("query").combine_chunks().is_valid()
+        own, entries = table.filter(is_query), table.filter(pc.invert(is_query))
+        rows: list[tuple[int, int, float, int]] = []
+        if entries.num_rows and own.num_rows:
+            vectors, ids = _matrix(entries.column("vec").combine_chunks()), entries.column("ids").to_pylist()
+            asking = zip(own.column("query").to_pylist(), _matrix(own.column("vec").combine_chunks()), own.column("bound").to_pylist(), strict=True)
+            for query, vec, bound in asking:
+                away = _distances(vectors, vec)
+                if away.min() <= bound:
+                    rows += [(query, vec_id, d, 0) for d, vec_id in _best(away, ids, k) if d <= bound]
+        return pa.Table.from_batches([_found(rows)])
+
+    return queries.unionByName(held).groupBy("leaf", "part", "block").applyInArrow(compare, FOUND)
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """The nearest ids of ``queries`` (vec_id, vec): query_id, rank, vec_id, score, and the number of leaves visited."""
     spark = queries.sparkSession
@@ -250,36 +289,19 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
     walked = different.select("query", "vec").mapInArrow(walk, "query long, vec array<double>, leaves array<int>")
     walked = materialise(walked, "ann-walks")
-    visitors = {r["leaf"]: r["n"] for r in walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    parts = [
-        (leaf, -(-n // VECTORS_PER_PART), -(-visitors[leaf] // QUERIES_PER_PART)) for leaf, n in index.sizes.items() if leaf in visitors
-    ]
-    cut = F.broadcast(spark.createDataFrame(parts, "leaf int, parts int, blocks int"))  # one row per leaf of the tree
-    number = lambda hashed, of: F.pmod(F.xxhash64(hashed), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    none = F.lit(None)
-    asked = (
-        walked.select("query", "vec", F.explode("leaves").alias("leaf"))
-        .join(cut, "leaf")
-        .select("leaf", every("parts").alias("part"), number("query", "blocks").alias("block"), "query", "vec", none.cast("array<long>").alias("ids"))
-    )
-    held = (
-        index.entries.join(cut, "leaf")
-        .select("leaf", number("hash", "parts").alias("part"), every("blocks").alias("block"), none.cast("long").alias("query"), "vec", "ids")
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        is_query = table.column("query").combine_chunks().is_valid()
-        own, entries = table.filter(is_query), table.filter(pa.compute.invert(is_query))
-        rows: list[tuple[int, int, float, int]] = []
-        if entries.num_rows and own.num_rows:
-            vectors, ids = _matrix(entries.column("vec").combine_chunks()), entries.column("ids").to_pylist()
-            for query, vec in zip(own.column("query").to_pylist(), _matrix(own.column("vec").combine_chunks()), strict=True):
-                rows += [(query, vec_id, d, 0) for d, vec_id in _best(_distances(vectors, vec), ids, k)]
-        return pa.Table.from_batches([_found(rows)])
-
-    found = asked.unionByName(held).groupBy("leaf", "part", "block").applyInArrow(compare, FOUND)
-    answers = _top(found.drop("leaf"), k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    longest = walked.agg(F.max(F.size("leaves"))).first()[0] or 0
+    best, start, end = None, 0, FIRST_VISITS
+    while best is None or start < longest:
+        asked = walked.select("query", "vec", F.explode(F.slice("leaves", start + 1, end - start)).alias("leaf"))
+        if best is None:
+            asked = asked.withColumn("bound", F.lit(float("inf")))
+        else:
+            last = F.when(F.count("*") > k, F.max("score")).otherwise(float("inf"))
+            asked = asked.join(best.groupBy("query").agg(last.alias("bound")), "query", "left").fillna(float("inf"), ["bound"])
+        found = _visit(index, materialise(asked, "ann-visits"), k).drop("leaf")
+        best = materialise(_top(found if best is None else best.unionByName(found), k), "ann-best")
+        start, end = end, end * WIDER
+    answers = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     answers = materialise(different.join(answers, "query").select("hash", "vec", "n", "near"), "ann-answers")
     joined = join_counted(queries, answers, ["hash", "vec"], F.col("n"), queries.count())
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)
