@@ -21,6 +21,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
+def give_back(*remembered: dict) -> None:
+    """At the end of a task: forget what is cheap to learn again and return unused memory. Workers serve many stages."""
+    for cache in remembered:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """Texts of a batch; NULL is empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

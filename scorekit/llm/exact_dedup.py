@@ -25,6 +25,8 @@ from scorekit.workspace import fresh_path, materialise, write_table
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
 }
 
 #: Copies that are compared with one replica of the row that stays; larger groups get more replicas.

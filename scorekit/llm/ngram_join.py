@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorekit.llm.arrow import bounded_batches, bytes_of
+from scorekit.llm.arrow import bounded_batches, bytes_of, give_back
 from scorekit.llm.components import components
 from scorekit.llm.text import FILE, ROW, with_locator, words
 from scorekit.skew import broadcast_if_small, join_counted
@@ -190,6 +190,7 @@ def _prints(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 [batch.column(i) for i in keep] + columns,
                 names=[batch.schema.names[i] for i in keep] + ["n_shingles", "c1", "c2", "sigs", "fills"],
             )
+        give_back(_hashes())
 
     schema = f"doc_id long, `{FILE}` string, `{ROW}` long, n_shingles long, c1 long, c2 long, sigs array<long>, fills array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, "text").mapInArrow(run, schema)
