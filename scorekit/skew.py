@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 HOT_PARTS = 10_000
 
 #: A side of a join is broadcast up to so many rows (narrow rows of ids and numbers: some tens of MB).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def broadcast_if_small(side: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
