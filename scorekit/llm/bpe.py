@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scorekit.llm.arrow import bounded_batches, texts_of, with_columns
+from scorekit.llm.arrow import bounded_batches, give_back, texts_of, with_columns
 
 #: White space as the public tokenizers understand it: the Unicode property.
 _S = r"\t-\r \x85\xA0  -     　"
@@ -95,6 +95,7 @@ class PrefixBpe:
         self._fits = _Cache(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS)
         self._words = _Cache(self._encode_word, WORDS)
         self._after_blank = _Cache(self._encode_after_blank, PIECES)
+        self.remembered = (self._fits, self._words, self._after_blank)
 
     def _reachable(self, token: int) -> bool:
         """A token is its own encoding if its two parts would not have merged otherwise before."""
@@ -198,6 +199,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool =
             if decoded:
                 new["decoded"] = pa.array(map(bpe.decode, ids), pa.string())
             yield with_columns(batch, **new)
+        give_back(*bpe.remembered)
 
     added = T.StructType().add("ids", T.BinaryType()).add("n_tokens", T.LongType())
     if decoded:
