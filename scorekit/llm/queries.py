@@ -78,7 +78,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.fit_and_score(_table(spark, sf_dir, "documents"))
+    return katz.fit_and_score(_table(spark, sf_dir, "documents"), order=3)
 
 
 @_query

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from scorekit.llm import katz
+from scorekit.llm import katz, queries
 from tests.llm.helpers import docs_of, odd_rows, rows_of
 
 
@@ -101,3 +101,16 @@ def test_the_corpus_has_a_better_score_than_single_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = [r for r in rows_of(katz.fit_and_score(docs)) if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_the_registered_query_is_three_words_deep(spark, tmp_path):
+    docs = _texts(60)
+    docs_of(spark, [(i, t, "en", "s") for i, t in docs]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(queries.REGISTRY["op1_katz"](spark, str(tmp_path)))
+    plain = Plain(docs, 3)
+    want = dict(plain.tokens)
+    assert len(got) == len(docs)
+    for r in got:
+        padded = [b" start"] * 2 + want[r["doc_id"]]
+        score = sum(math.log10(plain.p(tuple(padded[at - 2 : at + 1]))) for at in range(2, len(padded)))
+        assert r["score"] == pytest.approx(score, rel=1e-9)
