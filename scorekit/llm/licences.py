@@ -109,6 +109,8 @@ ANCHORS = ("licen", "copy", "permission", "warrant", "redistrib", "version", "pu
 
 _BREAK = "\x01"
 _SPACES = r"[\x09-\x0D\x20]"
+#: Where a sentence ends. Not between "v." and its number, even where a line of a comment ends between them.
+_END = r"([!?;:]|\.(?!(?<=\b[vV]\.)" + _SPACES + r"+[^A-Za-z0-9.\x01]*[0-9]))" + _SPACES + "+"
 _COPYRIGHT = r"^(copyright( c)?|c copyright) (19|20)[0-9][0-9]\b"
 
 
@@ -139,7 +141,7 @@ def _anchored(text: Column) -> Column:
 
 def _identifiers(text: Column, breaks: str) -> Column:
     """Identifiers of the known sentences of a text, in order, as one string ``<a><b>``."""
-    cut = F.regexp_replace(F.regexp_replace(text, breaks, _BREAK), r"([.!?;:])" + _SPACES + "+", "$1" + _BREAK)
+    cut = F.regexp_replace(F.regexp_replace(text, breaks, _BREAK), _END, "$1" + _BREAK)
     known = F.array(*[F.lit(s) for s in KNOWN])
     names = F.array(*[F.lit(f"<{name}>") for name in KNOWN.values()])
 

@@ -74,3 +74,33 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = licences.scan(docs_of(spark, odd_rows()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (MPL, ["MPL-2.0"]),
+        (MPL.replace("// ", ""), ["MPL-2.0"]),
+        (MPL.replace("v. 2.0", "v.\n// 2.0"), ["MPL-2.0"]),
+        (MPL.replace("// ", "").replace("Public\n", "Public "), ["MPL-2.0"]),
+        (MPL.replace("v. 2.0", "v. 3.0"), []),
+        ("See v. Licensed under CC BY 4.0. End", ["CC-BY-4.0"]),
+        ("Section iv. 2 copies. MIT License. v. 2", ["MIT"]),
+    ],
+)
+def test_a_version_number_stays_with_its_sentence(spark, text, want):
+    (r,) = rows_of(licences.scan(docs_of(spark, [(1, text, "en", "s")])))
+    assert r["licences"] == want
+
+
+def test_every_known_sentence_survives_the_cut(spark):
+    known = list(licences.SENTENCES.items())
+    docs = [(i, f"Before this. {sentence}. After it", "en", "s") for i, (sentence, _) in enumerate(known)]
+    got = {r["doc_id"]: r["sentences"] for r in rows_of(licences.scan(docs_of(spark, docs)))}
+    assert got == {i: [name] for i, (_, name) in enumerate(known)}
