@@ -4,11 +4,13 @@ The built-in exact ``percentile`` keeps every distinct value of a column in one
 sketch proposes an interval around each wanted rank, one counting pass proves how many values lie below and inside it,
 and the step repeats inside the interval until few values are left. Only those are grouped and ordered. All columns
 and ranks share the passes, nothing but counts and interval ends reaches the driver, and the counts make the result
-exact however rough the sketch was.
+exact however rough the sketch was. Sketches compute in doubles; where they do not narrow an interval, integers are cut
+by value in their own type, which ends because the values inside an interval grow closer with every round.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -17,6 +19,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SKETCH_ACCURACY = 10_000
 SMALL_ENOUGH = 100_000
+#: An interval of integers is cut by value into so many pieces in one pass.
+PIECES = 16
+#: Doubles hold integers up to this size; the ends of longs.
+EXACT_IN_DOUBLE = 2**53
+LEAST_LONG, GREATEST_LONG = -(2**63), 2**63 - 1
 
 # Values by (column, rank).
 _Found = dict[tuple[str, int], object]
@@ -40,9 +47,14 @@ class _Interval:
 
     def inside(self, col: Column) -> Column:
         inside = col
-        if self.low is not None:
+        if self.low is not None and not _beyond_long(self.low):
             inside = F.when(col > F.lit(self.low), inside)
-        return inside if self.high is None else F.when(col < F.lit(self.high), inside)
+        return inside if self.high is None or _beyond_long(self.high) else F.when(col < F.lit(self.high), inside)
+
+
+def _beyond_long(end: object) -> bool:
+    """Whether an end lies next to the range of longs, where it shuts nothing out."""
+    return isinstance(end, int) and not LEAST_LONG <= end <= GREATEST_LONG
 
 
 def _usable(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, T.DataType]]:
@@ -110,7 +122,70 @@ def _sketch(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _F
 
 
 def _halve(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _Found]:
-    """Cut every interval at about its median. The cut itself lies in neither half, so each round leaves less."""
+    """Cut every interval by value: integers into pieces of their range, other numbers at about their median."""
+    whole = [i for i in wide if isinstance(view.schema[i.name].dataType, T.IntegralType)]
+    narrowed, found = [], {}
+    for step, chosen in ((_cut_integers, whole), (_cut_at_median, [i for i in wide if i not in whole])):
+        if chosen:
+            pieces, known = step(view, chosen)
+            narrowed += pieces
+            found |= known
+    return narrowed, found
+
+
+def _smaller(piece: _Interval, of: _Interval) -> _Interval:
+    """``piece``, which has to hold fewer values than ``of`` or a smaller range of them."""
+    ends = (piece.low, piece.high, of.low, of.high)
+    if piece.size < of.size or (None not in ends and piece.high - piece.low < of.high - of.low):
+        return piece
+    raise ArithmeticError(f"{of} was not narrowed")
+
+
+def _cut_integers(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _Found]:
+    """Cut the range of values inside every interval into ``PIECES`` equal parts, in integer arithmetic.
+
+    Each part is counted together with its least and greatest value, which are the ends of the next range; so a range is
+    a sixteenth of the one before at most, and a part of one value is an answer.
+    """
+    wide = _with_ends(view, wide)
+    cuts, tests = [], []
+    for n, i in enumerate(wide):
+        least, span = i.low + 1, i.high - i.low - 1
+        pieces = min(PIECES, span)
+        cuts.append([least + span * k // pieces for k in range(pieces + 1)])
+        for k in range(pieces):
+            x = F.col(f"`{i.name}`")
+            x = F.when((x >= F.lit(cuts[n][k])) & (x <= F.lit(cuts[n][k + 1] - 1)), x)
+            tests += [F.count(x).alias(f"n{n}_{k}"), F.min(x).alias(f"min{n}_{k}"), F.max(x).alias(f"max{n}_{k}")]
+    facts = view.agg(*tests).first()
+    narrowed, found = [], {}
+    for n, i in enumerate(wide):
+        below = i.below
+        for k in range(len(cuts[n]) - 1):
+            size, least, greatest = (facts[f"{fact}{n}_{k}"] for fact in ("n", "min", "max"))
+            ranks = tuple(r for r in i.ranks if below <= r < below + size)
+            if ranks and least == greatest:
+                found.update({(i.name, r): least for r in ranks})
+            elif ranks:
+                piece = replace(i, ranks=ranks, below=below, size=size, low=least - 1, high=greatest + 1)
+                narrowed.append(_smaller(piece, i))
+            below += size
+    return narrowed, found
+
+
+def _with_ends(view: DataFrame, wide: list[_Interval]) -> list[_Interval]:
+    """The intervals with both ends: next to the least and the greatest value inside, where there is none yet."""
+    open_ = [i for i in wide if i.low is None or i.high is None]
+    if not open_:
+        return wide
+    inside = [i.inside(F.col(f"`{i.name}`")) for i in open_]
+    ends = view.agg(*[f(x).alias(f"{f.__name__}{n}") for n, x in enumerate(inside) for f in (F.min, F.max)]).first()
+    closed = [replace(i, low=ends[f"min{n}"] - 1, high=ends[f"max{n}"] + 1) for n, i in enumerate(open_)]
+    return [i for i in wide if i not in open_] + closed
+
+
+def _cut_at_median(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _Found]:
+    """Cut every interval at about its median, a value of the column that lies in neither half."""
     inside = [i.inside(F.col(f"`{i.name}`")) for i in wide]
     cuts = view.agg(*[F.percentile_approx(x, 0.5, SKETCH_ACCURACY).alias(f"c{n}") for n, x in enumerate(inside)]).first()
     tests = []
@@ -124,9 +199,9 @@ def _halve(view: DataFrame, wide: list[_Interval]) -> tuple[list[_Interval], _Fo
         lower, upper = (tuple(r for r in i.ranks if test(r)) for test in (lambda r: r < first, lambda r: r >= after))
         found.update({(i.name, r): cuts[n] for r in i.ranks if first <= r < after})
         if lower:
-            narrowed.append(replace(i, ranks=lower, high=cuts[n], size=less))
+            narrowed.append(_smaller(replace(i, ranks=lower, high=cuts[n], size=less), i))
         if upper:
-            narrowed.append(replace(i, ranks=upper, low=cuts[n], below=after, size=i.size - less - same))
+            narrowed.append(_smaller(replace(i, ranks=upper, low=cuts[n], below=after, size=i.size - less - same), i))
     return narrowed, found
 
 
@@ -135,6 +210,15 @@ def _around(share: float) -> list[float]:
     return [max(share - slack, 0.0), min(share + slack, 1.0)]
 
 
+def _ends(low: object, high: object) -> dict[str, object]:
+    """Ends of a proposal. Integers that the sketch has rounded are moved outward by what rounding may have cost."""
+    if isinstance(low, int) and abs(low) >= EXACT_IN_DOUBLE:
+        low = max(low - int(math.ulp(float(low))), LEAST_LONG)
+    if isinstance(high, int) and abs(high) >= EXACT_IN_DOUBLE:
+        high = min(high + int(math.ulp(float(high))), GREATEST_LONG)
+    return {"low": low, "high": high}
+
+
 def _propose(view: DataFrame, wide: list[_Interval]) -> list[tuple[_Interval, _Interval]]:
     """A sketched sub-interval around every rank, paired with the interval it was taken from."""
     sketches = []
@@ -143,7 +227,7 @@ def _propose(view: DataFrame, wide: list[_Interval]) -> list[tuple[_Interval, _I
         sketches.append(F.percentile_approx(i.inside(F.col(f"`{i.name}`")), shares, SKETCH_ACCURACY).alias(f"s{n}"))
     ends = view.agg(*sketches).first()
     return [
-        (i, replace(i, ranks=(rank,), low=ends[n][2 * k], high=ends[n][2 * k + 1]))
+        (i, replace(i, ranks=(rank,), **_ends(ends[n][2 * k], ends[n][2 * k + 1])))
         for n, i in enumerate(wide)
         for k, rank in enumerate(i.ranks)
     ]
@@ -250,7 +334,7 @@ def exact_quantiles(
             settled.append(whole)
             continue
         for k, (lo, hi, _) in enumerate(places[name]):
-            ends = {"low": facts[f"s{n}"][2 * k], "high": facts[f"s{n}"][2 * k + 1]}
+            ends = _ends(facts[f"s{n}"][2 * k], facts[f"s{n}"][2 * k + 1])
             proposals += [(whole, replace(whole, ranks=(rank,), **ends)) for rank in {lo, hi}]
     narrowed, known = _prove(view, proposals) if proposals else ([], None)
     values = _settle(view, settled + narrowed, small_enough, known)

@@ -56,3 +56,43 @@ def test_ranks_that_sketches_miss_are_found_by_halving(spark, monkeypatch):
     columns = {"x": F.col("x"), "same": F.col("same")}
     found = values_at_ranks(df, columns, {"x": [0, 1234, 2999], "same": [0, 2999]}, count_values(df, columns), 10)
     assert found["x"] == {0: 0.0, 1234: 617.0, 2999: 1499.5} and found["same"] == {0: 4.0, 2999: 4.0}
+
+
+def _ranks(spark, df, ranks, small_enough):
+    columns = {"k": F.col("k")}
+    return values_at_ranks(df, columns, {"k": ranks}, count_values(df, columns), small_enough)["k"]
+
+
+@pytest.mark.parametrize("small_enough", [1, order_stats.SMALL_ENOUGH])
+def test_one_large_integer_in_every_row(spark, small_enough):
+    df = spark.range(150_000).select(F.lit(2**60 + 1).alias("k"))
+    assert _ranks(spark, df, [0, 75_000, 149_999], small_enough) == dict.fromkeys([0, 75_000, 149_999], 2**60 + 1)
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    base=st.sampled_from([-(2**63), -(2**62) - 7, -(2**53), 0, 2**53, 2**60, 2**63 - 400]),
+    step=st.integers(1, 3),
+    sketched=st.booleans(),
+)
+def test_large_integers_are_cut_in_their_own_type(spark, base, step, sketched):
+    values = [base + (n * step) % 397 for n in range(300)]
+    df = spark.range(300).select((F.lit(base) + (F.col("id") * step) % 397).alias("k")).repartition(3)
+    ranks = [0, 1, 150, 298, 299]
+    with pytest.MonkeyPatch.context() as patch:
+        if not sketched:
+            patch.setattr(order_stats, "_around", lambda share: [0.0, 0.0])
+        assert _ranks(spark, df, ranks, 1) == {r: sorted(values)[r] for r in ranks}
+
+
+@pytest.mark.parametrize("small_enough", [1, 3, 9])
+def test_the_whole_range_of_longs(spark, small_enough):
+    values = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**63 - 2, 2**63 - 1] * 3
+    df = spark.createDataFrame([(v,) for v in values], "k long")
+    assert _ranks(spark, df, range(21), small_enough) == dict(enumerate(sorted(values)))
+
+
+def test_a_round_without_progress_is_an_error():
+    whole = order_stats._Interval("k", (0,), 0, 10, 0, 100)
+    with pytest.raises(ArithmeticError):
+        order_stats._smaller(whole, whole)
