@@ -247,7 +247,7 @@ def _prove(view: DataFrame, proposals: list[tuple[_Interval, _Interval]]) -> tup
             F.count_if(col < lo).alias(f"below{n}"),
             F.count_if(col == lo).alias(f"low{n}"),
             F.count_if((col > lo) & (col < hi)).alias(f"mid{n}"),
-            F.count_if(col == hi).alias(f"high{n}"),
+            F.count_if((col == hi) & (hi > lo)).alias(f"high{n}"),
         ]
     proof = view.agg(*tests).first()
 
