@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorekit.llm import licences
+from scorekit.llm import licences, repetition
 
 SQL: dict[str, str] = {}
 
@@ -94,3 +94,62 @@ from documents left join lists using (doc_id)
 
 
 SQL["op4_licences"] = _licences()
+
+
+def _repetition() -> str:
+    """Windows as texts, counted one by one."""
+    windows, inside, sums, limits = [], [], [], [f"100 * dup_line_chars > {repetition.LINE_LIMIT} * word_chars"]
+    for n, limit in repetition.LIMITS.items():
+        windows.append(
+            f"case when pos + {n - 1} <= n_words then string_agg(w, ' ') over (partition by r order by pos rows between "
+            f"current row and {n - 1} following) end as w{n}"
+        )
+        inside.append(
+            f"coalesce(max(again{n}) over (partition by r order by pos rows between {n - 1} preceding and current row), 0) as in{n}"
+        )
+        sums.append(f"coalesce(sum(length(w)) filter (in{n} = 1), 0)::bigint as dup_{n}_chars")
+        limits.append(f"100 * dup_{n}_chars > {limit} * word_chars")
+    again = [
+        f"case when w{n} is not null and row_number() over (partition by r, w{n} order by pos) > 1 then 1 else 0 end as again{n}"
+        for n in repetition.LIMITS
+    ]
+    base = repetition.BASE_LENGTH
+    names = ", ".join(f"dup_{n}_chars" for n in repetition.LIMITS)
+    return rf"""
+with docs as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (
+  select r, unnest(ws) as w, generate_subscripts(ws, 1) as pos, len(ws) as n_words from docs),
+windows as (select *, {", ".join(windows)} from words),
+marked as (
+  select *, {", ".join(again)},
+    case when w{base} is not null and count(*) over (partition by r, w{base}) > 1 then 1 else 0 end as twice from windows),
+covered as (
+  select *, {", ".join(inside)},
+    max(twice) over (partition by r order by pos rows between {base - 1} preceding and current row) as in_twice from marked),
+per_doc as (
+  select r, count(*) as n_words, sum(length(w))::bigint as word_chars, sum(in_twice)::bigint as n_repeat_words, {", ".join(sums)}
+  from covered group by r),
+lines as (
+  select r, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) as chars,
+    row_number() over (partition by r, line) > 1 as again
+  from (select r, unnest(string_split(text, chr(10))) as line from docs)),
+per_line as (
+  select r, count(*) as n_dup_lines, sum(chars)::bigint as dup_line_chars from lines where again and chars > 0 group by r),
+measured as (
+  select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(dup_line_chars, 0)::bigint as dup_line_chars,
+    {", ".join(f"coalesce({m.strip()}, 0)::bigint as {m.strip()}" for m in names.split(","))}
+  from docs left join per_doc using (r) left join per_line using (r)),
+judged as (
+  select *, n_words < {repetition.LEAST_WORDS} or 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words as base_failed
+  from measured)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not ({" or ".join(limits)}) as kept, dup_line_chars, {names}
+from judged
+"""
+
+
+SQL["op13_repetition"] = _repetition()

@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorekit.llm import bpe, exact_dedup, katz, kmeans_tree, licences, link_trust, mixing, ngram_join, token_files, toxicity
+from scorekit.llm import (
+    bpe,
+    exact_dedup,
+    katz,
+    kmeans_tree,
+    licences,
+    link_trust,
+    mixing,
+    ngram_join,
+    repetition,
+    token_files,
+    toxicity,
+)
 from scorekit.llm.ship import ship
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +110,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.verdicts(_table(spark, sf_dir, "documents"))
+    contract = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *contract, *[m for m in repetition.MEASURES if m not in contract])
