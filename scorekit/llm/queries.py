@@ -21,6 +21,7 @@ from scorekit.llm import (
     repetition,
     token_files,
     toxicity,
+    whitening,
 )
 from scorekit.llm.ship import ship
 
@@ -112,6 +113,12 @@ def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @_query
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.verdicts(_table(spark, sf_dir, "documents"))
