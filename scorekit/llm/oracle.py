@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorekit.llm import licences, repetition
+from scorekit.llm import collocations, licences, repetition
 
 SQL: dict[str, str] = {}
 
@@ -153,3 +153,50 @@ from judged
 
 
 SQL["op13_repetition"] = _repetition()
+
+
+def _collocations() -> str:
+    """Phrases of each length counted one by one."""
+    longest, least = collocations.LONGEST, collocations.LEAST
+    leads = ", ".join(f"lead(w, {k}) over (partition by r, piece order by pos) as w{k + 1}" for k in range(1, longest))
+    every = " union all ".join(
+        f"select lang, {k} as size, concat_ws(' ', {', '.join(f'w{i}' for i in range(1, k + 1))}) as phrase, count(*) as f "
+        f"from leads where w{k} is not null group by all having count(*) >= {least}"
+        for k in range(1, longest + 1)
+    )
+    return rf"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '{collocations.UNKNOWN}') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (
+  select r, lang, unnest(p) as body, generate_subscripts(p, 1) as piece
+  from (select r, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') as p from docs)),
+words as (
+  select r, lang, piece, unnest(ws) as w1, generate_subscripts(ws, 1) as pos
+  from (select r, lang, piece, regexp_extract_all(body, '[^\x20\x09]+') as ws from pieces)),
+leads as (select lang, w1, {leads.replace("lead(w,", "lead(w1,")} from words),
+totals as (select lang, count(*) as n from words group by lang),
+phrases as ({every}),
+candidates as (select *, string_split(phrase, ' ') as ws from phrases where size >= 2),
+cuts as (
+  select lang, phrase, f as a, k, array_to_string(ws[1:k], ' ') as first, array_to_string(ws[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, size)) as k from candidates)),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, t.n,
+    ((1000::hugeint * c.a * t.n) // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join phrases x on x.lang = c.lang and x.phrase = c.first join phrases y on y.lang = c.lang and y.phrase = c.rest
+    join totals t on t.lang = c.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (
+  select lang, f, array_to_string(ws[i:i + m - 1], ' ') as phrase
+  from (select *, unnest(range(1, size - m + 2)) as i from (select *, unnest(range(2, size)) as m from candidates))),
+covered as (select lang, phrase, max(f) as f from inner_parts group by all),
+kept as (
+  select * from lowest where not exists (
+    select 1 from covered c where c.lang = lowest.lang and c.phrase = lowest.phrase and 100 * c.f >= {collocations.INSIDE} * lowest.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= {collocations.TOP}
+"""
+
+
+SQL["op11_collocations"] = _collocations()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scorekit.llm import (
     bpe,
+    collocations,
     exact_dedup,
     katz,
     kmeans_tree,
@@ -113,6 +114,11 @@ def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
