@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from scorekit.functions.numbers import present
-from scorekit.plans.running_totals import BUCKETS, running_totals
+from scorekit.plans.running_totals import ROWS_PER_RANGE, running_totals
 
 
-def score_curve(df: DataFrame, label: str, scores: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def score_curve(df: DataFrame, label: str, scores: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """One row per (model, score) with its positives and negatives, those below it, and the model's totals.
 
     Rows with equal scores share a threshold. They are counted before anything is ordered, so a score that a large
@@ -25,11 +25,11 @@ def score_curve(df: DataFrame, label: str, scores: Sequence[str], buckets: int =
         .groupBy("model", "score")
         .agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg"))
     )
-    return running_totals(counted, "model", "score", ["pos", "neg"], buckets=buckets)
+    return running_totals(counted, "model", "score", ["pos", "neg"], rows_per_range=rows_per_range)
 
 
 def ranking_metrics(
-    df: DataFrame, label: str, scores: Sequence[str], threshold: float = 0.5, buckets: int = BUCKETS
+    df: DataFrame, label: str, scores: Sequence[str], threshold: float = 0.5, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """(model, ks, auc, avg_precision, f1, precision, recall, accuracy), all from one counted table.
 
@@ -41,7 +41,7 @@ def ranking_metrics(
     hit = F.sum(F.when(F.col("score") >= threshold, pos).otherwise(0))
     false = F.sum(F.when(F.col("score") >= threshold, neg).otherwise(0))
     sums = (
-        score_curve(df, label, scores, buckets)
+        score_curve(df, label, scores, rows_per_range)
         .groupBy("model")
         .agg(
             F.max(p_all).alias("p"),
@@ -66,13 +66,13 @@ def ranking_metrics(
     )
 
 
-def ks(df: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
-    return ranking_metrics(df, label, [score], buckets=buckets).select("ks")
+def ks(df: DataFrame, label: str, score: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    return ranking_metrics(df, label, [score], rows_per_range=rows_per_range).select("ks")
 
 
-def auc(df: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
-    return ranking_metrics(df, label, [score], buckets=buckets).select("auc")
+def auc(df: DataFrame, label: str, score: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    return ranking_metrics(df, label, [score], rows_per_range=rows_per_range).select("auc")
 
 
-def average_precision(df: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
-    return ranking_metrics(df, label, [score], buckets=buckets).select("avg_precision")
+def average_precision(df: DataFrame, label: str, score: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    return ranking_metrics(df, label, [score], rows_per_range=rows_per_range).select("avg_precision")

@@ -15,7 +15,6 @@ from scorekit.plans.running_totals import running_totals
 
 DEFAULT_TOPN = (500, 1000, 3000, 5000)
 DEFAULT_THRESHOLDS = (0.95, 0.9, 0.85, 0.8, 0.7, 0.6)
-BANDS_PER_BUCKET = 4096
 #: More bands than this are no report but a wrong width.
 MAX_BANDS = 10_000_000
 
@@ -208,9 +207,7 @@ def score_bands(df: DataFrame, score: str, label: str, width: float = 5.0) -> Da
         F.coalesce("total", F.lit(0)).alias("total"),
         F.coalesce("bad", F.lit(0)).alias("bad"),
     )
-    summed = running_totals(
-        table, "_series", "band", ["total", "bad"], bucket=F.floor(F.col("band") / BANDS_PER_BUCKET)
-    )
+    summed = running_totals(table, "_series", "band", ["total", "bad"])
     cum_total = F.col("before_total") + F.col("total")
     cum_bad = F.col("before_bad") + F.col("bad")
     bad_rate = F.try_divide(cum_bad, cum_total)

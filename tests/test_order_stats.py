@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scorekit.plans import order_stats
 from scorekit.plans.order_stats import count_values, exact_quantiles, values_at_ranks
-from scorekit.plans.running_totals import running_totals
+from scorekit.plans.running_totals import _cut_once, _names, running_totals
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 
@@ -39,15 +39,32 @@ def test_ranks_of_large_integers_keep_every_digit(spark, small_enough):
 
 
 @settings(max_examples=8, deadline=None)
-@given(values=st.lists(st.integers(-50, 50), min_size=1, max_size=60), buckets=st.sampled_from([2, 16, 64]))
-def test_running_totals_equal_the_direct_form(spark, values, buckets):
+@given(
+    values=st.lists(st.integers(-50, 50), min_size=1, max_size=60),
+    rows_per_range=st.sampled_from([1, 3, 1000]),
+    fan=st.sampled_from([2, 3, 16]),
+)
+def test_running_totals_equal_the_direct_form(spark, values, rows_per_range, fan):
     counts = {v: values.count(v) for v in values}
-    table = spark.createDataFrame([("m", float(v), n) for v, n in counts.items()], "s string, x double, n long")
-    rows = running_totals(table, "s", "x", ["n"], buckets=buckets).collect()
-    assert len(rows) == len(counts)
+    rows = [(s, float(v), n, n * k) for s, k in (("m", 1), ("other", 7)) for v, n in counts.items()]
+    table = spark.createDataFrame(rows, "s string, x double, n long, k long")
+    rows = running_totals(table, "s", "x", ["n", "k"], rows_per_range, fan).collect()
+    assert len(rows) == 2 * len(counts)
     for r in rows:
-        assert r["before_n"] == sum(1 for v in values if v < r["x"])
-        assert r["total_n"] == len(values)
+        times = 1 if r["s"] == "m" else 7
+        assert r["before_n"] == sum(1 for v in values if v < r["x"]) and r["before_k"] == times * r["before_n"]
+        assert r["total_n"] == len(values) and r["total_k"] == times * len(values)
+
+
+def test_no_window_of_running_totals_grows_with_the_table(spark):
+    table = spark.range(5000).select(F.lit("s").alias("s"), F.col("id").cast("double").alias("x"), F.lit(1).alias("n"))
+    cut, levels, fan, rows_per_range = table, 0, 8, 100
+    while 5000 > rows_per_range * fan**levels:
+        levels += 1
+        cut = _cut_once(cut, ["s", *_names(levels - 1)], "x", fan, f"_b{levels}", fan**levels)
+    sizes = [r["count"] for r in cut.groupBy(*_names(levels)).count().collect()]
+    assert levels == 2 and sum(sizes) == 5000 and max(sizes) <= 2 * rows_per_range
+    assert cut.agg(F.max("_b1"), F.max("_b2")).first() == (fan - 1, fan - 1)
 
 
 def test_ranks_that_sketches_miss_are_found_by_halving(spark, monkeypatch):
