@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from scorekit.operators.blending import soft_vote
-from scorekit.plans.folds import FoldedScores, assemble, score_with
+from scorekit.plans.boosting import NewtonBooster
+from scorekit.plans.folds import FoldedScores, assemble, fit_folds, score_folds, score_mean
+from scorekit.workspace import materialise
+
+
+def newton(**params) -> NewtonBooster:
+    """Newton boosting on the plain log loss with small defaults."""
+    return NewtonBooster(**{"rounds": 20, "depth": 5, "lossParams": '{"pos_weight": 1.0}', **params})
 
 
 def booster(**params) -> GBTClassifier:
@@ -17,11 +24,13 @@ def booster(**params) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol="label", **{"maxIter": 20, "maxDepth": 5, "seed": 1, **params})
 
 
-def variants(base: Mapping[str, object], **lists: Sequence[object]) -> dict[str, GBTClassifier]:
+def variants(
+    base: Mapping[str, object], make: Callable[..., Estimator] = booster, **lists: Sequence[object]
+) -> dict[str, Estimator]:
     """Variants of one learner: the n-th variant takes the n-th value of every list."""
     size = max(len(v) for v in lists.values())
     return {
-        f"v{i}": booster(**{**base, **{name: values[i % len(values)] for name, values in lists.items()}})
+        f"v{i}": make(**{**base, **{name: values[i % len(values)] for name, values in lists.items()}})
         for i in range(size)
     }
 
@@ -31,16 +40,25 @@ def logistic_meta(**params) -> LogisticRegression:
 
 
 def stack(
-    scores: FoldedScores, learners: Sequence[str], key: str = "ID", meta: Estimator | None = None, to: str = "stacked"
+    scores: FoldedScores,
+    learners: Sequence[str],
+    key: str = "ID",
+    meta: Estimator | None = None,
+    to: str = "stacked",
+    pos_weight: float = 1.0,
 ) -> FoldedScores:
-    """Train the meta model on the learners' out-of-fold scores and apply it to train and test scores."""
+    """Cross-fit the meta model on the learners' out-of-fold scores, in the folds of the base models.
+
+    The meta model of a fold is fitted without it, so no train row is scored by a meta model that saw it. Test rows get
+    the mean of the meta models.
+    """
     meta = meta if meta is not None else logistic_meta()
-    model = meta.fit(assemble(scores.train, learners, ["label"]))
-    train = score_with(model, assemble(scores.train, learners, [key, "label", "fold"]), to).drop("features")
-    test = None
-    if scores.test is not None:
-        test = score_with(model, assemble(scores.test, learners, [key]), to).drop("features")
-    return FoldedScores(train, test, {to: [model]}, tuple(learners))
+    rows = scores.train.withColumn("weight", F.when(F.col("label") == 1, float(pos_weight)).otherwise(1.0))
+    data = materialise(assemble(rows, learners, [key, "label", "fold", "weight"]), "stack")
+    models = fit_folds(data, {to: meta}, len(scores.models[learners[0]]), pos_weight != 1.0)
+    train = score_folds(data, models, key)
+    test = score_mean(assemble(scores.test, learners, [key]), models, key) if scores.test is not None else None
+    return FoldedScores(train, test, models, tuple(learners))
 
 
 def vote(scores: DataFrame, learners: Sequence[str], to: str = "voted") -> DataFrame:

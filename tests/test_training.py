@@ -1,4 +1,8 @@
+from typing import ClassVar
+
 import pytest
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from conftest import column
@@ -32,12 +36,16 @@ def test_folds_depend_on_the_key_alone(spark):
     assert spark.range(1).select(folds.fold_by_arithmetic(F.lit(2**62), 10)).first()[0] in range(10)
 
 
-def test_stratified_folds_are_even_per_class(spark):
-    df = spark.range(0, 1003).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
-    dealt = folds.assign_folds(df, "id", 7, stratify="y")
-    assert dealt.count() == 1003
-    for y in (0, 1):
-        sizes = column(dealt.filter(F.col("y") == y).groupBy("fold").count(), "count")
+@pytest.mark.parametrize("rows_per_range", [10, folds.ROWS_PER_RANGE])
+@pytest.mark.parametrize("arithmetic", [False, True])
+def test_stratified_folds_are_even_per_class(spark, monkeypatch, arithmetic, rows_per_range):
+    df = spark.range(0, 1003).select("id", F.when(F.col("id") % 3 != 0, (F.col("id") % 10 == 0).cast("int")).alias("y"))
+    whole = folds.assign_folds(df, "id", 7, stratify="y", arithmetic=arithmetic)
+    monkeypatch.setattr(folds, "ROWS_PER_RANGE", rows_per_range)
+    dealt = folds.assign_folds(df, "id", 7, stratify="y", arithmetic=arithmetic)
+    assert dealt.count() == 1003 and dealt.exceptAll(whole).count() == 0
+    for y in (0, 1, None):
+        sizes = column(dealt.filter(F.col("y").eqNullSafe(F.lit(y))).groupBy("fold").count(), "count")
         assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
 
 
@@ -62,14 +70,46 @@ def test_fold_models_did_not_see_their_fold(folded):
     assert len(counts) == 3 and sum(r["count"] for r in counts) == 320
 
 
-@pytest.mark.parametrize("meta", [None, stacking.booster])
-def test_stack(folded, meta):
-    stacked = stacking.stack(folded, ["a", "b"], meta=meta and meta(maxIter=2, maxDepth=2))
-    assert stacked.train.count() == 320 and stacked.test.count() == 80
+@pytest.mark.parametrize("make, settings", [(None, {}), (stacking.booster, {"maxIter": 2, "maxDepth": 2}), (stacking.newton, {"rounds": 3})])
+def test_stack(folded, make, settings):
+    stacked = stacking.stack(folded, ["a", "b"], meta=make and make(**settings))
+    assert len(stacked.models["stacked"]) == 3 and stacked.train.count() == 320 and stacked.test.count() == 80
     low, high = stacked.test.agg(F.min("stacked"), F.max("stacked")).first()
     assert 0 <= low < high <= 1
 
 
+class Memory(Estimator):
+    """Remembers the labels of the rows it was fitted on, and gives 0.5 to all others."""
+
+    weighted: ClassVar[list[str | None]] = []
+
+    def setWeightCol(self, name):
+        Memory.weighted.append(name)
+        return self
+
+    def _fit(self, dataset):
+        return Remembered(dataset.select("features", F.col("label").alias("known")).distinct())
+
+
+class Remembered(Model):
+    def __init__(self, known):
+        super().__init__()
+        self.known = known
+
+    def _transform(self, dataset):
+        p = F.coalesce(F.col("known").cast("double"), F.lit(0.5))
+        return dataset.join(self.known, "features", "left").withColumn("probability", array_to_vector(F.array(1 - p, p))).drop("known")
+
+
+def test_no_train_row_is_scored_by_a_meta_model_that_saw_it(folded):
+    """Base scores are made different for each row, so a meta model knows a row only if it was fitted on it."""
+    train = folded.train.withColumn("a", F.col("ID").cast("double"))
+    base = folds.FoldedScores(train, None, folded.models, folded.features)
+    stacked = stacking.stack(base, ["a", "b"], meta=Memory(), pos_weight=3.0).train
+    assert stacked.count() == 320 and stacked.filter("stacked <> 0.5").count() == 0
+    assert Memory.weighted == ["weight"]
+
+
 def test_vote(folded):
     voted = stacking.vote(folded.test, ["a", "b"]).join(folded.test, "ID").collect()
     assert all(r["voted"] == pytest.approx((r["a"] + r["b"]) / 2) for r in voted)
@@ -90,14 +130,14 @@ def test_variants():
 @pytest.mark.parametrize("loss", [losses.weighted_log_loss, losses.focal_loss, losses.focal_loss_scaled])
 def test_newton_boosting_learns(samples, loss):
     train, _ = samples
-    model = boosting.newton_boost(train, FEATURES, loss=loss, rounds=3, step=0.1, cut_every=2)
+    model = boosting.newton_boost(train, FEATURES, loss=loss, rounds=3, step=0.1)
     scored = model.score(train, ["ID", "label"])
     assert column(ranking.auc(scored, "label", "score"), "auc")[0] > 0.85
 
 
 def test_one_round_is_the_newton_step_of_each_leaf(samples):
     train, _ = samples
-    model = boosting.newton_boost(train, FEATURES, rounds=1, step=1.0, depth=1)
+    model = boosting.newton_boost(train, FEATURES, rounds=1, step=1.0, depth=1, l2=0.0)
     g, h = losses.weighted_log_loss(F.col("label"), F.lit(0.0))
     leaves = model.score(train, ["label"]).groupBy("margin").agg((-F.sum(g) / F.sum(h)).alias("newton")).collect()
     assert len(leaves) == 2 and all(r["margin"] == pytest.approx(r["newton"]) for r in leaves)
