@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from catalog import boosted, queries
 from catalog.queries import CROSSES, SCORES
 from catalog.views import sql
 from scorekit.operators.encoding import CODE_MAPS
+from scorekit.plans import stacking
 from scorekit.plans.key_stats import cross_name
 
 V = {n: sql(n) for n in ("features", "scored", "drift", "sentinel", "strings", "dictionary", "rated")}
@@ -144,7 +146,7 @@ def _distinct_sql(key: str, others: list[str], shown: list[str]) -> str:
             outs.append(f"{t}.n as {k}_{f}_nuq_num")
     return (
         f"with d as (select * from {_features_with_hour()}) select d.ID, "
-        + ", ".join(f"d.{c}" for c in shown)
+        + ", ".join("cast(d.E1 as bigint) as E1" if c == "E1" else f"d.{c}" for c in shown)
         + ", "
         + ", ".join(outs)
         + " from d "
@@ -152,8 +154,8 @@ def _distinct_sql(key: str, others: list[str], shown: list[str]) -> str:
     )
 
 
-SQL["nunique_1"] = _distinct_sql("A2", ["hour", "E1", "E14", "B2", "B3"], ["A2", "hour", "E14", "B2", "B3"])
-SQL["nunique_2"] = _distinct_sql("hour", ["E1", "E14"], ["hour", "E14"])
+SQL["nunique_1"] = _distinct_sql("A2", ["hour", "E1", "E14", "B2", "B3"], ["A2", "hour", "E1", "E14", "B2", "B3"])
+SQL["nunique_2"] = _distinct_sql("hour", ["E1", "E14"], ["hour", "E1", "E14"])
 SQL["nunique_4"] = _distinct_sql("A1", ["B2", "B3"], ["A1", "B2", "B3"])
 
 SQL["count_feature"] = f"""
@@ -507,9 +509,7 @@ select id, cast(floor(((id % 2147483648) * 2654435761 % 4294967296) * 10 / 42949
 from {V['scored']}
 """
 
-SQL["kfold_stratified"] = f"""
-select y_true, cast(10 as bigint) as folds, count(*) as n, true as even from {V['scored']} group by y_true
-"""
+SQL["kfold_stratified"] = f"select id, y_true, {boosted.stratified_fold('id', 'y_true')} as fold from {V['scored']}"
 
 _limits = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]
 _votes = " + ".join(f"(case when {s} >= {t} then 1 else 0 end)" for s, t in zip(SCORES, _limits, strict=True))
@@ -530,3 +530,68 @@ def _blend() -> str:
 
 
 SQL["weighted_blend"] = _blend()
+
+# --- training ---------------------------------------------------------------------------------------------------------
+
+
+def _scored(columns: list[str], table: str = "scored") -> str:
+    return f"select id as ID, cast(y as int) as label, nullif(fold, -1) as fold, {', '.join(_r(c, c) for c in columns)} from {table}"
+
+
+def _cv(learners: dict, **options) -> str:
+    return f"with recursive {boosted.cross_validated(learners, **options)} {_scored(list(learners))}"
+
+
+def _stack(learners: dict, meta) -> str:
+    base = boosted.cross_validated(learners)
+    return f"with recursive {base}, {boosted.stacked('scored', list(learners), meta)} {_scored(['stacked'], 'final')}"
+
+
+def _vote(learners: dict) -> str:
+    mean = " + ".join(_r(x, x).rsplit(" as ", 1)[0] for x in learners)
+    return (
+        f"with recursive {boosted.cross_validated(learners)} select id as ID, cast(y as int) as label, nullif(fold, -1) as fold, "
+        f"({mean}) / {len(learners)} as voted from scored"
+    )
+
+
+_two, _family = queries.two_learners(), queries.one_family()
+SQL["cv_scores_a"] = _cv(queries.learner_a())
+SQL["cv_scores_b"] = _cv(
+    queries.learner_b(), folds=f"case when label is not null then {boosted.stratified_fold('ID', 'label')} end"
+)
+SQL["cv_weighted"] = _cv({"a": stacking.newton(depth=3)}, pos_weight=10.0)
+SQL["cv_focal"] = _cv(queries.learner_focal())
+SQL["stack_gbt"] = _stack(_two, stacking.newton(depth=3))
+SQL["stack_single"] = _stack(_family, stacking.newton(depth=2))
+SQL["vote_single"] = _vote(_family)
+SQL["vote_two"] = _vote(_two)
+SQL["cv_importance"] = f"""
+with recursive {boosted.cross_validated(_two)}, {boosted.importances(list(_two), 20)},
+shown as (select * from whole qualify row_number() over (partition by learner order by importance desc, feature) <= 50)
+select learner, feature, {_r('importance', 'importance')},
+  {_r('round(100 * importance / sum(importance) over (partition by learner), 2)', 'percentage')} from shown
+"""
+
+
+def _alone(loss: str) -> str:
+    learner = queries.boosted_alone(loss)
+    return f"""
+with recursive {boosted.single(learner)}
+select id as ID, {_r('margin', 'margin')}, {_r('1 / (1 + exp(-margin))', 'score')}
+from one_boost where round = {learner.growth().rounds} and y is null
+"""
+
+
+SQL["newton_boost"] = _alone("weighted_log_loss")
+SQL["newton_boost_focal"] = _alone("focal_loss")
+
+_rated = f"""
+model as materialized (
+  select doc_id as ID, quality as label, dense_rank() over (order by {_text('lang')}) - 1 as lang,
+    dense_rank() over (order by {_text('source')}) - 1 as source, n_chars, toxic from {V['rated']})
+"""
+_rated_cv = boosted.cross_validated(queries.rated_learner(), source=_rated, features=queries.RATED_FEATURES)
+SQL["rated_documents_cv"] = f"""
+with recursive {_rated_cv} select id as doc_id, cast(y as int) as label, fold, {_r('a', 'a')} from scored
+"""

@@ -12,8 +12,9 @@ from scorekit.functions.numbers import clip
 from scorekit.functions.scorecard import risk_score
 from scorekit.operators import binning, blending, cleaning, collinearity, drift, encoding, features, ranking, reports
 from scorekit.plans import boosting, folds, stacking
+from scorekit.plans.boosting import NewtonBooster
 from scorekit.plans.feature_table import CROSS_FIRST, CROSS_SECOND, FeatureTables, build_feature_table
-from scorekit.sources import dictionaries, tables
+from scorekit.sources import dictionaries, models, tables
 from scorekit.workspace import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,12 +163,12 @@ def _distinct(spark: SparkSession, sf_dir: str, key: str, others: list[str]) ->
 
 @register
 def nunique_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinct(spark, sf_dir, "A2", ["hour", "E1", "E14", "B2", "B3"]).drop("E1")
+    return _distinct(spark, sf_dir, "A2", ["hour", "E1", "E14", "B2", "B3"])
 
 
 @register
 def nunique_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinct(spark, sf_dir, "hour", ["E1", "E14"]).drop("E1")
+    return _distinct(spark, sf_dir, "hour", ["E1", "E14"])
 
 
 @register
@@ -420,11 +421,8 @@ def kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def kfold_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = folds.assign_folds(view(spark, sf_dir, "scored"), "id", 10, stratify="y_true")
-    counted = dealt.groupBy("y_true", "fold").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("y_true").agg(
-        F.count(F.lit(1)).alias("folds"), F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 1).alias("even")
-    )
+    scored = view(spark, sf_dir, "scored").select("id", "y_true")
+    return folds.assign_folds(scored, "id", 10, stratify="y_true", arithmetic=True)
 
 
 @register
@@ -463,82 +461,106 @@ def _model_tables(spark: SparkSession, sf_dir: str) -> FeatureTables:
 
 
 def _both_sides(scores: folds.FoldedScores) -> DataFrame:
-    """Out-of-fold scores of train rows and mean scores of test rows in one table."""
-    return scores.train.drop("label", "fold").unionByName(scores.test)
+    """Out-of-fold scores of train rows with label and fold, and mean scores of test rows, in one table."""
+    return rounded(scores.train.unionByName(scores.test, allowMissingColumns=True))
 
 
 def _trained(spark: SparkSession, sf_dir: str, learners: dict, **options) -> folds.FoldedScores:
     train, test, names = _model_tables(spark, sf_dir)
-    return folds.out_of_fold(train, names, learners, k=FOLDS, test=test, **options)
+    return folds.out_of_fold(train, names, learners, k=FOLDS, test=test, arithmetic_folds=True, **options)
+
+
+def two_learners() -> dict:
+    return {"a": stacking.newton(depth=3), "b": stacking.newton(depth=5, step=0.3)}
+
 
+def one_family() -> dict:
+    return stacking.variants({}, stacking.newton, depth=[2, 4], step=[0.1, 0.2])
 
-def _two_learners() -> dict:
-    return {"a": stacking.booster(maxDepth=3), "b": stacking.booster(maxDepth=5, stepSize=0.3)}
 
+def learner_a() -> dict:
+    return {"a": stacking.newton(depth=4)}
 
-def _one_family() -> dict:
-    return stacking.variants({}, maxDepth=[2, 4], seed=[1, 2])
+
+def learner_b() -> dict:
+    return {"b": stacking.newton(depth=3, step=0.3, bins=64, leastRows=5)}
+
+
+def learner_focal() -> dict:
+    return {"focal": stacking.newton(depth=3, step=0.3, loss="focal_loss", lossParams="{}")}
 
 
 @register
 def cv_scores_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both_sides(_trained(spark, sf_dir, {"a": stacking.booster(maxDepth=4)}))
+    return _both_sides(_trained(spark, sf_dir, learner_a()))
 
 
 @register
 def cv_scores_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learner = stacking.booster(maxDepth=3, stepSize=0.3, subsamplingRate=0.8)
-    return _both_sides(_trained(spark, sf_dir, {"b": learner}, stratify=True))
+    return _both_sides(_trained(spark, sf_dir, learner_b(), stratify=True))
 
 
 @register
 def cv_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both_sides(_trained(spark, sf_dir, {"a": stacking.booster(maxDepth=3)}, pos_weight=10.0))
+    return _both_sides(_trained(spark, sf_dir, {"a": stacking.newton(depth=3)}, pos_weight=10.0))
+
+
+@register
+def cv_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The focal loss in every fold; the rows are scored by the models as they are read back from the model store."""
+    scores = _trained(spark, sf_dir, learner_focal())
+    store = fresh_path(spark, "output")
+    models.save_folds(scores, store, "focal")
+    return _both_sides(models.load_folds(spark, store, "focal", scores.features).score(scores))
 
 
 @register
 def stack_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both_sides(stacking.stack(_trained(spark, sf_dir, _two_learners()), ["a", "b"]))
+    return _both_sides(stacking.stack(_trained(spark, sf_dir, two_learners()), ["a", "b"]))
 
 
 @register
 def stack_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = stacking.booster(maxDepth=3)
-    return _both_sides(stacking.stack(_trained(spark, sf_dir, _two_learners()), ["a", "b"], meta=meta))
+    return _both_sides(stacking.stack(_trained(spark, sf_dir, two_learners()), ["a", "b"], meta=stacking.newton(depth=3)))
 
 
 @register
 def stack_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learners = _one_family()
-    return _both_sides(stacking.stack(_trained(spark, sf_dir, learners), list(learners)))
+    learners = one_family()
+    return _both_sides(stacking.stack(_trained(spark, sf_dir, learners), list(learners), meta=stacking.newton(depth=2)))
 
 
 @register
 def vote_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learners = _one_family()
+    learners = one_family()
     return stacking.vote(_both_sides(_trained(spark, sf_dir, learners)), list(learners))
 
 
 @register
 def vote_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stacking.vote(_both_sides(_trained(spark, sf_dir, _two_learners())), ["a", "b"])
+    return stacking.vote(_both_sides(_trained(spark, sf_dir, two_learners())), ["a", "b"])
 
 
 @register
 def cv_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, names = _model_tables(spark, sf_dir)
-    learners = _two_learners()
-    scores = folds.out_of_fold(train, names, learners, k=FOLDS)
+    learners = two_learners()
+    scores = folds.out_of_fold(train, names, learners, k=FOLDS, arithmetic_folds=True)
     of_each = [
         reports.importance_report(folds.fold_importances(scores, name)).withColumn("learner", F.lit(name)) for name in learners
     ]
-    return of_each[0].unionByName(of_each[1])
+    return rounded(of_each[0].unionByName(of_each[1]))
+
+
+def boosted_alone(loss: str) -> NewtonBooster:
+    return NewtonBooster(loss=loss, rounds=ROUNDS, step=0.3)
 
 
 def _boosted(spark: SparkSession, sf_dir: str, loss) -> DataFrame:
     train, test, names = _model_tables(spark, sf_dir)
-    model = boosting.newton_boost(train, names, loss=loss, rounds=ROUNDS, step=0.3, cut_every=3)
-    return model.score(test, ["ID"])
+    booster = boosted_alone(loss.__name__)
+    fitted = boosting.NewtonModel(booster.fit(folds.assemble(train, names, ["label"])), tuple(names))
+    return rounded(fitted.score(test, ["ID"]))
 
 
 @register
@@ -551,11 +573,17 @@ def newton_boost_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boosted(spark, sf_dir, losses.focal_loss)
 
 
+RATED_FEATURES = ["lang", "source", "n_chars", "toxic"]
+
+
+def rated_learner() -> dict:
+    return {"a": stacking.newton(depth=3)}
+
+
 @register
 def rated_documents_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = encoding.label_encode(view(spark, sf_dir, "rated"), ["lang", "source"])
-    learner = {"a": stacking.booster(maxDepth=3)}
     scores = folds.out_of_fold(
-        rated, ["lang", "source", "n_chars", "toxic"], learner, label="quality", key="doc_id", k=FOLDS
+        rated, RATED_FEATURES, rated_learner(), label="quality", key="doc_id", k=FOLDS, arithmetic_folds=True
     )
-    return scores.train
+    return rounded(scores.train)

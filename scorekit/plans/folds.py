@@ -63,6 +63,8 @@ class FoldedScores:
     test: DataFrame | None
     models: dict[str, list[Model]] = field(default_factory=dict)
     features: tuple[str, ...] = ()
+    #: Assembled train rows with their folds, assembled test rows, and the key: what other models can score.
+    vectors: tuple[DataFrame, DataFrame | None, str] | None = None
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str], missing: float = MISSING_FEATURE) -> DataFrame:
@@ -162,8 +164,9 @@ def out_of_fold(
     models = fit_folds(data, learners, k, pos_weight != 1.0)
     scored = score_folds(data, models, key)
 
-    mean = score_mean(assemble(test, features, [key]), models, key) if test is not None else None
-    return FoldedScores(scored, mean, models, tuple(features))
+    others = assemble(test, features, [key]) if test is not None else None
+    mean = score_mean(others, models, key) if others is not None else None
+    return FoldedScores(scored, mean, models, tuple(features), (data, others, key))
 
 
 def fold_importances(result: FoldedScores, learner: str) -> DataFrame:

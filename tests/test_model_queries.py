@@ -3,12 +3,12 @@
 import pytest
 
 from catalog import queries
-from scorekit.plans import boosting, folds, stacking
+from scorekit.plans import boosting, folds
 
 SMOKE = "/root/testdata/sf0.001"
 ON_FEATURES = (
     "cv_scores_a", "cv_scores_b", "cv_weighted", "stack_lr", "stack_gbt", "stack_single", "vote_single", "vote_two",
-    "cv_importance", "newton_boost", "newton_boost_focal",
+    "cv_importance", "cv_focal", "newton_boost", "newton_boost_focal",
 )
 
 
@@ -24,7 +24,7 @@ def built():
 @pytest.fixture
 def ask(spark, monkeypatch, built):
     """What a query asks for: table, features, learners and options. The feature table is built once."""
-    made, booster, build = [], stacking.booster, queries.build_feature_table
+    build = queries.build_feature_table
 
     def once(train, test, labels):
         key = tuple(train.columns)
@@ -32,36 +32,37 @@ def ask(spark, monkeypatch, built):
             built[key] = build(train, test, labels)
         return built[key]
 
-    def stop(train, features, *args, **options):
-        raise Asked(train, list(features), args, options)
+    def stop(train, features, learners, **options):
+        raise Asked(train, list(features), list(learners.values()), options)
+
+    def alone(booster, vectors):
+        raise Asked(None, None, [booster], {})
 
     monkeypatch.setattr(queries, "build_feature_table", once)
     monkeypatch.setattr(folds, "out_of_fold", stop)
-    monkeypatch.setattr(boosting, "newton_boost", stop)
-    monkeypatch.setattr(stacking, "booster", lambda **p: made.append(booster(**p)) or made[-1])
+    monkeypatch.setattr(boosting.NewtonBooster, "fit", alone)
 
     def run(name):
         with pytest.raises(Asked) as e:
             queries.REGISTRY[name](spark, SMOKE)
-        return *e.value.args, made
+        return e.value.args
 
     return run
 
 
 @pytest.mark.parametrize("name", ON_FEATURES)
 def test_models_train_on_the_feature_table_at_full_size(ask, name):
-    train, features, args, options, made = ask(name)
+    train, features, learners, options = ask(name)
+    if name.startswith("newton"):
+        assert [b.growth().rounds for b in learners] == [100]
+        return
     assert {"count_cross_B2_and_A2", "ratio_click_of_A2", "A2", "E14", "hour"} <= set(features)
     assert not [f for f in features if "A3" in f] and not {"ID", "label", "is_test"} & set(features)
     assert {"ID", "label", *features} == set(train.columns)
-    if name.startswith("newton"):
-        assert options["rounds"] >= 100
-    else:
-        assert options["k"] == 10 and made and all(m.getMaxIter() >= 20 for m in made)
-    if name == "cv_importance":
-        assert len(args[0]) == 2
+    assert options["k"] == 10 and all(b.growth().rounds >= 20 for b in learners)
+    assert len(learners) == (2 if name in ("stack_lr", "stack_gbt", "stack_single", "vote_single", "vote_two", "cv_importance") else 1)
 
 
 def test_rated_documents_train_at_full_size(ask):
-    *_, options, made = ask("rated_documents_cv")
-    assert options["k"] == 10 and [m.getMaxIter() for m in made] == [20]
+    _, _, learners, options = ask("rated_documents_cv")
+    assert options["k"] == 10 and [b.growth().rounds for b in learners] == [20]
