@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from catalog.queries import CROSSES
@@ -200,17 +199,47 @@ def cross_validated(
     return ",\n".join(parts)
 
 
-def stacked(base: str, columns: Sequence[str], meta: NewtonBooster, k: int = 10) -> str:
-    """CTEs that cross-fit ``meta`` on the scores ``columns`` of ``base`` in its folds, up to ``final`` with ``stacked``."""
-    rows = f"meta_rows as materialized (select id, y, 1.0::double as w, fold, {', '.join(columns)} from {base})"
+def stacked(base: str, columns: Sequence[str], meta: NewtonBooster, k: int = 10, name: str = "final") -> str:
+    """CTEs that cross-fit ``meta`` on the scores ``columns`` of ``base`` in its folds, up to ``name`` with ``stacked``."""
+    rows = f"{name}_rows as materialized (select id, y, 1.0::double as w, fold, {', '.join(columns)} from {base})"
+    one = scores(f"{name}_all", {f"{name}_m": meta})
     return ",\n".join([
         rows,
-        coded("meta_codes", "meta_rows", columns, meta.growth().bins).strip(),
-        boosted("stacked_boost", "meta_rows", "meta_codes", k, meta).strip(),
-        scores("final", {"stacked": meta}),
+        coded(f"{name}_codes", f"{name}_rows", columns, meta.growth().bins).strip(),
+        boosted(f"{name}_m_boost", f"{name}_rows", f"{name}_codes", k, meta).strip(),
+        one,
+        f"{name} as (select id, y, fold, {name}_m as stacked from {name}_all)",
     ])
 
 
+def logistic(name: str, base: str, columns: Sequence[str], k: int = 10, rounds: int = 25) -> str:
+    """CTEs up to ``name`` (id, y, fold, stacked): logistic models of two scores, cross-fitted by Newton's method."""
+    x, z = columns
+    sums = {"g0": "y - p", "g1": f"(y - p) * {x}", "g2": f"(y - p) * {z}"}
+    sums |= {"a": "w", "b": f"w * {x}", "c": f"w * {z}", "d": f"w * {x} * {x}", "e": f"w * {x} * {z}", "f": f"w * {z} * {z}"}
+    det = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+    steps = [
+        "((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2)",
+        "((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2)",
+        "((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2)",
+    ]
+    new = ", ".join(f"b{i} + {step} / {det}" for i, step in enumerate(steps))
+    return f"""
+{name}_beta as (
+  select 0 as it, m, 0.0::double as b0, 0.0::double as b1, 0.0::double as b2 from (select unnest(range({k}))::int as m)
+  union all
+  (with rows as (
+    select it, m, b0, b1, b2, y, {x}, {z}, 1 / (1 + exp(-(b0 + b1 * {x} + b2 * {z}))) as p
+    from {name}_beta join {base} r on y is not null and r.fold <> m where it < {rounds}),
+  sums as (
+    select it, m, b0, b1, b2, {", ".join(f"sum({v}) as {n}" for n, v in sums.items())}
+    from (select *, p * (1 - p) as w from rows) group by all)
+  select it + 1, m, {new} from sums)),
+{name} as materialized (
+  select id, any_value(y) as y, any_value(fold) as fold, avg(1 / (1 + exp(-(b0 + b1 * {x} + b2 * {z})))) as stacked
+  from {base} join (select * from {name}_beta where it = {rounds}) on y is null or m = fold group by id)"""
+
+
 def single(learner: NewtonBooster) -> str:
     """One model on all labelled rows of the feature table, up to ``one_boost``."""
     rows = "one_rows as materialized (select ID as id, cast(label as double) as y, 1.0::double as w, -1 as fold, * exclude (ID, label) from model)"
@@ -237,8 +266,3 @@ whole as (
   select l.learner, n.feature, coalesce(sum(share), 0) / {k} as importance
   from (select unnest({list(learners)!r}) as learner) l cross join names n
     left join shares s on s.learner = l.learner and s.f = n.f group by all)"""
-
-
-def as_json(learner: NewtonBooster) -> str:
-    """Settings of a learner, for a comment in the SQL."""
-    return json.dumps(learner.growth().__dict__)

@@ -6,7 +6,7 @@ from catalog import boosted, queries
 from catalog.queries import CROSSES, SCORES
 from catalog.views import sql
 from scorekit.operators.encoding import CODE_MAPS
-from scorekit.plans import stacking
+from scorekit.plans import fusion, stacking
 from scorekit.plans.key_stats import cross_name
 
 V = {n: sql(n) for n in ("features", "scored", "drift", "sentinel", "strings", "dictionary", "rated")}
@@ -534,8 +534,9 @@ SQL["weighted_blend"] = _blend()
 # --- training ---------------------------------------------------------------------------------------------------------
 
 
-def _scored(columns: list[str], table: str = "scored") -> str:
-    return f"select id as ID, cast(y as int) as label, nullif(fold, -1) as fold, {', '.join(_r(c, c) for c in columns)} from {table}"
+def _scored(columns: list[str], table: str = "scored", digits: int = 6) -> str:
+    shown = ", ".join(_r(c, c, digits) for c in columns)
+    return f"select id as ID, cast(y as int) as label, nullif(fold, -1) as fold, {shown} from {table}"
 
 
 def _cv(learners: dict, **options) -> str:
@@ -562,6 +563,9 @@ SQL["cv_scores_b"] = _cv(
 )
 SQL["cv_weighted"] = _cv({"a": stacking.newton(depth=3)}, pos_weight=10.0)
 SQL["cv_focal"] = _cv(queries.learner_focal())
+SQL["stack_lr"] = (
+    f"with recursive {boosted.cross_validated(_two)}, {boosted.logistic('final', 'scored', list(_two))} {_scored(['stacked'], 'final', 4)}"
+)
 SQL["stack_gbt"] = _stack(_two, stacking.newton(depth=3))
 SQL["stack_single"] = _stack(_family, stacking.newton(depth=2))
 SQL["vote_single"] = _vote(_family)
@@ -595,3 +599,53 @@ _rated_cv = boosted.cross_validated(queries.rated_learner(), source=_rated, feat
 SQL["rated_documents_cv"] = f"""
 with recursive {_rated_cv} select id as doc_id, cast(y as int) as label, fold, {_r('a', 'a')} from scored
 """
+
+
+def _best_cut(long: str) -> str:
+    """CTE ``fitted``: model, threshold, ks, auc, f1 from ``long`` (model, label, score)."""
+    return f"""
+counted as (
+  select model, score, count(*) filter (label = 1) as pos, count(*) filter (label <> 1) as neg
+  from {long} where label is not null and score is not null group by all),
+summed as (
+  select *, sum(pos) over (partition by model) as p, sum(neg) over (partition by model) as n,
+    sum(pos) over w as up, sum(neg) over w as un
+  from counted window w as (partition by model order by score desc)),
+curved as (select *, up / p as tpr, un / n as fpr, 2 * up / (up + un + p) as f1 from summed),
+fitted as (
+  select model, (max_by({{'f': f1, 's': score}}, {{'f': f1, 's': score}})).s as threshold, max(abs(tpr - fpr)) as ks,
+    sum(pos * (n - un + neg / 2)) / (any_value(p) * any_value(n)) as auc, max(f1) as f1
+  from curved group by model)"""
+
+
+def _seven() -> str:
+    learners = fusion.base_learners()
+    meta = stacking.newton(depth=2)
+    both, variants = ["first", "second"], ["first", "variant"]
+    tables = {
+        "m1_stack_linear": ("m1", "stacked"), "m2_stack_trees": ("m2", "stacked"), "m3_stack_variants": ("m3", "stacked"),
+        "m4_vote_variants": ("scored", "(first + variant) / 2"), "m5_first": ("scored", "first"),
+        "m6_vote_both": ("scored", "(first + second) / 2"), "m7_second": ("scored", "second"),
+    }
+    long = " union all ".join(f"select id, '{m}' as model, y as label, {of} as score from {t}" for m, (t, of) in tables.items())
+    blends = ", ".join(_r(f"sum({m} * score) / sum({m})", f"blend_{m}") for m in ("ks", "auc", "f1"))
+    return f"""
+with recursive {boosted.cross_validated(learners)}, {boosted.logistic("m1", "scored", both)},
+{boosted.stacked("scored", both, meta, name="m2")}, {boosted.stacked("scored", variants, meta, name="m3")},
+long as materialized ({long}), {_best_cut("long")}
+select id as ID, cast(2 * count(*) filter (score >= threshold) > 7 as int) as vote, {blends}
+from long join fitted using (model) where label is null group by id
+"""
+
+
+SQL["seven_models"] = _seven()
+_cells = " union all ".join(f"select '{s}' as model, y_true as label, {s} as score from {V['scored']}" for s in SCORES)
+SQL["fusion_weights"] = f"""
+with long as ({_cells}), {_best_cut("long")}
+select model, {', '.join(_r(c, c) for c in ('threshold', 'ks', 'auc', 'f1'))} from fitted
+"""
+SQL["chart_files"] = f"""
+with recursive {boosted.cross_validated(queries.learner_a())}, {boosted.importances(["a"], 20)}
+select feature, {_r('importance', 'importance')}, {_r('round(100 * importance / sum(importance) over (), 2)', 'percentage')}
+from (select * from whole order by importance desc, feature limit 50)
+"""

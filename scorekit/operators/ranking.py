@@ -19,8 +19,13 @@ def score_curve(df: DataFrame, label: str, scores: Sequence[str], rows_per_range
     cells = F.inline(
         F.array(*[F.struct(F.lit(s).alias("model"), present(F.col(f"`{s}`")).alias("score")) for s in scores])
     )
+    return curve_of(df.select(F.col(label).alias("label"), cells), rows_per_range)
+
+
+def curve_of(long: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """As ``score_curve``, of rows (model, label, score)."""
     counted = (
-        df.select(F.col(label).alias("_y"), cells)
+        long.select("model", F.col("label").alias("_y"), present(F.col("score")).alias("score"))
         .filter("score is not null and _y is not null")
         .groupBy("model", "score")
         .agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg"))
@@ -31,7 +36,12 @@ def score_curve(df: DataFrame, label: str, scores: Sequence[str], rows_per_range
 def ranking_metrics(
     df: DataFrame, label: str, scores: Sequence[str], threshold: float = 0.5, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """(model, ks, auc, avg_precision, f1, precision, recall, accuracy), all from one counted table.
+    """(model, ks, auc, avg_precision, f1, precision, recall, accuracy), all from one counted table."""
+    return metrics_of(score_curve(df, label, scores, rows_per_range), threshold)
+
+
+def metrics_of(curve: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The metrics of each model of a score curve.
 
     The last four take scores from ``threshold`` up as positive. A metric that divides by zero is NULL.
     """
@@ -41,8 +51,7 @@ def ranking_metrics(
     hit = F.sum(F.when(F.col("score") >= threshold, pos).otherwise(0))
     false = F.sum(F.when(F.col("score") >= threshold, neg).otherwise(0))
     sums = (
-        score_curve(df, label, scores, rows_per_range)
-        .groupBy("model")
+        curve.groupBy("model")
         .agg(
             F.max(p_all).alias("p"),
             F.max(n_all).alias("n"),
