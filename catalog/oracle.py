@@ -217,6 +217,33 @@ SQL["feature_table"] = (
     + f" from d {_nuq_joins}"
 )
 
+SQL["feature_table_train"] = (
+    f"with {boosted.model_table('train')} select ID, coalesce(label, -1) as label, {', '.join(boosted.FEATURES)} from model"
+)
+
+SQL["merged_stats"] = f"""
+with d as (select * from {_features_with_hour()})
+select d.ID, case when A2 is not null then count(*) over (partition by A2) end as A2_rows, h.n as A2_hours, a.n as hour_A2s,
+  cast(dense_rank() over (order by {_text('B2')}) - 1 as bigint) as B2_code,
+  cast(dense_rank() over (order by {_text('E14')}) - 1 as bigint) as E14_code,
+  count(*) over (partition by {_cross('B2', 'C1')}) as count_cross_B2_and_C1
+from d left join (select A2, count(distinct hour) as n from d group by A2) h using (A2)
+  left join (select hour, count(distinct A2) as n from d group by hour) a using (hour)
+"""
+
+_probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+SQL["merged_quantiles"] = " union all ".join(
+    f"select '{c}' as feature, {p}::double as prob, {_r(f'quantile_cont({c}, {p})', 'value')} from lineitem"
+    for c in ("l_extendedprice", "l_quantity")
+    for p in _probs
+)
+
+SQL["nunique_approx"] = " union all ".join(
+    f"select '{k}' as feature, cast({k} as varchar) as value, count(distinct A2) as n, true as close "
+    f"from {_features_with_hour()} where {k} is not null group by all"
+    for k in ("A1", "B2", "hour")
+)
+
 # --- bins -------------------------------------------------------------------------------------------------------------
 
 

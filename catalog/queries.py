@@ -13,6 +13,8 @@ from scorekit.functions.scorecard import risk_score
 from scorekit.operators import binning, blending, cleaning, collinearity, drift, encoding, features, ranking, reports
 from scorekit.plans import boosting, folds, fusion, stacking
 from scorekit.plans.boosting import NewtonBooster
+from scorekit.plans.key_stats import Lookup, code, row_count
+from scorekit.plans.saved_stats import StatsSpec, StatsStore, attach_or
 from scorekit.plans.feature_table import CROSS_FIRST, CROSS_SECOND, FeatureTables, build_feature_table
 from scorekit.sources import dictionaries, models, tables
 from scorekit.workspace import fresh_path
@@ -208,6 +210,67 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.train.unionByName(built.test.withColumn("label", F.lit(features.TEST_LABEL)))
 
 
+@register
+def feature_table_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, counts and shares from train rows alone; what test rows hold beyond them is NULL."""
+    built = _built(view(spark, sf_dir, "features", spread=True).drop("A3"), fit_on="train")
+    return built.train.unionByName(built.test.withColumn("label", F.lit(features.TEST_LABEL)))
+
+
+@register
+def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of seven days of the week, counted apart, saved, two of them merged, and applied to all rows."""
+    rows = features.add_time_parts(view(spark, sf_dir, "features"))
+    spec = StatsSpec(distinct=(("A2", "hour"), ("hour", "A2")), counted=("A2",), crosses=(("B2", "C1"),), coded=("B2", "E14"))
+    store = StatsStore(spark, fresh_path(spark, "statistics"), spec)
+    for day in range(7):
+        store.add(rows.filter(F.col("day") % 7 == day), f"day{day}")
+    store.merge(["day0", "day5"], "early")
+    stats = StatsStore(spark, store.folder, spec).key_stats()
+    found = attach_or(
+        rows,
+        stats,
+        [
+            Lookup("A2", features.join_key(rows, "A2"), {"A2_rows": row_count, "A2_hours": stats.distinct("A2", "hour")}),
+            Lookup("hour", features.join_key(rows, "hour"), {"hour_A2s": stats.distinct("hour", "A2")}),
+            Lookup("B2", features.join_key(rows, "B2"), {"B2_code": code}),
+            Lookup("E14", features.join_key(rows, "E14"), {"E14_code": code}),
+            *features.cross_lookups(rows, stats, [("B2", "C1")]),
+        ],
+    )
+    return found.select("ID", "A2_rows", "A2_hours", "hour_A2s", "B2_code", "E14_code", "count_cross_B2_and_C1")
+
+
+@register
+def merged_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the counted values of seven parts of a table."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_extendedprice", "l_quantity")
+    store = StatsStore(spark, fresh_path(spark, "statistics"), StatsSpec(numbers=("l_extendedprice", "l_quantity")))
+    for part in range(1, 8):
+        store.add(rows.filter(F.col("l_linenumber") == part), str(part))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    found = [(n, p, v) for n, values in store.quantiles(probs).items() for p, v in zip(probs, values, strict=True)]
+    return rounded(spark.createDataFrame(found, "feature string, prob double, value double"))
+
+
+@register
+def nunique_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts, and whether those of merged sketches are within five standard errors (4 %, or one)."""
+    rows = features.add_time_parts(view(spark, sf_dir, "features")).select("A1", "A2", "B2", "hour", "day")
+    wanted = (("A1", "A2"), ("B2", "A2"), ("hour", "A2"))
+    store = StatsStore(spark, fresh_path(spark, "statistics"), StatsSpec(distinct=wanted, sketched=wanted))
+    for part in range(2):
+        store.add(rows.filter(F.col("day") % 2 == part), str(part))
+    exact, approx = store.key_stats(), store.approx_key_stats()
+    parts = []
+    for key, other in wanted:
+        a = exact.of(key, {"n": exact.distinct(key, other)}).select("value", "n")
+        b = approx.of(key, {"about": approx.distinct(key, other)}).select("value", "about")
+        close = F.abs(F.col("about") - F.col("n")) <= F.greatest(F.lit(1.0), 0.04 * F.col("n"))
+        parts.append(a.join(b, "value").filter("n is not null").select(F.lit(key).alias("feature"), "value", "n", close.alias("close")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- bins -------------------------------------------------------------------------------------------------------------
 
 
@@ -447,12 +510,12 @@ def weighted_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- training ---------------------------------------------------------------------------------------------------------
 
 
-def _built(source: DataFrame) -> FeatureTables:
+def _built(source: DataFrame, **options) -> FeatureTables:
     """The feature table of the rows of the features view."""
     bare = source.drop("y", "is_test")
     train = bare.filter(source["is_test"] == 0)
     test = bare.filter(source["is_test"] == 1)
-    return build_feature_table(train, test, source.filter("is_test = 0").select("ID", F.col("y").alias("label")))
+    return build_feature_table(train, test, source.filter("is_test = 0").select("ID", F.col("y").alias("label")), **options)
 
 
 def _model_tables(spark: SparkSession, sf_dir: str) -> FeatureTables:

