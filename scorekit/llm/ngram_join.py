@@ -53,9 +53,12 @@ PREFIX = 127
 #: Documents of one side of a tile.
 TILE = 512
 
-#: Bits of the bitmap that sorts out block digests of one class only. It is broadcast; when too many digests are shared it
-#: sorts out less, and the join does the rest.
-BITMAP = 1 << 25
+#: Bits of the bitmaps that sort out entries before a shuffle: so many for each key, which are counted, and at most (64 MB in
+#: each worker). Beyond that they sort out less, and the joins do the rest.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 29
+
+#: Bytes of a table of places that is broadcast, and of one role or tile in its lists.
+BROADCAST_BYTES, LISTED_BYTES = 32 << 20, 16
 
 #: Words whose hashes a task remembers; then it starts anew. Memory only, never a result.
 CACHE = 250_000
@@ -236,35 +239,61 @@ def _overlaps(docs: DataFrame, prints: DataFrame, pairs: DataFrame, n: int, perc
         ]
         return pa.table({"a": pa.array(passed, pa.int64()), "b": pa.array([b] * len(passed), pa.int64())})
 
-    texts = docs.select(*PLACE, "text").join(broadcast_if_small(roles, roles.count()), PLACE).select("uid", "roles", "text")
+    texts = docs.select(*PLACE, "text").join(_small_enough(roles, "roles"), PLACE).select("uid", "roles", "text")
     placed = texts.mapInArrow(sets, "uid long, roles array<struct<b: long, part: int>>, elements binary")
     placed = placed.select("uid", "elements", F.inline("roles"))
     return materialise(placed.groupBy("b", "part").applyInArrow(compare, "a long, b long"), "ngram-links")
 
 
-def _filtered(prints: DataFrame, shared: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """Entries (c1, sig, fill) that may be in ``shared``: a bitmap of fixed size sorts most others out before the shuffle."""
-    spark, hashed = prints.sparkSession, F.col("sig").bitwiseAND(F.lit(BITMAP - 1))
-    chunks = shared.groupBy(F.shiftright(hashed, 15).alias("chunk")).agg(
-        F.bitmap_construct_agg(hashed.bitwiseAND(F.lit(32767))).alias("bits")
+def _small_enough(places: DataFrame, listed: str) -> DataFrame:
+    """Rows of places with a list each, with a broadcast hint if their counted bytes allow it."""
+    paths = F.sum(F.octet_length(FILE) + 64 + LISTED_BYTES * F.size(listed))
+    size = places.agg(F.coalesce(paths, F.lit(0))).first()[0]
+    return F.broadcast(places) if size <= BROADCAST_BYTES else places
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap with the bit at the first digits of every ``key`` set, sized by the counted number of keys."""
+    wanted, bits = BITS_PER_KEY * keys.count(), 1 << 15
+    while bits < wanted and bits < MOST_BITS:
+        bits *= 2
+    place = F.shiftrightunsigned("key", 64 - bits.bit_length() + 1)
+    chunks = keys.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits")
     )
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    bitmap = np.zeros(bits // 8, np.uint8)
     for r in chunks.toLocalIterator():
         bitmap[r["chunk"] * 4096 : (r["chunk"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    known = spark.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys.view(_U) >> _U(64 - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _entries(prints: DataFrame, rows: Broadcast, shared: Broadcast | None = None) -> DataFrame:
+    """Entries (c1, sig, fill) of the rows that ``rows`` holds and, with ``shared``, of the digests that it holds.
+
+    Bitmaps sort out most of what is not wanted before the shuffle; what they let through is sorted out behind it. Without
+    ``shared`` only sig is given.
+    """
+    hashed = prints.select(F.xxhash64("uid").alias("key"), "c1", "sigs", "fills")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
         for batch in batches:
-            sigs, fills = batch.column(1), batch.column(2)
-            flat, lengths = sigs.flatten().to_numpy(), np.diff(sigs.offsets.to_numpy())
-            at = flat & (BITMAP - 1)
-            may = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            owner = np.repeat(batch.column(0).to_numpy(), lengths)
+            batch = batch.filter(pa.array(_held(rows.value, batch.column(0).to_numpy())))
+            sigs, fills = batch.column(2), batch.column(3)
+            flat = sigs.flatten().to_numpy()
+            if shared is None:
+                yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["sig"])
+                continue
+            may = _held(shared.value, flat)
+            owner = np.repeat(batch.column(1).to_numpy(), sigs.value_lengths().to_numpy())
             columns = [owner[may], flat[may], fills.flatten().to_numpy()[may]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["c1", "sig", "fill"])
 
-    return prints.select("c1", "sigs", "fills").mapInArrow(run, "c1 long, sig long, fill int"), known
+    return hashed.mapInArrow(run, "sig long" if shared is None else "c1 long, sig long, fill int")
 
 
 def _candidates(open_: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -344,7 +373,11 @@ def _candidates(open_: DataFrame, near: DataFrame, percent: int) -> DataFrame:
 def _tile_links(docs: DataFrame, prints: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) among the candidates of each tile, by the sets of their texts; enough of them to hold together what they
     connect, the others are not tried."""
-    wanted = tiles.select("tile", F.explode("nodes").alias("uid")).groupBy("uid").agg(F.collect_list("tile").alias("tiles"))
+    asked = materialise(tiles.select("tile", F.explode("nodes").alias("uid")), "ngram-asked")
+    reads = asked.groupBy("uid").agg(F.count("*").alias("n")).withColumn("reads", F.ceil(F.col("n") / ROLES_PER_READ))
+    read = F.pmod(F.xxhash64("tile"), F.col("reads")).alias("read")
+    wanted = join_counted(asked, reads, ["uid"], F.col("n"), asked.count()).select("uid", "tile", read)
+    wanted = wanted.groupBy("uid", "read").agg(F.collect_list("tile").alias("tiles")).drop("read")
     wanted = materialise(prints.select("uid", *PLACE).join(wanted, "uid"), "ngram-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +410,7 @@ def _tile_links(docs: DataFrame, prints: DataFrame, tiles: DataFrame, n: int, pe
                     links.append((pairs["nodes"][a], pairs["nodes"][b]))
         return pa.table({c: pa.array([link[i] for link in links], pa.int64()) for i, c in enumerate("ab")})
 
-    texts = docs.select(*PLACE, "text").join(broadcast_if_small(wanted, wanted.count()), PLACE).select("uid", "tiles", "text")
+    texts = docs.select(*PLACE, "text").join(_small_enough(wanted, "tiles"), PLACE).select("uid", "tiles", "text")
     own = texts.mapInArrow(sets, "uid long, tiles array<long>, elements binary")
     lists = ("nodes", "a", "b")
     own = own.select(F.explode("tiles").alias("tile"), "uid", "elements", *[F.lit(None).cast("array<long>").alias(c) for c in lists])
@@ -396,18 +429,22 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     classes = materialise(classes, "ngram-classes")
     names = classes.select("c1", "node", "size")
 
-    # Block digests that more than one class has, and the classes that have them.
-    entries = prints.select("c1", F.explode("sigs").alias("sig"))
-    shared = entries.groupBy("sig").agg(F.min("c1").alias("pivot"), F.max("c1").alias("last"), F.count("*").alias("n"))
-    shared = materialise(shared.filter("pivot < last").drop("last"), "ngram-blocks")
-    n_entries = prints.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
-    filtered, bitmap = _filtered(prints, shared)
-    members = join_counted(filtered, shared, ["sig"], F.col("n"), n_entries)
-    members = materialise(members.select("sig", "c1", "fill", "pivot").distinct(), "ngram-members")
-    bitmap.destroy()
+    # Block digests that more than one class has, and the classes that have them. Of equal sets one row goes on.
+    spark = docs.sparkSession
+    rows = spark.sparkContext.broadcast(_bitmap(classes.select(F.xxhash64("node").alias("key"))))
+    shared = _entries(prints, rows).groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialise(shared, "ngram-blocks")
+    known = spark.sparkContext.broadcast(_bitmap(shared.select(F.col("sig").alias("key"))))
+    n_entries = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = join_counted(_entries(prints, rows, known), shared, ["sig"], F.col("n"), n_entries)
+    members = materialise(members.select("sig", "c1", "fill").distinct(), "ngram-members")
+    rows.destroy()
+    known.destroy()
+    pivots = members.groupBy("sig").agg(F.min("c1").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    pivoted = join_counted(members, materialise(pivots, "ngram-first"), ["sig"], F.col("n"), n_entries)
 
     # First each class with the one pivot that it has most blocks in common with.
-    common = members.filter("c1 <> pivot").groupBy("c1", "pivot").agg(F.count("*").alias("blocks"))
+    common = pivoted.filter("c1 <> pivot").groupBy("c1", "pivot").agg(F.count("*").alias("blocks"))
     most = common.groupBy("c1").agg(F.max_by("pivot", F.struct("blocks", "pivot")).alias("pivot"))
     a = names.select("c1", F.col("node").alias("a"), F.col("size").alias("size_a"))
     b = names.select(F.col("c1").alias("pivot"), F.col("node").alias("b"), F.col("size").alias("size_b"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from scorekit.llm import components as components_module
 from scorekit.llm import ngram_join
 from scorekit.llm.components import components
 from tests.llm.helpers import docs_of, odd_rows, rows_of
@@ -95,17 +96,25 @@ def test_similar_sets_agree_in_as_many_blocks_as_are_asked_for(percent):
         assert len(filled) and (counted >= max(1, filled[0] - differences) or ((common & ngram_join.PREFIX) == ngram_join.PREFIX).any())
 
 
-def test_entries_of_one_block_only_are_sorted_out_first(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BITMAP", 1 << 15)
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_bitmaps_and_parts_of_any_size_change_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
+    monkeypatch.setattr(ngram_join, "BITS_PER_KEY", 10_000)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ngram_join, "ROLES_PER_READ", 2)
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(ngram_join, "TILE", 8)
     monkeypatch.setattr(ngram_join, "PAIRS_PER_PART", 3)
     rng = random.Random(2)
     base = [f"w{rng.randrange(900)}" for _ in range(60)]
     rows = [(i, " ".join(_edited(rng, base, 0.04)), "en", "s") for i in range(60)]
+    rows += [(100 + i, rows[i % 3][1], "en", "s") for i in range(40)] + [(200 + i, "copies of one text", "en", "s") for i in range(40)]
     assert _got(docs_of(spark, rows), 4, 85) == _expected(rows, 4, 85)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", rows)
     rng = random.Random(6)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
     root: dict[int, int] = {}
@@ -131,3 +140,10 @@ def test_keep_one_and_odd_rows(spark):
     ids = [r["doc_id"] for r in rows_of(kept)]
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 8] and ids.count(None) == 2
     assert _got(docs_of(spark, []), 4, 85) == [] and rows_of(ngram_join.keep_one(docs_of(spark, []))) == []
+
+
+def test_a_block_of_thousands_of_classes(spark):
+    """Short texts that differ in one word share the elements of their prefixes, all with all."""
+    rows = [(i, f"one two three four five six seven eight nine w{i}", "en", "s") for i in range(3000)]
+    got = _got(docs_of(spark, rows), 1, 80)
+    assert {r[2] for r in got} == {0} and len(got) == 3000
