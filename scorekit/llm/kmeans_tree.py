@@ -199,8 +199,10 @@ def build(
     """Fit the tree, index every row of ``rows`` (see ``usable``), and calibrate the search."""
     spark = rows.sparkSession
     entries = materialise(_entries(rows, k), "ann-entries")
-    chosen = entries.orderBy(F.xxhash64("hash"), "vec").select("vec").limit(sample).toArrow()["vec"].combine_chunks()
+    chosen = entries.orderBy(F.xxhash64("hash"), "vec").select("vec").limit(sample + calibration).toArrow()["vec"].combine_chunks()
     vectors = _matrix(chosen) if len(chosen) else np.empty((0, 1))
+    # The trial takes vectors that the tree has not seen, where there are any.
+    vectors, unseen = vectors[:sample], vectors[sample:]
     tree = fit_tree(vectors, leaf=leaf)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -216,7 +218,7 @@ def build(
     for r in counts:
         held[r["leaf"]] = r["ids"]
     index = Index(tree, placed, held, {r["leaf"]: r["n"] for r in counts}, 1, 1.0)
-    trial = vectors[: min(calibration, len(vectors))]
+    trial = np.concatenate([unseen, vectors])[:calibration] if len(unseen) else vectors[:calibration]
     if not len(trial):
         return index
     ranks = []
@@ -287,7 +289,9 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 [*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=["query", "vec", "leaves"]
             )
 
-    walked = different.select("query", "vec").mapInArrow(walk, "query long, vec array<double>, leaves array<int>")
+    # Queries are few rows that become many visits: they are dealt over tasks first.
+    tasks = max(1, min(different.count(), 2 * spark.sparkContext.defaultParallelism))
+    walked = different.select("query", "vec").repartition(tasks, "query").mapInArrow(walk, "query long, vec array<double>, leaves array<int>")
     walked = materialise(walked, "ann-walks")
     longest = walked.agg(F.max(F.size("leaves"))).first()[0] or 0
     best, start, end = None, 0, FIRST_VISITS

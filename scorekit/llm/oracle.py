@@ -63,7 +63,10 @@ views as (
   select doc_id, 1, regexp_replace(coalesce(text, ''), '\n[\x09-\x0D\x20]*\n', chr(1), 'g') from documents),
 cut as (
   select doc_id, wrapped, unnest(parts) as part, generate_subscripts(parts, 1) as n
-  from (select *, string_split(regexp_replace(body, '([.!?;:])[\x09-\x0D\x20]+', '\1' || chr(1), 'g'), chr(1)) as parts from views)),
+  -- A point between v and its number ends no sentence.
+  from (select *, string_split(replace(regexp_replace(
+      regexp_replace(body, '\b([vV])\.([\x09-\x0D\x20]+[^A-Za-z0-9.\x01]*[0-9])', '\1' || chr(2) || '\2', 'g'),
+      '([.!?;:])[\x09-\x0D\x20]+', '\1' || chr(1), 'g'), chr(2), '.'), chr(1)) as parts from views)),
 normal as (
   select doc_id, wrapped, n, trim(regexp_replace(regexp_replace(
     translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' ') as sentence

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorekit.llm.arrow import bounded_batches, bytes_of
+from scorekit.llm.text import FILE, ROW, with_locator
 from scorekit.workspace import fresh_path
 
 SEQUENCE = 2048
@@ -225,8 +226,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         if writer:
             writer.close()
 
-    order = F.col("doc_id").asc_nulls_last()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order).sortWithinPartitions(order)
+    # Rows of one id, or of none, are ordered by a hash of their place, so that many of them are many tasks and files.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("place")]
+    rows = with_locator(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = rows.select("doc_id", "text", F.xxhash64(FILE, ROW).alias("place"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
     rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return folder
 

@@ -53,3 +53,23 @@ def test_odd_rows(spark):
         (0, 1, 1, 0.0), (0, 2, 2, 1.0), (1, 1, 0, 0.0), (1, 2, 2, 1.0)]
     assert {r["query_id"] for r in got} == {0, 1, 2}
     assert rows_of(kmeans_tree.neighbours(_table(spark, []), F.lit(True))) == []
+
+
+def test_leaves_and_visitors_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "VECTORS_PER_PART", 7)
+    monkeypatch.setattr(kmeans_tree, "QUERIES_PER_PART", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(300)]
+    got = rows_of(kmeans_tree.neighbours(_table(spark, rows), F.col("vec_id") % 10 == 0, k=5, leaf=60))
+    found = 0
+    for query in range(0, 300, 10):
+        exact = dict(_exact(rows, 5, query))
+        found += sum(r["vec_id"] in exact for r in got if r["query_id"] == query)
+    assert len(got) == 150 and found >= 135
+
+
+def test_the_trial_is_of_vectors_that_the_tree_has_not_seen(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
+    index = kmeans_tree.build(kmeans_tree.usable(_table(spark, rows)), 5, sample=200, leaf=10, calibration=50)
+    assert index.recall >= kmeans_tree.RECALL and sum(index.sizes.values()) == 600

@@ -104,3 +104,20 @@ def test_every_known_sentence_survives_the_cut(spark):
     docs = [(i, f"Before this. {sentence}. After it", "en", "s") for i, (sentence, _) in enumerate(known)]
     got = {r["doc_id"]: r["sentences"] for r in rows_of(licences.scan(docs_of(spark, docs)))}
     assert got == {i: [name] for i, (_, name) in enumerate(known)}
+
+
+def test_query_and_sql_agree_on_mozilla_notices(spark, tmp_path):
+    import duckdb
+
+    from scorekit.llm import oracle, queries
+
+    notice = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+    texts = [notice, notice.replace("v. 2.0", "v.\n * 2.0"), "Rev. 2.0 v. b. see v. 3", MIT, GPL, None, ""]
+    docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r.values()) for r in rows_of(queries.REGISTRY["op4_licences"](spark, str(tmp_path))))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(oracle.SQL["op4_licences"]).fetchall())
+    assert [r[2] for r in got[:2]] == ["MPL-2.0", "MPL-2.0"]

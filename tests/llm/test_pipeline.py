@@ -30,7 +30,7 @@ def stages(spark, tmp_path_factory):
 
 def test_every_query_is_registered(spark):
     names = entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert set(registered.SQL) <= set(registered.REGISTRY)
 
 

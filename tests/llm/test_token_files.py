@@ -75,3 +75,24 @@ def test_odd_rows(spark):
     assert sorted(c for *_, c in got) == sorted(zlib.crc32(np.array(ids, "<u4").tobytes()) for *_, ids in _expected(rows))
     empty = token_files.write(docs_of(spark, []), WORDS, 2)
     assert rows_of(token_files.read_checksums(spark, empty)) == []
+
+
+def test_many_rows_of_one_id_are_many_tasks_and_files(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 else 5, " ".join(rng.choices(["a", "bc", "d"], k=rng.randint(0, 30))), "en", "s") for i in range(6000)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # it would put so few rows into one task
+    spark.conf.set(name, "false")
+    try:
+        folder = token_files.write(docs_of(spark, rows).repartition(4), WORDS, 2)
+    finally:
+        spark.conf.unset(name)
+    index = rows_of(token_files.index(spark, folder))
+    assert len(index) == 6000
+    sizes = {}
+    for r in index:
+        sizes.setdefault((r["doc_id"], r["path"]), []).append(r)
+    assert len({path for i, path in sizes if i is None}) > 2 and max(map(len, sizes.values())) < 2500
+    got = rows_of(token_files.read_checksums(spark, folder))
+    assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.array(ids, "<u4").tobytes()) for *_, ids in _expected(rows))
+    spans = sorted((r["start"], r["start"] + r["n_tokens"], r["doc_id"] is None) for r in got)
+    assert spans[0][0] == 0 and all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(spans, spans[1:]))
