@@ -676,3 +676,35 @@ with recursive {boosted.cross_validated(queries.learner_a())}, {boosted.importan
 select feature, {_r('importance', 'importance')}, {_r('round(100 * importance / sum(importance) over (), 2)', 'percentage')}
 from (select * from whole order by importance desc, feature limit 50)
 """
+
+
+def _hinge() -> str:
+    """Steps along the subgradient, the best of eight taken while it lowers the loss."""
+    x, z = "(y_prob - m.mx) / m.sx", "(even - m.mz) / m.sz"
+    return f"""
+with recursive v as (select y_prob, id % 2 as even, y_true from {V['scored']}),
+m as (select avg(y_prob) as mx, stddev_pop(y_prob) as sx, avg(even) as mz, stddev_pop(even) as sz from v),
+r as materialized (
+  select case when y_true = 1 then 1.0::double else -1 end as y, {x} as x, {z} as z, case when y_true = 1 then 5.0::double else 1 end as w
+  from v, m),
+run as (
+  select 0 as round, a, b, c, 1.0::double as step, sum(w * greatest(0, 1 - y * 0)) / count(*) as loss,
+    sum(case when 1 > 0 then -y * w else 0 end * x) / count(*) as ga, sum(-y * w * z) / count(*) as gb, sum(-y * w) / count(*) as gc, true as fell
+  from r, (select 0.0::double as a, 0.0::double as b, 0.0::double as c) group by all
+  union all
+  (with tried as (
+    select run.round, run.loss as before, k, step * pow(0.5::double, k) as s, a - step * pow(0.5::double, k) * ga as a,
+      b - step * pow(0.5::double, k) * gb as b, c - step * pow(0.5::double, k) * gc as c
+    from run, (select unnest(range(8)) as k) where fell and run.round < {queries.HINGE_ROUNDS}),
+  summed as (
+    select round, before, k, s, a, b, c, sum(w * greatest(0, 1 - y * (a * x + b * z + c))) / count(*) + 0.0005 * (a * a + b * b) as loss,
+      sum(case when 1 - y * (a * x + b * z + c) > 0 then -y * w * x else 0 end) / count(*) + 0.001 * a as ga,
+      sum(case when 1 - y * (a * x + b * z + c) > 0 then -y * w * z else 0 end) / count(*) + 0.001 * b as gb,
+      sum(case when 1 - y * (a * x + b * z + c) > 0 then -y * w else 0 end) / count(*) as gc
+    from tried, r group by round, before, k, s, a, b, c)
+  select round + 1, a, b, c, 2 * s, loss, ga, gb, gc, loss < before from (select * from summed order by loss, k limit 1)))
+select round::int as round, {_r('loss', 'loss')} from run where fell
+"""
+
+
+SQL["hinge_linear"] = _hinge()

@@ -11,7 +11,7 @@ from scorekit.functions import losses, scorecard
 from scorekit.functions.numbers import clip
 from scorekit.functions.scorecard import risk_score
 from scorekit.operators import binning, blending, cleaning, collinearity, drift, encoding, features, ranking, reports
-from scorekit.plans import boosting, folds, fusion, stacking
+from scorekit.plans import boosting, folds, fusion, linear, stacking
 from scorekit.plans.boosting import NewtonBooster
 from scorekit.plans.key_stats import Lookup, code, row_count
 from scorekit.plans.saved_stats import StatsSpec, StatsStore, attach_or
@@ -677,6 +677,19 @@ def chart_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tables.read_table(spark, path, "csv", report.schema, header="true"))
 
 
+HINGE_FEATURES = ["y_prob", "even"]
+HINGE_ROUNDS = 12
+
+
+@register
+def hinge_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear model trained on the weighted hinge: its loss after each round."""
+    scored = view(spark, sf_dir, "scored", spread=True).withColumn("even", F.col("id") % 2)
+    model = linear.fit_hinge(scored, HINGE_FEATURES, "y_true", rounds=HINGE_ROUNDS)
+    losses_ = [(n, float(x)) for n, x in enumerate(model.losses)]
+    return rounded(spark.createDataFrame(losses_, "round int, loss double"))
+
+
 RATED_FEATURES = ["lang", "source", "n_chars", "toxic"]
 
 
