@@ -5,7 +5,6 @@ from __future__ import annotations
 from catalog import boosted, queries
 from catalog.queries import CROSSES, SCORES
 from catalog.views import sql
-from scorekit.operators.encoding import CODE_MAPS
 from scorekit.plans import fusion, stacking
 from scorekit.plans.key_stats import cross_name
 
@@ -89,10 +88,25 @@ select c_custkey, c_mktsegment,
 from customer
 """
 
-for _name, _codes in CODE_MAPS.items():
-    _cases = " ".join(f"when '{word}' then {code}" for word, code in _codes.items())
+# What the categories should be coded as, in the order of their codes from 1 on; written here apart from the library's own maps.
+_EXPECTED_CODES = {
+    "gender": "男性|女性",
+    "occupation": "不便分类的其他从业人员|农、林、牧、渔业生产及辅助人员|办事人员和有关人员|企业负责人|社会生产服务和生活服务人员|"
+    "党的机关、国家机关、群众团体和社会组织、企事业单位负责人|专业技术人员|运输设备和通用工程机械操作人员及有关人员",
+    "position": "（副）厅/局级以上|个人服务工作者|（副）处级|中层管理人员|一般管理人员|一般员工",
+    "marriage": "初婚|离婚|未说明的婚姻状况|未婚|丧偶",
+    "residence": "无按揭自置|按揭自置|共有住宅|其他|租房|集体宿舍|亲属产权|未知",
+    "education": "初中|高中|大学本科|大专|其他|中专|硕士|博士|小学及以下|职高",
+    "customer_level": "高净值客户（钻石1）|高净值客户（钻石2）|高净值客户（钻石3）|财富客户（高端）|财富客户（中高端）|中端客户|大众客户",
+    "product": "存款|理财|保险|代销理财|基金|信托",
+    "asset_type": "活期存款|定期存款|理财|保险|代销理财|基金|信托",
+}
+for _name, _words in _EXPECTED_CODES.items():
+    # The bracket of one level is closed in two ways.
+    _word = f"replace({_name}, '（中高端)', '（中高端）')" if _name == "customer_level" else _name
     SQL[f"code_map_{_name}"] = (
-        f"select c_custkey, {_name}, case {_name} {_cases} else 0 end as code from {sql('categories_' + _name)}"
+        f"select c_custkey, {_name}, coalesce(list_position(string_split('{_words}', '|'), {_word}), 0)::int as code "
+        f"from {sql('categories_' + _name)}"
     )
 
 _coded = ["A1", "A2", "A3", "B1", "B2", "B3", "C1", "C2", "C3", "E14"]
@@ -103,12 +117,12 @@ SQL["label_encode"] = (
 )
 
 SQL["dict_slash"] = f"""
-select n_name as feature_name, coalesce(d.Cha_name, '/') as "中文名称"
+select n_nationkey as position, n_name as feature_name, coalesce(d.Cha_name, '/') as "中文名称"
 from nation left join {V['dictionary']} d on n_name = d.Eng_name
 """
 
 SQL["dict_self"] = f"""
-select n_name as Eng_name, coalesce(d.Cha_name, n_name) as Cha_name
+select n_nationkey as position, n_name as Eng_name, coalesce(d.Cha_name, n_name) as Cha_name
 from nation left join {V['dictionary']} d on n_name = d.Eng_name
 """
 

@@ -119,7 +119,7 @@ def dict_slash(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "dictionary")
     written = view(spark, sf_dir, "dictionary").toDF("English", "Chinese")
     written.write.option("header", True).csv(path)
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("feature_name"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("feature_name"))
     return encoding.translate_or_slash(names, dictionaries.read_headed_dictionary(spark, path))
 
 
@@ -127,7 +127,7 @@ def dict_slash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dict_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "dictionary")
     view(spark, sf_dir, "dictionary").write.csv(path)
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("Eng_name"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("Eng_name"))
     return encoding.translate_or_keep(names, dictionaries.read_plain_dictionary(spark, path))
 
 

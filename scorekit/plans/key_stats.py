@@ -408,10 +408,7 @@ def attach(df: DataFrame, stats: KeyStats, lookups: Sequence[Lookup]) -> DataFra
     if outputs:
         rows = rows.withColumns(outputs)
     rows = rows.drop(*[f"_found{i}" for i in range(len(lookups))], *texts)
-    for x in large:
-        side = stats.of(x.key, x.outputs).withColumnRenamed("value", "_key")
-        names = list(x.outputs)
-        rows = _attach_large(rows.withColumn("_key", x.text), side, names, stats).select(*rows.columns, *names)
+    rows = _attach_large(rows, large, stats) if large else rows
     return rows.select(*df.columns, *[n for x in lookups for n in x.outputs])
 
 
@@ -431,20 +428,50 @@ def _short(key: Column) -> Column:
     return F.when(F.octet_length(key) > LONG_KEY, F.concat(F.lit(NO_VALUE + "s"), F.sha2(key.cast("binary"), 256))).otherwise(key)
 
 
-def _attach_large(rows: DataFrame, side: DataFrame, names: list[str], stats: KeyStats) -> DataFrame:
-    """Join a side too large to broadcast, safe against frequent keys.
+class _Side(NamedTuple):
+    """Statistics of a key too large to broadcast; ``hot``: those of its frequent values, None if there are none."""
 
-    A key is frequent when it holds at least 1/hot_parts of the rows, so there are at most hot_parts of them. Their rows
-    meet a broadcast and are never shuffled, however alike they are; only the others go to the shuffle join. Where there
-    are frequent keys the rows are written first, as both halves read them.
-    """
-    side = side.withColumn("_key", _short(F.col("_key")))
-    rows = rows.withColumn("_key", _short(F.col("_key")))
+    lookup: Lookup
+    hot: DataFrame | None
+    cold: DataFrame
+
+
+def _side(x: Lookup, stats: KeyStats) -> _Side:
+    """A value is frequent when it holds at least 1/hot_parts of the rows, so there are at most hot_parts of them."""
+    side = stats.of(x.key, x.outputs).withColumn("_key", _short(F.col("value"))).drop("value")
     frequent = F.col("_n") >= stats.rows / stats.hot_parts
     hot, cold = side.filter(frequent).drop("_n"), side.filter(~frequent).drop("_n")
-    if hot.isEmpty():
-        return rows.join(cold, "_key", "left")
-    rows = materialise(rows, "key-rows")
-    met = rows.join(F.broadcast(hot), "_key")
-    rest = rows.join(F.broadcast(hot.select("_key")), "_key", "left_anti").join(cold, "_key", "left")
+    return _Side(x, None, cold.unionByName(hot)) if hot.isEmpty() else _Side(x, hot, cold)
+
+
+def _attach_large(rows: DataFrame, large: Sequence[Lookup], stats: KeyStats) -> DataFrame:
+    """Join sides too large to broadcast, safe against frequent keys.
+
+    Rows of frequent keys meet a broadcast and are never shuffled, however alike they are; only the others go to the shuffle
+    join. Both halves read the rows, so these are written first. Where several keys have frequent values the rows are
+    written once; what is carried from key to key is their place and the keys alone, and the outputs come back in one join.
+    """
+    sides = [_side(x, stats) for x in large]
+    skewed = [s for s in sides if s.hot is not None]
+    if len(skewed) < 2:
+        for s in sides:
+            keyed = rows.withColumn("_key", _short(s.lookup.text))
+            rows = _looked_up(keyed if s.hot is None else materialise(keyed, "key-rows"), s).drop("_key")
+        return rows
+    keys = {f"_key{i}": _short(s.lookup.text) for i, s in enumerate(sides)}
+    whole = materialise(rows.withColumns(keys), "key-rows")
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    narrow = whole.select(*place, *keys)
+    for i, s in enumerate(sides):
+        found = _looked_up(narrow.withColumnRenamed(f"_key{i}", "_key"), s).drop("_key")
+        narrow = materialise(found, "key-places")
+    return whole.select(*rows.columns, *place).join(narrow, ["_file", "_row"]).drop("_file", "_row")
+
+
+def _looked_up(rows: DataFrame, side: _Side) -> DataFrame:
+    """``rows`` (with ``_key``) and the outputs of one side."""
+    if side.hot is None:
+        return rows.join(side.cold, "_key", "left")
+    met = rows.join(F.broadcast(side.hot), "_key")
+    rest = rows.join(F.broadcast(side.hot.select("_key")), "_key", "left_anti").join(side.cold, "_key", "left")
     return met.unionByName(rest)

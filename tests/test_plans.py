@@ -12,6 +12,7 @@ from catalog.views import view
 from scorekit.functions import losses
 from scorekit.functions.scorecard import risk_score, willingness_score
 from scorekit.operators import cleaning, encoding, features, ranking
+from scorekit.plans.feature_table import build_feature_table
 from scorekit.plans.key_stats import Lookup, attach, fit_key_stats
 from scorekit.functions.text import as_text
 from scorekit.workspace import shared_dir
@@ -74,6 +75,19 @@ def test_three_ways_to_look_up_give_one_result(spark):
     assert codes["\x00"] == 0 and codes["\x00\x00a"] == 1 and codes["a"] == 2 and codes["nan"] == codes[None] == 3
 
 
+def test_frequent_keys_of_many_columns_write_the_wide_rows_once(spark):
+    source = view(spark, SMOKE, "features")
+    bare = source.drop("y", "is_test")
+    parts = (bare.filter(source["is_test"] == 0), bare.filter(source["is_test"] == 1), source.select("ID", F.col("y").alias("label")))
+    plain = build_feature_table(*parts)
+    written = lambda: {p.name for p in Path(f"{shared_dir(spark)}/scorekit").glob("key-rows-*")}
+    before = written()
+    skewed = build_feature_table(*parts, literal_values=0, broadcast_budget=0, hot_parts=50)
+    assert len(written() - before) == 1
+    for a, b in ((plain.train, skewed.train), (plain.test, skewed.test)):
+        assert a.count() == b.count() and a.exceptAll(b.select(*a.columns)).count() == 0
+
+
 def test_codes_of_texts_that_differ_behind_a_long_prefix(spark):
     df = spark.range(3000).select(F.concat(F.lit("p" * 300), F.lpad(F.col("id").cast("string"), 5, "0")).alias("t"), "id")
     coded = encoding.label_encode(df, ["t"], suffix="_code", codes_per_bucket=200, broadcast_budget=0)
