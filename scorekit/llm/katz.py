@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorekit.llm.arrow import bounded_batches, bytes_of
@@ -439,7 +439,9 @@ def _bucketed(groups: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = groups.write.bucketBy(buckets, "gid").option("compression", "zstd").option("path", path)
     writer.format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # its files stay, and the frame knows its buckets
+    return table
 
 
 def _stored(parcels: DataFrame, folder: str) -> DataFrame:
@@ -447,6 +449,12 @@ def _stored(parcels: DataFrame, folder: str) -> DataFrame:
     return parcels.sparkSession.read.schema(PARCELS + ", model boolean").parquet(folder)
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Drop the answers of a stored level; its model rows stay."""
+    answers = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/model=false")
+    answers.getFileSystem(spark._jsc.hadoopConfiguration()).delete(answers, True)
+
+
 def fit_and_score(
     docs: DataFrame,
     order: int = 2,
@@ -480,6 +488,10 @@ def fit_and_score(
             contexts = _stored(_contexts(groups, added, before, k, d, buckets[k - 2]), f"{folder}/weights-{k}")
             answers = _answers(added, before, contexts)
             if k < order:
-                before = write_compact(_next_scores(groups, k, answers, d), "katz-scores")
+                used, before = before, write_compact(_next_scores(groups, k, answers, d), "katz-scores")
+                # The next level reads nothing of this one but its scores.
+                release(spark, used)
+                _forget(spark, f"{folder}/counts-{k}")
+                _forget(spark, f"{folder}/weights-{k}")
         release(spark)
     return _documents(groups, order, answers, d, first, tokens, types)
