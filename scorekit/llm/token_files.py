@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import json
+import operator
 import os
 import uuid
 import zlib
@@ -126,7 +127,7 @@ class ChunkEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Plain words are encoded together, each ends at its only token with a word end; others one by one."""
-        plain = [word for word in words if self._plain(word)]
+        plain = [word for word in words if word.isalpha() or self._plain(word)]
         if plain:
             encoding = self.tokenizer.encode(b" ".join(plain).decode("utf-8"), add_special_tokens=False)
             ids = np.array(encoding.ids, self.dtype)
@@ -140,10 +141,19 @@ class ChunkEncoder:
         if not self.by_words:
             return self._library([text.decode("utf-8") for text in texts])
         split = [self._chunks(text) for text in texts]
-        parts = {chunk: self._parts(chunk) for chunk in self.chunks.lacking(set().union(*split))}
-        self._learn(self.words.lacking({word for both in parts.values() for word in both}))
-        word = self.words.young
-        self.chunks.young.update((chunk, word[stem] + word[tail]) for chunk, (stem, tail) in parts.items())
+        whole, chunks, stems, tails = [], [], [], []
+        for chunk in self.chunks.lacking(set().union(*split)):
+            stem, tail = (chunk, b"") if chunk.isalpha() else self._parts(chunk)
+            if tail:
+                chunks.append(chunk)
+                stems.append(stem)
+                tails.append(tail)
+            else:
+                whole.append(chunk)
+        self._learn(self.words.lacking(set(whole).union(stems, tails)))
+        word = self.words.young.__getitem__
+        self.chunks.young.update(zip(whole, map(word, whole)))
+        self.chunks.young.update(zip(chunks, map(operator.add, map(word, stems), map(word, tails))))
         get = self.chunks.young.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
