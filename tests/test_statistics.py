@@ -218,3 +218,10 @@ def test_nan_is_a_missing_score(spark):
     assert sum(column(reports.score_bands(df, "p", "y", 0.5), "total")) == 2
     assert column(binning.bin_by_width(df, "p", 2), "bin", "id") == [2, 1, None]
     assert column(binning.bin_by_edges(df, "p", [0.0, 0.5, 1.0], outside="open"), "bin", "id") == [2, 1, None]
+
+
+def test_bands_beyond_a_report_are_refused(spark):
+    df = scored(spark, [(0, 0.0), (1, 1.0)])
+    with pytest.raises(ValueError, match="at most"):
+        reports.score_bands(df, "p", "y", 1 / (2 * reports.MAX_BANDS))
+    assert reports.score_bands(df, "p", "y", 0.001).count() == 1001
