@@ -173,3 +173,31 @@ def test_settings_are_checked():
         boosting.NewtonBooster(loss="other").growth()
     with pytest.raises(ValueError):
         boosting.NewtonBooster(bins=257).growth()
+
+
+def test_rows_are_stored_in_blocks(spark):
+    x, y, fold = _data(5000)
+    edges = histograms.fit_edges(_rows(spark, x, y, fold), "x", 4, 16)
+    blocks = histograms.code_rows(_rows(spark, x, y, fold).coalesce(1), "x", edges, 2, 0.5).collect()
+    assert sum(r["n"] for r in blocks) == 5000 and len(blocks) <= 3
+    codes = np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(4, -1) for r in blocks], axis=1)
+    assert sorted(map(tuple, codes.T.tolist())) == sorted(map(tuple, histograms.codes_of(x, edges).tolist()))
+    assert {len(r["margins"]) // r["n"] for r in blocks} == {16}
+
+
+@pytest.mark.parametrize("slots", [1, 3])
+@pytest.mark.parametrize("scale", [5, 1 << 40])
+def test_features_counted_together_give_the_sums_of_each(slots, scale):
+    rng = np.random.default_rng(slots)
+    held, n = [32, 3, 1, 32, 40, 5], 700
+    columns = np.array([rng.integers(0, k, n) for k in held], np.uint8)
+    use = np.flatnonzero(rng.random(n) < 0.8)
+    slot, g, h = rng.integers(0, slots, len(use)), rng.integers(-scale, scale, len(use)).astype(float), rng.integers(0, scale, len(use)).astype(float)
+    joint = histograms._joint(held)
+    assert sorted(f for own in joint for f in own) == list(range(6)) and len(joint) < 6
+    total, want = np.zeros((slots, 6, 64, 3), np.int64), np.zeros((slots, 6, 64, 3), np.int64)
+    histograms._add_cells(total, [(own, histograms._numbers(columns, own, held)) for own in joint], held, slot, use, g, h)
+    for s, row, a, b in zip(slot, use, g, h, strict=True):
+        for f in range(6):
+            want[s, f, columns[f, row]] += [int(a), int(b), 1]
+    assert np.array_equal(total, want)
