@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -24,6 +25,10 @@ def _corpus(n: int, seed: int) -> list[tuple]:
     return out
 
 
+def _aside(doc_id: int) -> bool:
+    return zlib.crc32(f"aside {doc_id}".encode()) % toxicity.ASIDE == 0
+
+
 def _labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -147,3 +152,38 @@ def test_rows_without_an_id_are_held_out(spark):
     with pytest.warns(UserWarning, match="one class"):
         model = toxicity.fit(docs, spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int"))
     assert not any(r["rejected"] for r in rows_of(toxicity.scores(docs, model)))
+
+
+def test_all_labelled_rows_teach_whatever_the_size_of_a_shard(spark):
+    """Counts are those of all training rows, however few a shard holds, and the network learns over shards."""
+    rows = _corpus(900, 6)
+    docs, labels = docs_of(spark, rows), _labels(spark, [(i, 1, int(i % 5 == 0)) for i, *_ in rows])
+    model = toxicity.fit(docs, labels, train_rows=200)
+    teaching = [r for r in rows_of(docs.withColumn("held", toxicity.held_out())) if not r["held"]]
+    counts = {}
+    for r in teaching:
+        if not _aside(r["doc_id"]):
+            for b in set(toxicity.hashed(r["text"].encode()).tolist()):
+                counts[b] = counts.get(b, 0) + 1
+    assert model.buckets.tolist() == sorted(b for b, n in counts.items() if n >= toxicity.LEAST_TEXTS)
+    got = rows_of(toxicity.scores(docs_of(spark, _corpus(200, 7)), model))
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 5 == 0) for r in got]) >= 0.9
+
+
+def test_thresholds_from_counted_scores_equal_those_from_rows():
+    rng = np.random.default_rng(3)
+    scores, labels = rng.integers(0, 30, 500) / 30, rng.integers(0, 2, 500).astype(float)
+    cells, where = np.unique(scores, return_inverse=True)
+    hits, n = np.bincount(where, labels), np.bincount(where).astype(float)
+    assert toxicity.best_threshold(cells, hits, n) == toxicity.best_threshold(scores, labels)
+
+
+def test_a_text_longer_than_a_piece_teaches_whole(trained, monkeypatch):
+    _, model = trained
+    texts = [model.rows(toxicity.hashed(t.encode())) for _, t, *_ in _corpus(8, 8)]
+    labels = np.array([1.0, 0, 0, 0, 0, 1, 0, 0])
+    whole, touched, change = toxicity._gradients(model, texts, labels)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    pieces, again, changed = toxicity._gradients(model, texts, labels)
+    assert all(np.allclose(a, b) for a, b in zip(whole, pieces, strict=True))
+    assert np.array_equal(touched, again) and np.allclose(change, changed)
