@@ -201,3 +201,40 @@ def test_features_counted_together_give_the_sums_of_each(slots, scale):
         for f in range(6):
             want[s, f, columns[f, row]] += [int(a), int(b), 1]
     assert np.array_equal(total, want)
+
+
+def test_learners_with_the_same_bins_share_scans_and_trees_stay_the_same(spark, vectors, monkeypatch):
+    scans, sums = [], histograms._sums
+    monkeypatch.setattr(histograms, "_sums", lambda *args: scans.append(args[3]) or sums(*args))
+    data = folds.assemble(vectors, ["a", "b", "c", "d"], ["ID", "label", "fold"])
+    learners = {
+        "flat": boosting.NewtonBooster(rounds=7, depth=1, start=0.5),
+        "deep": boosting.NewtonBooster(rounds=6, depth=4, step=0.4, l2=0.0),
+        "fine": boosting.NewtonBooster(rounds=2, depth=2, bins=64),
+    }
+    alone = {n: [m.ensemble for m in learner.fit_folds(data, 3, "fold")] for n, learner in learners.items()}
+    apart, before = len(scans), scans.clear()
+    models = folds.fit_folds(data, learners, 3)
+    assert before is None and list(models) == list(learners) and len(scans) < apart
+    shown = lambda e: (e.start, [t.as_lists() for t in e.trees])
+    for n in learners:
+        assert [shown(m.ensemble) for m in models[n]] == [shown(e) for e in alone[n]]
+        assert all(len(m.trees) == learners[n].growth().rounds and m.growth() == learners[n].growth() for m in models[n])
+    # The root of both learners in one scan, the levels below only of the deeper one.
+    assert {m // 3 for m, _ in scans[0]} == {0, 1} and {m // 3 for m, _ in scans[1]} == {1}
+
+
+def test_counts_of_several_chunks_add_up(monkeypatch):
+    rng = np.random.default_rng(5)
+    held, n = [32, 40, 3, 17], 1000
+    columns = np.array([rng.integers(0, k, n) for k in held], np.uint8)
+    slot, g, h = rng.integers(0, 2, n), rng.integers(-9, 9, n).astype(float), rng.integers(0, 9, n).astype(float)
+    joint = histograms._joint(held)
+    kept, whole, total = histograms._no_cells(joint, held, 2), np.zeros((2, 4, 64, 3), np.int64), np.zeros((2, 4, 64, 3), np.int64)
+    for part in (slice(0, 600), slice(600, n)):
+        counted = [histograms._numbers(columns[:, part], own, held) for own in joint]
+        histograms._count(kept, counted, slot[part], np.arange(len(g[part])), g[part], h[part])
+    histograms._spread(total, kept, joint, held)
+    histograms._add_cells(whole, [(own, histograms._numbers(columns, own, held)) for own in joint], held, slot, np.arange(n), g, h)
+    assert np.array_equal(total, whole) and total[..., 2].sum() == 4 * n
+    assert histograms._scans([0, 1, 3], [Growth(depth=d) for d in (2, 5, 2, 2)], histograms.CELLS_AT_ONCE // 8) == [[0], [1], [3]]
