@@ -6,19 +6,21 @@ stand in front of it is the last token of this prefix. Whether two tokens may st
 their merges from the latest on: no merge across the border may have been due earlier. Back-pointers give the ids. The
 time is linear in the length of a word, however long it is, and no merge queue is needed.
 
-Whole texts are encoded where they lie, batch by batch; nothing is shuffled. Defined results. NULL text: empty, no ids.
-NULL doc_id, repeated rows: encoded like any other. Empty table: no rows. Other columns stay as they are; ``ids`` and
-``n_tokens`` (``decoded`` when decoding) replace columns of the same name.
+Whole texts are encoded where they lie, batch by batch; nothing is shuffled. The words of a batch that are new are encoded
+in sorted order: what was found for the prefixes that a word shares with the one before it holds for both.
+
+Defined results. NULL text: empty, no ids. NULL doc_id, repeated rows: encoded like any other. Empty table: no rows. Other
+columns stay as they are; ``ids`` and ``n_tokens`` (``decoded`` when decoding) replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,16 +31,30 @@ from scorekit.llm.arrow import bounded_batches, give_back, texts_of, with_column
 
 #: White space as the public tokenizers understand it: the Unicode property.
 _S = r"\t-\r \x85\xA0  -     　"
-#: The word pattern of the byte-level vocabularies (fixed value).
-PATTERN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S + r"])|[" + _S + "]+"
-)
+#: The word pattern of the byte-level vocabularies (fixed value), for given classes of letters and digits.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^" + _S + r"{L}{N}]+|[" + _S + r"]+(?![^" + _S + r"])|[" + _S + "]+"
+PATTERN = regex.compile(_WORDS.format(L=r"\p{L}", N=r"\p{N}"))
+#: Characters beyond the basic plane; texts without them are cut by the standard library, which is faster.
+BEYOND = re.compile("[\U00010000-\U0010FFFF]")
 #: Between two characters that are not white space, a single blank always starts a new word: texts may be cut there.
 SAFE_BLANK = regex.compile(r"(?<=[^" + _S + r"]) (?=[^" + _S + "])")
 
-#: Entries that a task keeps of what it has seen, then it starts anew: words, pieces between blanks, token pairs. Memory
-#: only (about 200 bytes an entry), never a result.
-WORDS, PIECES, PAIRS = 250_000, 100_000, 200_000
+#: Entries that a task keeps of what it has seen, then it starts anew: words and token pairs. Memory only (about 200 bytes
+#: an entry), never a result.
+WORDS, PAIRS = 400_000, 200_000
+#: Characters that are cut into words together; longer texts are taken in pieces. Memory only, never a result.
+PIECES = 4_000_000
+
+
+@lru_cache(maxsize=1)
+def basic_pattern() -> re.Pattern:
+    """``PATTERN`` for texts of the basic plane, its classes written out as ranges."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ranges = {}
+    for kind in "LN":
+        runs = regex.findall(rf"\p{{{kind}}}+", plane)
+        ranges[kind] = "".join(re.escape(run[0]) + "-" + re.escape(run[-1]) for run in runs)
+    return re.compile(_WORDS.format(**ranges))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -86,16 +102,42 @@ class PrefixBpe:
             self.merge[a, b] = rank
             if self.born[whole] < 0:
                 self.born[whole], self.parts[whole] = rank, (a, b)
-        self.automaton = ahocorasick.Automaton()
-        for i, token in raw.items():
-            if self.born[i] < 0 or self._reachable(i):
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self.automaton.make_automaton()
+        self._build_automaton({token: i for i, token in raw.items() if self.born[i] < 0 or self._reachable(i)})
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._fits = _Cache(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS)
-        self._words = _Cache(self._encode_word, WORDS)
-        self._after_blank = _Cache(self._encode_after_blank, PIECES)
-        self.remembered = (self._fits, self._words, self._after_blank)
+        self._next = _Cache(self._step, PAIRS)
+        self._words: dict[str, bytes] = {}
+        self.remembered = (self._fits, self._next, self._words)
+
+    def _build_automaton(self, tokens: dict[bytes, int]) -> None:
+        """States are the prefixes of tokens; ``suffixes`` has the tokens (with lengths) that each ends with, longest first."""
+        edges, level, own = {}, {b"": 0}, [-1]
+        self._edges, self._shorter, self.suffixes = edges, [0], [()]
+        by_length = sorted(tokens, key=len)
+        for size in range(1, len(by_length[-1]) + 1 if by_length else 1):
+            before, level = level, {}
+            by_length = [t for t in by_length if len(t) >= size]
+            for token in by_length:
+                prefix = token[:size]
+                if prefix not in level:
+                    node = before[token[: size - 1]]
+                    state = level[prefix] = len(own)
+                    own.append(tokens.get(prefix, -1))
+                    # The states one level up are complete, so the longest shorter suffix is found through them.
+                    shorter = self._step(self._shorter[node] << 8 | prefix[-1]) if node else 0
+                    edges[node << 8 | prefix[-1]] = state
+                    self._shorter.append(shorter)
+                    rest = self.suffixes[shorter]
+                    self.suffixes.append(((own[state], size), *rest) if own[state] >= 0 else rest)
+
+    def _step(self, at: int) -> int:
+        """The state that follows a state (``at >> 8``) and a byte: the longest suffix that is a prefix of a token."""
+        state, byte = at >> 8, at & 255
+        while (found := self._edges.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self._shorter[state]
+        return found
 
     def _reachable(self, token: int) -> bool:
         """A token is its own encoding if its two parts would not have merged otherwise before."""
@@ -124,54 +166,78 @@ class PrefixBpe:
             else:
                 return True
 
-    def _encode_word(self, word: str) -> bytes:
-        data = word.encode("utf-8").decode("latin-1")
-        last = [0] * (len(data) + 1)
-        length = [0] * (len(data) + 1)
-        fits = self._fits
-        for end, (token, n) in self.automaton.iter(data):
-            end += 1
-            if length[end]:
-                continue
-            start = end - n
-            if start == 0 or fits[last[start] << 32 | token]:
-                last[end], length[end] = token, n
-        ids, end = [], len(data)
-        while end:
-            ids.append(last[end])
-            end -= length[end]
-        ids.reverse()
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _encode_words(self, text: str) -> bytes:
-        return b"".join(map(self._words.__getitem__, PATTERN.findall(text)))
-
-    def _encode_after_blank(self, piece: str) -> bytes | None:
-        """Ids of a blank and ``piece``; None if white space meets the blank or the end, where no cut is safe."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        return self._encode_words(" " + piece)
-
-    def _encode_plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *pieces = text.split(" ")
-        try:
-            if first and not first[-1].isspace():
-                return self._encode_words(first) + b"".join(map(self._after_blank.__getitem__, pieces))
-        except TypeError:
-            pass  # one of the pieces is None
-        first, *pieces = SAFE_BLANK.split(text)
-        return self._encode_words(first) + b"".join(self._encode_words(" " + piece) for piece in pieces)
+    def _learn(self, words: set[str]) -> None:
+        """Encode words in the order of their bytes; prefixes shared with the word before are not worked out again."""
+        known, fits, following, suffixes = self._words, self._fits, self._next, self.suffixes
+        last, length, states, before = [0], [0], [0], b""
+        for data in sorted([word.encode() for word in words]):
+            shared = 0
+            for a, b in zip(before, data, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], length[shared + 1 :], states[shared + 1 :]
+            before, size, state = data, len(data), states[shared]
+            for end in range(shared + 1, size + 1):
+                state = following[state << 8 | data[end - 1]]
+                for token, n in suffixes[state]:
+                    if n == end or fits[last[end - n] << 32 | token]:
+                        last.append(token)
+                        length.append(n)
+                        states.append(state)
+                        break
+            ids, end = [], size
+            while end:
+                ids.append(last[end])
+                end -= length[end]
+            ids.reverse()
+            known[data.decode()] = pack(f"<{len(ids)}I", *ids)
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        words = [(PATTERN if BEYOND.search(t) else basic_pattern()).findall(t) for t in texts]
+        distinct = set().union(*words)
+        new = distinct.difference(self._words)
+        if len(self._words) + len(new) > WORDS:
+            self._words.clear()
+            new = distinct
+        self._learn(new)
+        return [b"".join(map(self._words.__getitem__, w)) for w in words]
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text cut at special tokens, which are parts of their own, and where it is long at safe blanks."""
+        special = self.special and any(s in text for s in self.special)
+        for part in self.special_pattern.split(text) if special else [text]:
+            start = 0
+            while len(part) - start > PIECES and (blank := SAFE_BLANK.search(part, start + PIECES)):
+                yield part[start : blank.start()]
+                start = blank.start()
+            yield part[start:] if start else part
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers. Special tokens in a text are themselves."""
+        ids: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+
+        def work_off() -> None:
+            plain = iter(self._encode_plain([part for _, part in waiting if part not in self.special]))
+            for i, part in waiting:
+                ids[i].append(self.special[part].to_bytes(4, "little") if part in self.special else next(plain))
+            waiting.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for part in self._parts(text):
+                if size + len(part) > PIECES:
+                    work_off()
+                    size = 0
+                waiting.append((i, part))
+                size += len(part)
+        work_off()
+        return [b"".join(parts) for parts in ids]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers. Special tokens in the text are themselves."""
-        if not self.special or not any(s in text for s in self.special):
-            return self._encode_plain(text)
-        return b"".join(
-            self.special[part].to_bytes(4, "little") if part in self.special else self._encode_plain(part)
-            for part in self.special_pattern.split(text)
-        )
+        """Ids of one text; see ``encode_all``."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -194,7 +260,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
         for batch in batches:
-            ids = [bpe.encode(t) for t in texts_of(batch, text)]
+            ids = bpe.encode_all(texts_of(batch, text))
             new = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
             if decoded:
                 new["decoded"] = pa.array(map(bpe.decode, ids), pa.string())

@@ -74,3 +74,36 @@ def test_odd_rows(spark, both):
     assert sorted(hashlib.sha256(r["ids"]).hexdigest() for r in got) == want
     assert all(r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["ids"]) // 4 and r["score"] == "y" for r in got)
     assert rows_of(bpe.encode(docs_of(spark, []), PATH, decoded=True)) == []
+
+
+def test_many_texts_at_once_in_any_pieces(both, monkeypatch):
+    own, library = both
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 60))) for _ in range(300)] + ["", " ".join(["the", "cat😀"] * 50)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [_ids(i) for i in own.encode_all(texts)] == want
+    for name, value in (("PIECES", 7), ("WORDS", 5), ("PAIRS", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    assert [_ids(i) for i in bpe.PrefixBpe(PATH).encode_all(texts)] == want
+    assert own.encode_all([]) == []
+
+
+def test_shared_prefixes_are_worked_out_once(both):
+    class Counting(dict):
+        steps = 0
+
+        def __missing__(self, key):
+            Counting.steps += 1
+            return bpe_again._step(key)
+
+    bpe_again, library = bpe.PrefixBpe(PATH), both[1]
+    bpe_again._next = Counting()
+    text = " ".join("antidisestablishmentarian" + a + b for a in "abcdefghij" for b in "klmnopqrst")
+    assert _ids(bpe_again.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert Counting.steps < len(text) / 5
+
+
+def test_the_pattern_of_the_basic_plane_cuts_alike():
+    for c in [*range(0xD800), *range(0xE000, 0x10000)]:
+        text = f"a{chr(c)}1 {chr(c)}{chr(c)}b {chr(c)}"
+        assert bpe.basic_pattern().findall(text) == bpe.PATTERN.findall(text)
