@@ -402,8 +402,9 @@ def _pass(rows: DataFrame, learner: _Learner, epoch: int, shards: int) -> None:
 
     dealt = rows.select(F.pmod("mixed", F.lit(shards)).cast("int").alias("shard"), F.xxhash64("mixed", F.lit(epoch)).alias("mixed"), "toxic", "ids")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "mixed")
-    changes = dealt.groupBy("shard").applyInArrow(run, "part int, shard int, body binary")
-    found = changes.groupBy("part").applyInArrow(add, "part int, body binary").collect()
+    # Most shuffle partitions hold no shard and no part; each task of each pass would leave its record on the driver.
+    changes = dealt.groupBy("shard").applyInArrow(run, "part int, shard int, body binary").coalesce(4 * SHARDS)
+    found = changes.groupBy("part").applyInArrow(add, "part int, body binary").coalesce(SHARDS).collect()
     shared.destroy()
     for r in found:
         body = np.frombuffer(r["body"], np.float64)

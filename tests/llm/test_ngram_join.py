@@ -147,3 +147,32 @@ def test_a_block_of_thousands_of_classes(spark):
     rows = [(i, f"one two three four five six seven eight nine w{i}", "en", "s") for i in range(3000)]
     got = _got(docs_of(spark, rows), 1, 80)
     assert {r[2] for r in got} == {0} and len(got) == 3000
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """A session whose shuffles have 64 partitions, none of them put together afterwards."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_a_bitmap_takes_few_jobs_however_many_partitions(spark, many_partitions):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as key")
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    bitmap = ngram_join._bitmap(keys)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert ngram_join._held(bitmap, keys.toArrow()["key"].to_numpy()).all()
+    # One for each piece, and some for the count and the shuffle.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 12
+
+
+def test_rounds_over_few_links_have_few_tasks(spark, many_partitions):
+    edges = spark.range(1, 400).selectExpr("id as a", "id - 1 as b")
+    most = spark.sparkContext.defaultParallelism
+    assert components_module._large_star(edges, 399).rdd.getNumPartitions() <= most
+    assert components_module._small_star(edges, 399).rdd.getNumPartitions() <= most
