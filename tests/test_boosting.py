@@ -4,6 +4,7 @@ import itertools
 import json
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -238,3 +239,27 @@ def test_counts_of_several_chunks_add_up(monkeypatch):
     histograms._add_cells(whole, [(own, histograms._numbers(columns, own, held)) for own in joint], held, slot, np.arange(n), g, h)
     assert np.array_equal(total, whole) and total[..., 2].sum() == 4 * n
     assert histograms._scans([0, 1, 3], [Growth(depth=d) for d in (2, 5, 2, 2)], histograms.CELLS_AT_ONCE // 8) == [[0], [1], [3]]
+
+
+@pytest.mark.parametrize("bounds, ordered", [(1024, 1 << 20), (4, 10), (2, 0)])
+@pytest.mark.parametrize("sample", [1, 700, 1 << 20])
+def test_edges_are_those_of_all_rows_whatever_the_sample(spark, monkeypatch, sample, bounds, ordered):
+    rng = np.random.default_rng(3)
+    n = 2003
+    x = np.stack([
+        rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n),
+        np.where(rng.random(n) < 0.9, 7.0, rng.random(n)),
+        rng.integers(0, 3, n) - 1.0,
+        np.where(np.arange(n) % 5 == 0, -np.inf, np.where(np.arange(n) % 5 == 1, np.inf, rng.random(n))),
+        np.where(np.arange(n) % 2 == 0, 0.0, -0.0),
+        np.where(np.arange(n) == 77, np.nan, rng.random(n)),
+        np.sort(rng.random(n)),
+    ], axis=1)
+    monkeypatch.setattr(histograms, "BOUNDS", bounds)
+    monkeypatch.setattr(histograms, "ORDERED_VALUES", ordered)
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    found = histograms.fit_edges(rows, "x", x.shape[1], 16, sample_values=sample)
+    for f, edges in enumerate(found):
+        v = np.sort(x[:, f])
+        at = v[np.arange(1, 16) * n // 16]
+        assert edges.tolist() == np.unique(at[at < v[-1]]).tolist()
