@@ -263,3 +263,16 @@ def test_edges_are_those_of_all_rows_whatever_the_sample(spark, monkeypatch, sam
         v = np.sort(x[:, f])
         at = v[np.arange(1, 16) * n // 16]
         assert edges.tolist() == np.unique(at[at < v[-1]]).tolist()
+
+
+def test_blocks_and_row_groups_are_bounded_by_bytes(spark, tmp_path):
+    rows = spark.range(40_000).select(
+        F.lit(1.0).alias("y"), F.lit(1.0).alias("weight"), F.lit(0).alias("fold"), F.array(F.rand(1), F.rand(2)).alias("x")
+    )
+    blocks = histograms.code_rows(rows.coalesce(1), "x", [np.array([0.5])] * 2, 90, 0.0)
+    blocks.write.options(**histograms.GROUPS).parquet(f"{tmp_path}/blocks")
+    sizes = [r["n"] * (22 + 90 * 8) for r in spark.read.parquet(f"{tmp_path}/blocks").collect()]
+    assert sum(sizes) == 40_000 * 742 and max(sizes) <= histograms.BLOCK_BYTES
+    for file in tmp_path.glob("blocks/*.parquet"):
+        found = pq.ParquetFile(file).metadata
+        assert max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < 16 << 20 and found.num_row_groups > 1
