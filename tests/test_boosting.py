@@ -276,3 +276,16 @@ def test_blocks_and_row_groups_are_bounded_by_bytes(spark, tmp_path):
     for file in tmp_path.glob("blocks/*.parquet"):
         found = pq.ParquetFile(file).metadata
         assert max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < 16 << 20 and found.num_row_groups > 1
+
+
+def test_a_fit_computes_its_rows_once(spark, vectors):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = vectors.select("ID", "label", "a", "b").mapInArrow(counted, "ID long, label int, a double, b double")
+    boosting.NewtonBooster(rounds=2, depth=2).fit(folds.assemble(rows, ["a", "b"], ["ID", "label"]))
+    assert seen.value == vectors.count()

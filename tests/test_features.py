@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from conftest import column
 from scorekit.functions.timeparts import day_segment
 from scorekit.operators import encoding, features
+from scorekit.plans import key_stats
 from scorekit.plans.feature_table import FeatureSpec, build_feature_table
 
 # The same results must come out whichever way the statistics are joined back.
@@ -166,3 +167,16 @@ def test_spec_is_limited_to_present_columns():
     spec = FeatureSpec().limited_to(["ID", "A1", "B2"])
     assert spec.categories == ("A1", "B2") and spec.crosses == [("B2", "A1")]
     assert spec.distinct_sets == (("hour", ()),) and spec.shares == ("hour",)
+
+
+def test_long_chains_of_lookups_are_compiled_in_parts(spark):
+    names = [f"k{i}" for i in range(11)]
+    df = spark.range(400).select("id", *[(F.col("id") % (20 + i)).cast("string").alias(n) for i, n in enumerate(names)])
+    stats = key_stats.fit_key_stats(df, {n: F.col(n) for n in names}, counted=names)
+    lookups = [key_stats.Lookup(n, key_stats.stored_text(F.col(n)), {f"n_{n}": key_stats.row_count}) for n in names]
+    found = key_stats.attach(df, stats, lookups)
+    parts = found._jdf.queryExecution().executedPlan().toString().split("Coalesce")
+    joins = [p.count("BroadcastHashJoin") for p in parts]
+    assert sum(joins) == 11 and max(joins) <= key_stats.JOINS_AT_ONCE
+    row = found.filter("id = 21").first()
+    assert [row[f"n_{n}"] for n in names] == [sum(j % (20 + i) == 21 % (20 + i) for j in range(400)) for i in range(11)]
